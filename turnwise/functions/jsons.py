@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+TEXT_TYPES = (T.StringType, T.CharType, T.VarcharType)
+
 # Cheap screen: text that can hold an object or array starts with one of these.
 _CONTAINER_START = r"^[ \t\r\n]*[{\[]"
 _CONTAINER_SHAPE = r"^(ARRAY|OBJECT)<"
@@ -51,7 +53,7 @@ def to_variant(column: Column, data_type: T.DataType) -> Column:
     """Any column as VARIANT; strings are decoded, nested types become objects."""
     if isinstance(data_type, T.VariantType):
         return nullify(column)
-    if isinstance(data_type, T.StringType):
+    if isinstance(data_type, TEXT_TYPES):
         return decode_or_keep(column)
     if isinstance(data_type, T.BinaryType):
         return decode_or_keep(utf8_or_base64(column))
@@ -79,7 +81,7 @@ def utf8_or_base64(data: Column) -> Column:
 
 def value_kind(column: Column, data_type: T.DataType) -> Column:
     """Kind of each single value, NULL counting as ``unknown``."""
-    if isinstance(data_type, T.StringType):
+    if isinstance(data_type, TEXT_TYPES):
         kind = F.when(is_container_text(column), "json").otherwise("text")
     elif isinstance(data_type, T.VariantType):
         shape = F.schema_of_variant(column)

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwise.functions.jsons import TEXT_TYPES
 from turnwise.functions.text import strip_view
 
 # Format tokens and the Spark pattern that prints each of them.
@@ -59,7 +60,7 @@ def parse_iso(text: Column) -> Column:
 
 def to_utc(column: Column, data_type: T.DataType) -> Column:
     """TIMESTAMP of a text, a number of epoch milliseconds, a date or a timestamp."""
-    if isinstance(data_type, T.StringType):
+    if isinstance(data_type, TEXT_TYPES):
         return parse_iso(column)
     if isinstance(data_type, T.NumericType):
         return F.timestamp_millis(column.try_cast("bigint"))

@@ -86,37 +86,44 @@ def _statement_type(statement: Column) -> Column:
     return F.when(found.isin(*STATEMENT_TYPES), found).otherwise("UNKNOWN")
 
 
-def audit_columns(sql: Column) -> tuple[Column, Column]:
-    """(verdict, detail) of a statement.
+def audit(log: DataFrame, sql: str = "sql_text") -> DataFrame:
+    """Add ``verdict`` and ``detail`` to every logged statement.
 
     ``ok``; ``SQL_DANGEROUS_FUNCTION`` with the keyword; ``SQL_FORBIDDEN_STATEMENT`` with EMPTY,
-    MULTI_STATEMENT or the statement type. Quoted texts and ordinary comments never count.
+    MULTI_STATEMENT or the statement type. Quoted texts and ordinary comments never count. Each
+    stage is a column of its own, so that no stage is computed twice.
     """
-    marked = _blank_texts(sql)
-    code = F.upper(_drop_comments(marked))
-    statements = F.filter(F.split(code, ";"), lambda s: s.rlike(r"\S"))
-    keyword = _dangerous(code)
-    kind = _statement_type(F.get(statements, F.lit(0)))
+    marked, code, parts = F.col("__tw_marked"), F.col("__tw_code"), F.col("__tw_parts")
+    hint, keyword, kind = F.col("__tw_hint"), F.col("__tw_keyword"), F.col("__tw_kind")
+    staged = (
+        log.withColumn("__tw_marked", _blank_texts(F.col(sql)))
+        .withColumns(
+            {
+                "__tw_hint": _executable_comment(marked),
+                "__tw_code": F.upper(_drop_comments(marked)),
+            }
+        )
+        .withColumns(
+            {
+                "__tw_keyword": _dangerous(code),
+                "__tw_parts": F.filter(F.split(code, ";"), lambda part: part.rlike(r"\S")),
+            }
+        )
+        .withColumn("__tw_kind", _statement_type(F.get(parts, F.lit(0))))
+    )
     detail = (
-        F.when(_executable_comment(marked), "EXECUTABLE_COMMENT")
+        F.when(hint, "EXECUTABLE_COMMENT")
         .when(keyword != "", keyword)
-        .when(F.size(statements) == 0, "EMPTY")
-        .when(F.size(statements) > 1, "MULTI_STATEMENT")
+        .when(F.size(parts) == 0, "EMPTY")
+        .when(F.size(parts) > 1, "MULTI_STATEMENT")
         .otherwise(kind)
     )
-    dangerous = _executable_comment(marked) | (keyword != "")
     verdict = (
-        F.when(dangerous, "SQL_DANGEROUS_FUNCTION")
-        .when((F.size(statements) == 1) & (kind == "SELECT"), "ok")
+        F.when(hint | (keyword != ""), "SQL_DANGEROUS_FUNCTION")
+        .when((F.size(parts) == 1) & (kind == "SELECT"), "ok")
         .otherwise("SQL_FORBIDDEN_STATEMENT")
     )
-    return verdict, detail
-
-
-def audit(log: DataFrame, sql: str = "sql_text") -> DataFrame:
-    """Add ``verdict`` and ``detail`` to every logged statement."""
-    verdict, detail = audit_columns(F.col(sql))
-    return log.withColumns({"verdict": verdict, "detail": detail})
+    return staged.select(*log.columns, verdict.alias("verdict"), detail.alias("detail"))
 
 
 def audit_summary(log: DataFrame, sql: str = "sql_text") -> DataFrame:

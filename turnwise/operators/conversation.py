@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwise.functions.jsons import TEXT_TYPES
 from turnwise.functions.roles import role_key
 from turnwise.functions.text import cell_text
 from turnwise.functions.times import parse_iso, print_utc
@@ -69,7 +70,7 @@ def meta_line(df: DataFrame, prefix: str = "") -> Column:
         kind = schema[name].dataType
         value = F.col(f"`{prefix}`.`{name}`" if prefix else f"`{name}`")
         text = F.when(value.isNotNull(), cell_text(value, kind))
-        if isinstance(kind, T.StringType) and name.lower().endswith(TIME_FIELD_SUFFIX):
+        if isinstance(kind, TEXT_TYPES) and name.lower().endswith(TIME_FIELD_SUFFIX):
             text = F.coalesce(print_utc(parse_iso(value)), text)
         parts.append(F.when(text != "", F.concat(F.lit(f"{name}: "), text)))
     return F.concat_ws(META_SEPARATOR, *parts)

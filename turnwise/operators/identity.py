@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.functions.jsons import canonical_text, to_variant
+from turnwise.functions.jsons import TEXT_TYPES, canonical_text, to_variant
 from turnwise.functions.times import iso_text
 
 IDENTITY = "_row_identity"
@@ -33,7 +33,7 @@ def identity_name(columns: Iterable[str]) -> str:
 def _field_text(field: T.StructField) -> Column:
     """``name=tag:length:value`` of one column; NULL has a tag of its own and no value."""
     column, kind = F.col(f"`{field.name}`"), field.dataType
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, TEXT_TYPES):
         tag, value = "s", column.cast("string")
     elif isinstance(kind, T.BooleanType):
         tag, value = "b", column.cast("string")

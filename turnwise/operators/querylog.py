@@ -191,13 +191,14 @@ def recent_activity(
 ) -> DataFrame:
     """The latest rows with their connection's name, ``#id`` when it is unknown.
 
-    The latest rows are found first, so the join sees only those few.
+    The latest rows are found first, so the join sees only those few; whether the connections
+    are broadcast is left to their measured size.
     """
     latest = history.orderBy(*[k.expression() for k in _newest_first(time, key)]).limit(rows)
     names = connections.select(
         F.col(connection_key).alias("__tw_key"), F.col(connection_name).alias("__tw_name")
     )
-    named = names.join(F.broadcast(latest), F.col("__tw_key") == F.col(connection), "right")
+    named = latest.join(names, F.col("__tw_key") == F.col(connection), "left")
     label = F.coalesce(F.col("__tw_name"), F.concat(F.lit("#"), F.col(connection).cast("string")))
     return named.withColumn("connection_label", label).drop("__tw_key", "__tw_name")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.errors import AnalyticsError
-from turnwise.functions.jsons import is_container_text, to_variant, utf8_or_base64, value_kind
+from turnwise.functions.jsons import TEXT_TYPES, is_container_text, to_variant, utf8_or_base64, value_kind
 from turnwise.functions.times import iso_text
 from turnwise.operators.positions import SortKey, with_positions
 
@@ -42,7 +42,7 @@ def unique_names(df: DataFrame) -> DataFrame:
 
 def inferred_type(data_type: T.DataType) -> str:
     """The inferred type of a column from its Spark type alone."""
-    if isinstance(data_type, T.StringType):
+    if isinstance(data_type, TEXT_TYPES):
         return "text"
     if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "integer"
@@ -60,7 +60,7 @@ def inferred_type(data_type: T.DataType) -> str:
 
 
 def _string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, TEXT_TYPES)]
 
 
 def _holds_json(name: str) -> Column:
@@ -115,25 +115,29 @@ def promoted_columns(df: DataFrame) -> list[str]:
 
 def value_kind_profile(df: DataFrame) -> DataFrame:
     """Values per column and kind. One aggregate: no row is copied once per column."""
-    per_column = []
-    for field in df.schema.fields:
-        kind = value_kind(F.col(f"`{field.name}`"), field.dataType)
-        per_column += [
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                F.lit(name).alias("kind"),
-                F.count_if(kind == name).alias("n_values"),
-            )
-            for name in VALUE_KINDS
-            if name in _possible_kinds(field.dataType)
+    kinds = df.select(
+        *[
+            value_kind(F.col(f"`{f.name}`"), f.dataType).alias(f"k{i}")
+            for i, f in enumerate(df.schema.fields)
         ]
-    return df.agg(F.array(*per_column).alias("rows")).select(F.inline("rows")).where("n_values > 0")
+    )
+    counts = [
+        F.struct(
+            F.lit(field.name).alias("column_name"),
+            F.lit(kind).alias("kind"),
+            F.count_if(F.col(f"k{i}") == kind).alias("n_values"),
+        )
+        for i, field in enumerate(df.schema.fields)
+        for kind in VALUE_KINDS
+        if kind in _possible_kinds(field.dataType)
+    ]
+    return kinds.agg(F.array(*counts).alias("rows")).select(F.inline("rows")).where("n_values > 0")
 
 
 def _possible_kinds(data_type: T.DataType) -> set[str]:
     if isinstance(data_type, T.VariantType):
         return set(VALUE_KINDS)
-    if isinstance(data_type, T.StringType):
+    if isinstance(data_type, TEXT_TYPES):
         return {"text", "json", "unknown"}
     if isinstance(data_type, T.DecimalType):
         return {"unknown"}
@@ -173,10 +177,14 @@ def normalise(df: DataFrame, json_columns: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def shape_result(df: DataFrame) -> DataFrame:
-    """Unique names, JSON promotion and normalised values in one go."""
+def shape_result(df: DataFrame, json_columns: Sequence[str] | None = None) -> DataFrame:
+    """Unique names, JSON promotion and normalised values in one go.
+
+    Promotion reads every text column once. Where it is known which columns hold JSON, naming
+    them in ``json_columns`` saves that scan.
+    """
     named = unique_names(df)
-    return normalise(named, promoted_columns(named))
+    return normalise(named, promoted_columns(named) if json_columns is None else json_columns)
 
 
 def check_row_limit(limit: int) -> int:

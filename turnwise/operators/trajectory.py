@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.errors import AnalyticsError
-from turnwise.functions.jsons import canonical_text, decode_or_keep, nullify
+from turnwise.functions.jsons import TEXT_TYPES, canonical_text, decode_or_keep, nullify
 from turnwise.functions.roles import normalise_role, role_missing
 from turnwise.operators.identity import IDENTITY
 from turnwise.operators.positions import SortKey, orderable, with_positions
@@ -207,7 +207,7 @@ def decode_tool_calls(df: DataFrame, column: str | None) -> Column:
     if column is None or column not in df.columns:
         return F.lit(None).cast("variant")
     c, kind = F.col(f"`{column}`"), df.schema[column].dataType
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, TEXT_TYPES):
         return decode_or_keep(c)
     if isinstance(kind, T.VariantType):
         text = F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))

@@ -40,12 +40,13 @@ def build_trajectories(
     identity_column: str | None = None,
     segment_rows: int = SEGMENT_ROWS,
     max_group_rows: int | None = None,
+    json_columns: Sequence[str] | None = None,
 ) -> TrajectoryResult:
     """Shape a result, give every row an identity, and assemble trajectories.
 
     Warnings come from the identity report, the name collision check and the aggregation.
     """
-    shaped = shape_result(result)
+    shaped = shape_result(result, json_columns)
     check_columns(shaped, cfg)
     name = identity_name(shaped.columns)
     rows = with_row_identity(shaped, identity_column, name)

@@ -87,15 +87,14 @@ def page_totals_query(t: Tables):
 
 @query(
     "text_search",
-    f"""
+    """
     SELECT doc_id, lang, source FROM documents
-    WHERE (text ILIKE '%tion_%the%' OR lang ILIKE '%tion_%the%' OR source ILIKE '%tion_%the%')
-      AND lang <> 'xx' AND (n_chars > 300 OR n_chars IS NULL)
+    WHERE text ILIKE '%tion_%the%' OR lang ILIKE '%tion_%the%' OR source ILIKE '%tion_%the%'
     """,
 )
 def text_search(t: Tables):
-    docs = t.documents.where("lang <> 'xx'").where("n_chars > 300 OR n_chars IS NULL")
-    return search(docs, ["text", "lang", "source"], "TION_%the").select("doc_id", "lang", "source")
+    found = search(t.documents, ["text", "lang", "source"], "TION_%the")
+    return found.select("doc_id", "lang", "source")
 
 
 @query(

@@ -14,6 +14,7 @@ from turnwise.operators.identity import (
     identity_report,
     with_row_identity,
 )
+from turnwise.operators.result import RowTable, build_row_table
 from turnwise.operators.shape import (
     column_catalog,
     hide_columns,
@@ -347,3 +348,43 @@ def visible_projection(t: Tables):
 )
 def result_summary_query(t: Tables):
     return reduce(DataFrame.unionByName, [result_summary(getattr(t, n), n) for n in TABLES])
+
+
+_EVENT_ROWS = """
+  SELECT event_id, CASE WHEN extract(microseconds FROM ts) % 1000000 = 0
+    THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts,
+    event_type, CAST(json(props) AS VARCHAR) AS props FROM events"""
+
+
+def event_table(t: Tables) -> RowTable:
+    return build_row_table(t.events.select("event_id", "ts", "event_type", "props"), "events")
+
+
+@query(
+    "row_table",
+    f"""
+    SELECT event_id, ts, event_type, props, sha1(concat_ws('|',
+      'event_id=i:' || length(CAST(event_id AS VARCHAR)) || ':' || event_id,
+      'event_type=s:' || length(event_type) || ':' || event_type,
+      'props=j:' || length(props) || ':' || props, 'ts=s:' || length(ts) || ':' || ts)) AS _row_identity
+    FROM ({_EVENT_ROWS})
+    """,
+)
+def row_table(t: Tables):
+    return event_table(t).rows.withColumn("props", canonical_text(F.col("props")))
+
+
+@query(
+    "row_table_columns",
+    """
+    SELECT 'events' AS table_name, c.ordinal, c.column_name, c.sql_type, c.inferred_type, c.class, c.params
+    FROM (VALUES (1, 'event_id', 'bigint', 'integer', 'text', '{}'),
+      (2, 'ts', 'timestamp_ntz', 'timestamp', 'timestamp', '{"format":"YYYY-MM-DD HH:mm:ss"}'),
+      (3, 'event_type', 'string', 'text', 'text', '{}'),
+      (4, 'props', 'string', 'json', 'json', '{"collapsed":true}')
+    ) c(ordinal, column_name, sql_type, inferred_type, class, params)
+    WHERE (SELECT bool_or(json_type(props) = 'OBJECT') FROM events)
+    """,
+)
+def row_table_columns(t: Tables):
+    return event_table(t).columns

@@ -279,7 +279,7 @@ def tool_calls_decoded(t: Tables):
 @query(
     "trajectory_roles",
     """
-    WITH r AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS role,
+    WITH r AS (SELECT user_id, CASE WHEN value > 50 THEN upper(event_type) ELSE event_type END AS role,
                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
     SELECT CAST(user_id AS VARCHAR) AS group_key, false AS group_is_null, lower(role) AS role_key,
            min_by(role, p) AS role, min(p) AS first_position
@@ -287,7 +287,7 @@ def tool_calls_decoded(t: Tables):
     """,
 )
 def trajectory_roles(t: Tables):
-    kind = F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    kind = F.when(F.col("value") > 50, F.upper("event_type")).otherwise(F.col("event_type"))
     rows = with_row_identity(t.events.withColumn("event_type", kind), "event_id")
     return role_list(messages(rows, SESSION, "event_id"))
 
