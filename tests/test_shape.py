@@ -97,7 +97,14 @@ def test_one_container_promotes_a_column(spark):
     assert promoted_columns(df.limit(0)) == []
     kinds = {r.column_name: r.inferred_type for r in column_catalog(df, "t").collect()}
     assert kinds == {"a": "json", "b": "text", "c": "json"}
-    assert {r.inferred_type for r in column_catalog(df, "t", promote=False).collect()} == {"text"}
+    assert {r.inferred_type for r in column_catalog(df, "t", ()).collect()} == {"text"}
+
+
+def test_late_json_is_found(spark):
+    df = spark.range(1000).select(
+        F.when(F.col("id") == 999, "[1]").otherwise("x").alias("late"), F.lit("{}").alias("early")
+    )
+    assert promoted_columns(df) == ["late", "early"]
 
 
 def test_value_kinds(spark):

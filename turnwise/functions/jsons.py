@@ -8,9 +8,8 @@ from pyspark.sql import types as T
 
 TEXT_TYPES = (T.StringType, T.CharType, T.VarcharType)
 
-# Cheap screen: text that can hold an object or array starts with one of these.
-_CONTAINER_START = r"^[ \t\r\n]*[{\[]"
 _CONTAINER_SHAPE = r"^(ARRAY|OBJECT)<"
+_JSON_SPACE = " \t\r\n"
 
 
 def parse_strict(text: Column) -> Column:
@@ -22,8 +21,9 @@ def parse_strict(text: Column) -> Column:
     """
     mark = F.xxhash64(text)
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
-    items = pair.cast("array<variant>")
-    whole = (F.size(items) == 2) & (F.try_variant_get(pair, "$[1]", "bigint") == mark)
+    whole = (F.try_variant_get(pair, "$[1]", "bigint") == mark) & F.try_variant_get(
+        pair, "$[2]", "variant"
+    ).isNull()
     return F.when(whole, F.variant_get(pair, "$[0]", "variant"))
 
 
@@ -32,11 +32,16 @@ def nullify(value: Column) -> Column:
     return F.when(~F.is_variant_null(value), value)
 
 
+def _opens_with(text: Column, bracket: str) -> Column:
+    return F.ltrim(text, F.lit(_JSON_SPACE)).startswith(bracket)
+
+
 def container_text(text: Column) -> Column:
-    """VARIANT of ``text`` when it is a JSON object or array, else NULL."""
-    parsed = parse_strict(text)
-    shape = F.schema_of_variant(parsed)
-    return F.when(text.rlike(_CONTAINER_START), F.when(shape.rlike(_CONTAINER_SHAPE), parsed))
+    """VARIANT of ``text`` when it is a JSON object or array, else NULL.
+
+    Only text that opens with a bracket is parsed; if that is JSON, it is a container.
+    """
+    return F.when(_opens_with(text, "{") | _opens_with(text, "["), parse_strict(text))
 
 
 def is_container_text(text: Column) -> Column:
@@ -115,13 +120,13 @@ def value_kind(column: Column, data_type: T.DataType) -> Column:
 
 def container_summary(text: Column) -> Column:
     """``n keys`` / ``n items`` of a JSON container, '' when it is empty, NULL when it is none."""
-    value = container_text(text)
-    keys = F.size(F.json_object_keys(F.to_json(value)))
-    items = F.size(value.cast("array<variant>"))
+
+    def counted(size: Column, unit: str) -> Column:
+        return F.when(size == 0, "").when(
+            size > 0, F.concat(size.cast("string"), F.lit(f" {unit}"))
+        )
+
+    value = parse_strict(text)
     return F.when(
-        F.schema_of_variant(value).startswith("OBJECT"),
-        F.when(keys == 0, "").otherwise(F.concat(keys.cast("string"), F.lit(" keys"))),
-    ).when(
-        value.isNotNull(),
-        F.when(items == 0, "").otherwise(F.concat(items.cast("string"), F.lit(" items"))),
-    )
+        _opens_with(text, "{"), counted(F.size(F.json_object_keys(F.to_json(value))), "keys")
+    ).when(_opens_with(text, "["), counted(F.size(value.cast("array<variant>")), "items"))

@@ -27,35 +27,38 @@ FORMAT_TOKENS = {
 }
 DEFAULT_FORMAT = "YYYY-MM-DD HH:mm:ss"
 
-# Date, optional time and zone of an ISO-8601 text, in extended or basic form.
-_ISO = (
-    r"^(\d{4})(?:-?(\d{2})(?:-?(\d{2}))?)?"
-    r"(?:[Tt](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?)?"
-    r"(?:([Zz])|([+-]\d{2})(?::?(\d{2}))?)?$"
-)
+# Text that Spark reads as it stands, in UTC when it names no zone.
+_PLAIN = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})?)?$"
+# Date, time, fraction and zone of other ISO-8601 text, in extended or basic form.
+_DATE = r"^(\d{4}(?:-\d{2}(?:-\d{2})?|\d{2}(?:\d{2})?)?)"
+_TIME = r"(?:[Tt](\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?)(?:[.,](\d+))?)?"
+_ZONE = r"([Zz]|[+-]\d{2}(?::?\d{2})?)?$"
+_ISO = _DATE + _TIME + _ZONE
 
 
-def _or(part: Column, default: str) -> Column:
-    return F.when(part == "", F.lit(default)).otherwise(part)
+def _rewritten(text: Column) -> Column:
+    """Any ISO-8601 form as ``yyyy-MM-ddTHH:mm:ss.ffffff+hhmm``, NULL when it is none."""
+    joined = F.regexp_replace(strip_view(text), r"^(\S+)\s+", "$1T")
 
+    def rewrite(iso: Column) -> Column:
+        def digits(group: int, full: str) -> Column:
+            found = F.regexp_replace(F.regexp_extract(iso, _ISO, group), "[-:]", "")
+            return F.concat(found, F.substring(F.lit(full), F.length(found) + 1, F.lit(len(full))))
 
-def parse_iso(text: Column) -> Column:
-    """TIMESTAMP of ISO text: no zone means UTC, a bare date is midnight, NULL when unreadable."""
-    trimmed = strip_view(text)
-    joined = F.regexp_replace(trimmed, r"^(\S+)\s+", "$1T")
+        day = F.regexp_replace(digits(1, "00000101"), r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3T")
+        time = F.regexp_replace(digits(2, "000000"), r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3.")
+        fraction = F.substring(F.concat(F.regexp_extract(iso, _ISO, 3), F.lit("0")), 1, 6)
+        zone = F.rpad(F.regexp_replace(F.regexp_extract(iso, _ISO, 4), ":", ""), 5, "0")
+        offset = F.when(zone.rlike("^[+-]"), zone).otherwise("+0000")
+        return F.when(iso.rlike(_ISO), F.concat(day, time, fraction, offset))
+
+    # As the item of an array, the cleaned text is made once for all its uses.
+    return F.get(F.transform(F.array(joined), rewrite), F.lit(0))
 
-    def part(group: int) -> Column:
-        return F.regexp_extract(joined, _ISO, group)
 
-    zone = F.when(part(9) == "", F.lit("Z")).otherwise(
-        F.concat(part(9), F.lit(":"), _or(part(10), "00"))
-    )
-    canonical = F.concat(
-        part(1), F.lit("-"), _or(part(2), "01"), F.lit("-"), _or(part(3), "01"), F.lit("T"),
-        _or(part(4), "00"), F.lit(":"), _or(part(5), "00"), F.lit(":"), _or(part(6), "00"),
-        F.lit("."), F.substring(_or(part(7), "0"), 1, 6), zone,
-    )
-    return F.when(joined.rlike(_ISO), F.try_to_timestamp(canonical))
+def parse_iso(text: Column) -> Column:
+    """TIMESTAMP of ISO text: no zone means UTC, a bare date is midnight, NULL when unreadable."""
+    return F.try_to_timestamp(F.when(text.rlike(_PLAIN), text).otherwise(_rewritten(text)))
 
 
 def to_utc(column: Column, data_type: T.DataType) -> Column:
@@ -72,15 +75,8 @@ def to_utc(column: Column, data_type: T.DataType) -> Column:
 def print_utc(moment: Column, pattern: str = DEFAULT_FORMAT) -> Column:
     """Print with the format tokens; every other character is copied."""
     pieces = re.split("(" + "|".join(FORMAT_TOKENS) + ")", pattern)
-    return F.concat(
-        *[
-            F.date_format(moment, FORMAT_TOKENS[piece])
-            if piece in FORMAT_TOKENS
-            else F.when(moment.isNotNull(), F.lit(piece))
-            for piece in pieces
-            if piece
-        ]
-    )
+    quoted = [FORMAT_TOKENS.get(p) or "'" + p.replace("'", "''") + "'" for p in pieces if p]
+    return F.date_format(moment, "".join(quoted))
 
 
 def format_timestamp(
@@ -94,6 +90,5 @@ def iso_text(column: Column, data_type: T.DataType) -> Column:
     """ISO text; microseconds are printed only when they are not zero."""
     if isinstance(data_type, T.DateType):
         return F.date_format(column, "yyyy-MM-dd")
-    seconds = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(column, "SSSSSS")
-    return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))
+    full = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.when(full.endswith(".000000"), F.regexp_replace(full, r"\.000000$", "")).otherwise(full)

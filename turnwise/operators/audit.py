@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,21 @@ _TEXT = r"'(?:''|\\.|[^'\\])*'|\"(?:\"\"|\\.|[^\"\\])*\"|`(?:``|[^`])*`"
 def _blank_texts(sql: Column) -> Column:
     """Quoted texts become a mark; comments stay and get a mark behind them."""
     clean = F.translate(sql, _QUOTED, " ")
-    return F.regexp_replace(clean, f"(?s)({_COMMENT})|{_TEXT}", f"$1{_QUOTED}")
+    marks = ("'", '"', "`", "--", "# ", "/*")
+    has_any = reduce(lambda a, b: a | b, [sql.contains(mark) for mark in marks])
+    blanked = F.regexp_replace(clean, f"(?s)({_COMMENT})|{_TEXT}", f"$1{_QUOTED}")
+    return F.when(has_any, blanked).otherwise(clean)
 
 
 def _executable_comment(marked: Column) -> Column:
     comments = F.regexp_extract_all(marked, F.lit(f"({_COMMENT}){_QUOTED}"), F.lit(1))
-    return F.exists(comments, lambda c: c.startswith("/*!") | c.startswith("/*+"))
+    found = F.exists(comments, lambda c: c.startswith("/*!") | c.startswith("/*+"))
+    return (marked.contains("/*!") | marked.contains("/*+")) & found
 
 
 def _drop_comments(marked: Column) -> Column:
-    return F.regexp_replace(marked, f"(?:{_COMMENT}){_QUOTED}", " ")
+    dropped = F.regexp_replace(marked, f"(?:{_COMMENT}){_QUOTED}", " ")
+    return F.when(marked.contains(_QUOTED), dropped).otherwise(marked)
 
 
 def _dangerous(code: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.functions.jsons import TEXT_TYPES, canonical_text, to_variant
+from turnwise.functions.jsons import canonical_text, to_variant
 from turnwise.functions.times import iso_text
 
 IDENTITY = "_row_identity"
@@ -30,43 +30,55 @@ def identity_name(columns: Iterable[str]) -> str:
     return name
 
 
-def _field_text(field: T.StructField) -> Column:
-    """``name=tag:length:value`` of one column; NULL has a tag of its own and no value."""
+def _value_text(field: T.StructField) -> tuple[str, Column]:
+    """Type tag and text of one column."""
     column, kind = F.col(f"`{field.name}`"), field.dataType
-    if isinstance(kind, TEXT_TYPES):
-        tag, value = "s", column.cast("string")
-    elif isinstance(kind, T.BooleanType):
-        tag, value = "b", column.cast("string")
-    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        tag, value = "i", column.cast("string")
-    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        tag, value = "f", column.cast("double").cast("string")
-    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        tag, value = "s", iso_text(column, kind)
-    elif isinstance(kind, T.BinaryType):
-        tag, value = "s", F.base64(column)
-    elif isinstance(kind, (T.VariantType, T.ArrayType, T.MapType, T.StructType)):
-        tag, value = "j", canonical_text(to_variant(column, kind))
-    else:
-        tag, value = "s", column.cast("string")
-    size = F.length(value).cast("string")
-    text = F.concat(F.lit(f"{field.name}={tag}:"), size, F.lit(":"), value)
-    return F.coalesce(text, F.lit(f"{field.name}=n"))
-
-
-def row_hash(df: DataFrame) -> Column:
-    """SHA-1 over all columns in name order; object keys inside values are sorted as well."""
+    if isinstance(kind, T.BooleanType):
+        return "b", column.cast("string")
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "i", column.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "f", column.cast("double").cast("string")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "s", iso_text(column, kind)
+    if isinstance(kind, T.BinaryType):
+        return "s", F.base64(column)
+    if isinstance(kind, (T.VariantType, T.ArrayType, T.MapType, T.StructType)):
+        return "j", canonical_text(to_variant(column, kind))
+    return "s", column.cast("string")
+
+
+def row_hash(df: DataFrame, name: str, needed: Column | None = None) -> DataFrame:
+    """Add the SHA-1 over all columns in name order, for the rows that need one.
+
+    Each column is written as ``name=tag:length:value``; NULL has a tag of its own and no value.
+    Object keys inside values are sorted. The texts are columns of their own first, so that a
+    costly one, such as JSON, is made once.
+    """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    return F.sha1(F.concat_ws("|", *[_field_text(f) for f in fields]))
+    texts = {f"__tw_text{i}": _value_text(f) for i, f in enumerate(fields)}
+    staged = df.withColumns(
+        {
+            helper: value if needed is None else F.when(needed, value)
+            for helper, (_, value) in texts.items()
+        }
+    )
+    parts = []
+    for field, (helper, (tag, _)) in zip(fields, texts.items(), strict=True):
+        size = F.length(helper).cast("string")
+        written = F.concat(F.lit(f"{field.name}={tag}:"), size, F.lit(":"), F.col(helper))
+        parts.append(F.coalesce(written, F.lit(f"{field.name}=n")))
+    return staged.withColumn(name, F.sha1(F.concat_ws("|", *parts))).drop(*texts)
 
 
 def with_row_identity(df: DataFrame, key: str | None = None, name: str | None = None) -> DataFrame:
     """Add the identity column: the key's text where it is set, else the row hash."""
     name = name or identity_name(df.columns)
-    identity = row_hash(df)
-    if key is not None and key in df.columns:
-        identity = F.coalesce(F.col(f"`{key}`").cast("string"), identity)
-    return df.withColumn(name, identity)
+    if key is None or key not in df.columns:
+        return row_hash(df, name)
+    given = F.col(f"`{key}`").cast("string")
+    hashed = row_hash(df, name, given.isNull())
+    return hashed.withColumn(name, F.coalesce(given, F.col(name)))
 
 
 def identity_report(df: DataFrame, key: str | None, identity: str = IDENTITY) -> DataFrame:

@@ -35,10 +35,12 @@ def build_row_table(
 ) -> RowTable:
     """Shape a whole result, give every row an identity and classify the columns."""
     named = unique_names(result)
-    shaped = shape_result(named, promoted_columns(named))
+    json_columns = promoted_columns(named)
+    shaped = shape_result(named, json_columns)
     identity = identity_name(shaped.columns)
     rows = with_row_identity(shaped, identity_column, identity)
     warnings = identity_report(rows, identity_column, identity).unionByName(
         collision_warning(shaped, identity)
     )
-    return RowTable(rows, classify_columns(column_catalog(named, name), rules), warnings, identity)
+    columns = classify_columns(column_catalog(named, name, json_columns), rules)
+    return RowTable(rows, columns, warnings, identity)

@@ -17,6 +17,9 @@ from turnwise.operators.positions import SortKey, with_positions
 DEFAULT_ROW_LIMIT = 10_000
 MAX_ROW_LIMIT = 100_000
 
+# Rows looked at before a column is read whole.
+PROBE_ROWS = 100
+
 # Kinds a value can have.
 VALUE_KINDS = ("text", "integer", "float", "boolean", "json", "timestamp", "binary", "unknown")
 
@@ -67,17 +70,21 @@ def _holds_json(name: str) -> Column:
     return F.coalesce(F.bool_or(is_container_text(F.col(f"`{name}`"))), F.lit(False))
 
 
-def column_catalog(df: DataFrame, table: str, promote: bool = True) -> DataFrame:
+def column_catalog(
+    df: DataFrame, table: str, json_columns: Sequence[str] | None = None
+) -> DataFrame:
     """One row per column: table, position, name, source type, inferred type.
 
-    With ``promote`` a text column that holds any JSON object or array counts as ``json``. All
-    columns are decided by one aggregate over one scan.
+    A text column that holds any JSON object or array counts as ``json``. All columns are
+    decided by one aggregate over one scan; where ``json_columns`` is given, nothing is read.
     """
-    text = set(_string_columns(df)) if promote else set()
     rows = []
     for number, field in enumerate(df.schema.fields, 1):
-        by_type = F.lit(inferred_type(field.dataType))
-        kind = F.when(_holds_json(field.name), "json").otherwise(by_type) if field.name in text else by_type
+        kind = F.lit(inferred_type(field.dataType))
+        if isinstance(field.dataType, TEXT_TYPES):
+            known = json_columns is not None
+            holds = F.lit(field.name in json_columns) if known else _holds_json(field.name)
+            kind = F.when(holds, "json").otherwise(kind)
         rows.append(
             F.struct(
                 F.lit(table).alias("table_name"),
@@ -87,7 +94,8 @@ def column_catalog(df: DataFrame, table: str, promote: bool = True) -> DataFrame
                 kind.alias("inferred_type"),
             )
         )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    source = df if json_columns is None else df.sparkSession.range(1)
+    return source.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def json_promotion(df: DataFrame, table: str) -> DataFrame:
@@ -105,8 +113,17 @@ def json_promotion(df: DataFrame, table: str) -> DataFrame:
 
 
 def promoted_columns(df: DataFrame) -> list[str]:
-    """Names of the text columns that hold JSON; runs one aggregate, brings back one row."""
-    names = _string_columns(df)
+    """Names of the text columns that hold JSON, which changes their type.
+
+    A few rows usually show which columns do. Only the columns without JSON there are read
+    whole, by one aggregate that brings back one row: they hold none until the last row says so.
+    """
+    found = set(_holding_json(df.limit(PROBE_ROWS), _string_columns(df)))
+    found.update(_holding_json(df, [n for n in _string_columns(df) if n not in found]))
+    return [name for name in df.columns if name in found]
+
+
+def _holding_json(df: DataFrame, names: Sequence[str]) -> list[str]:
     if not names:
         return []
     flags = df.agg(*[_holds_json(n).alias(f"c{i}") for i, n in enumerate(names)]).head()

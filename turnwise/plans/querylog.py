@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.text import LISTED_SQL_PREVIEW, RECENT_SQL_PREVIEW
 from turnwise.operators.audit import audit, audit_summary
-from turnwise.operators.positions import SortKey
 from turnwise.operators.querylog import (
     QueryLog,
     expiry,
@@ -22,7 +21,6 @@ from turnwise.operators.querylog import (
     retention_survivors,
     search,
 )
-from turnwise.operators.shape import number_rows
 from turnwise.plans.registry import Tables, query
 
 NOW = datetime(2000, 1, 1)
@@ -44,20 +42,13 @@ def paged_listing(t: Tables):
 @query(
     "paged_listing_deep",
     """
-    SELECT l_orderkey, l_linenumber, line_id FROM (
-      SELECT l_orderkey, l_linenumber, l_shipdate,
-             row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-               l_extendedprice, l_discount, l_tax) AS line_id
-      FROM lineitem) ORDER BY l_orderkey DESC, line_id DESC LIMIT 500 OFFSET 15000
+    SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+    ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500 OFFSET 12000
     """,
 )
 def paged_listing_deep(t: Tables):
-    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    columns += ["l_extendedprice", "l_discount", "l_tax"]
-    lines = number_rows(t.lineitem.select(*columns), [SortKey(c) for c in columns], "line_id")
-    return page(lines, "l_orderkey", "line_id", number=31, size=500).select(
-        "l_orderkey", "l_linenumber", "line_id"
-    )
+    rows = page(t.orders, "o_orderdate", "o_orderkey", number=25, size=500)
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query(
