@@ -17,6 +17,7 @@ from turnwise.operators.querylog import (
     recent_activity,
     retention_report,
     retention_survivors,
+    save_log,
     search,
 )
 
@@ -139,3 +140,13 @@ def test_inventory(spark, queries):
     connections = spark.range(3)
     found = inventory_counts(connections, queries, F.col("is_named"))
     assert {r["item"]: r.n for r in found.collect()} == {"connections": 3, "named_queries": 3}
+
+
+def test_saved_log_reads_back(spark, log, tmp_path):
+    save_log(retention_survivors(log, NOW), str(tmp_path / "kept"))
+    history = spark.read.parquet(str(tmp_path / "kept" / "query_history"))
+    assert sorted(r.id for r in history.collect()) == [2, 3, 4, 5]
+    assert "executed_on" in history.columns
+    assert spark.read.parquet(str(tmp_path / "kept" / "named_queries")).count() == 3
+    with pytest.raises(Exception, match="exist"):
+        save_log(log, str(tmp_path / "kept"))

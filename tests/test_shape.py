@@ -1,9 +1,12 @@
 """Result shaping and JSON handling on small inputs."""
 
 import datetime as dt
+import json
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +47,25 @@ def test_unique_column_names(names, expected):
     assert unique_column_names(names) == expected
 
 
+def test_names_that_differ_in_case(spark):
+    assert unique_column_names(["id", "ID"]) == ["id", "ID"]
+    assert unique_column_names(["id", "ID", "Id"], case_sensitive=False) == ["id", "ID__2", "Id__3"]
+    assert unique_names(spark.sql("select 1 as id, 2 as ID")).columns == ["id", "ID__2"]
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([("a", "[1]")], ["a.b", "c d"])
+    table = build_row_table(df, "t", "a.b")
+    assert table.rows.collect()[0]._row_identity == "a"
+    assert [r.inferred_type for r in table.columns.collect()] == ["text", "json"]
+
+
+def test_bytes_in_a_json_column(spark):
+    df = column(spark, [bytearray(b"[1]"), bytearray(b"\xff\xff\xff"), bytearray(b"x"), None], "binary")
+    found = normalise(df, ["v"]).select(F.to_json("v").alias("v")).collect()
+    assert [r.v for r in found] == ["[1]", '"////"', '"x"', None]
+
+
 def test_unique_names_of_a_join(spark):
     df = spark.sql("select 1 as id, 2 as id, 3 as id__2")
     assert unique_names(df).collect()[0].asDict() == {"id": 1, "id__2": 2, "id__2__2": 3}
@@ -185,3 +207,27 @@ def test_row_table(spark):
         ("id", "text"), ("created_at", "json"),
     ]
     assert [(r.code, r["count"]) for r in table.warnings.collect()] == [("ROW_IDENTITY_DUPLICATE", 1)]
+
+
+PIECES = st.sampled_from(list('{}[]",: \n1-0.e') + ["true", "null", '"a"', '"a":', "[1]", "{}", "\\u00e9", "\\"])
+
+
+def python_json(text):
+    try:
+        return True, json.loads(text)
+    except ValueError:
+        return False, text
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(PIECES, max_size=7).map("".join), min_size=150, max_size=300))
+def test_json_is_read_like_python_reads_it(spark, texts):
+    found = (
+        column(spark, texts)
+        .select("v", is_container_text(F.col("v")).alias("c"), F.to_json(decode_or_keep(F.col("v"))).alias("j"))
+        .collect()
+    )
+    for row in found:
+        valid, value = python_json(row.v)
+        assert row.c is (valid and isinstance(value, (dict, list))), row.v
+        assert (None if row.j is None else json.loads(row.j)) == value, row.v

@@ -61,7 +61,8 @@ def to_variant(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, TEXT_TYPES):
         return decode_or_keep(column)
     if isinstance(data_type, T.BinaryType):
-        return decode_or_keep(utf8_or_base64(column))
+        text = F.when(F.is_valid_utf8(column.cast("string")), column.cast("string"))
+        return F.coalesce(decode_or_keep(text), F.when(text.isNull(), F.base64(column)).cast("variant"))
     if isinstance(data_type, T.MapType) and not isinstance(data_type.keyType, T.StringType):
         column = F.map_from_entries(
             F.transform(

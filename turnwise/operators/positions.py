@@ -88,21 +88,21 @@ def with_positions(
     if not keys:
         df = df.withColumn(_ALL, F.lit(0))
         keys = [_ALL]
-    sizes = df.groupBy(*keys).agg(F.count("*").alias(_ROWS))
+    sizes = df.groupBy(*_columns(keys)).agg(F.count("*").alias(_ROWS))
     summary = sizes.agg(F.sum(_ROWS).alias("n"), F.max(_ROWS).alias("m")).head()
     rows, largest = (summary["n"] or 0), (summary["m"] or 0)
     target = max(limit, -(-rows // MAX_RANGES))
     if largest <= target:
         result = _small_groups(df, keys, order, position, total)
     else:
-        result = _split_groups(df, keys, order, position, total, sizes, target)
+        result = _split_groups(df, keys, order, position, total, sizes, target, largest)
     return result.drop(_ALL)
 
 
 def _small_groups(
     df: DataFrame, keys: list[str], order: Sequence[SortKey], position: str, total: str | None
 ) -> DataFrame:
-    window = Window.partitionBy(*keys)
+    window = Window.partitionBy(*_columns(keys))
     numbered = df.withColumn(
         position, F.row_number().over(window.orderBy(*[k.expression() for k in order])).cast("bigint")
     )
@@ -117,17 +117,20 @@ def _split_groups(
     total: str | None,
     sizes: DataFrame,
     target: int,
+    largest: int,
 ) -> DataFrame:
+    # Twice the expected number of cut points; the search may stop short of further ones.
+    steps = (2 * largest // target).bit_length()
     names = dict.fromkeys([*keys, *[k.column for k in order]])
-    narrow = df.select(*[F.col(f"`{name}`") for name in names])
+    narrow = df.select(*_columns(list(names)))
     hot = _rename_keys(sizes.where(F.col(_ROWS) > target), keys)
     points = _cut_points(narrow, hot, keys, order, target)
 
-    ranged_keys = _with_ranges(narrow, points, keys, order, "inner")
-    per_group = Window.partitionBy(*keys)
-    offsets = ranged_keys.groupBy(*keys, _RANGE).agg(F.count("*").alias(_ROWS))
+    ranged_keys = _with_ranges(narrow, points, keys, order, steps, "inner")
+    per_group = Window.partitionBy(*_columns(keys))
+    offsets = ranged_keys.groupBy(*_columns(keys), _RANGE).agg(F.count("*").alias(_ROWS))
     offsets = offsets.select(
-        *[F.col(k).alias(_HOT + k) for k in keys],
+        *[F.col(f"`{k}`").alias(_HOT + k) for k in keys],
         F.col(_RANGE).alias(_HOT + _RANGE),
         F.coalesce(
             F.sum(_ROWS).over(
@@ -138,8 +141,8 @@ def _split_groups(
         F.sum(_ROWS).over(per_group).alias(_ROWS),
     )
 
-    ranged = _with_ranges(df, points, keys, order, "left")
-    window = Window.partitionBy(*keys, _RANGE)
+    ranged = _with_ranges(df, points, keys, order, steps, "left")
+    window = Window.partitionBy(*_columns(keys), _RANGE)
     ranged = ranged.withColumn(
         _LOCAL, F.row_number().over(window.orderBy(*[k.expression() for k in order]))
     )
@@ -156,15 +159,19 @@ def _split_groups(
     if total:
         joined = joined.withColumn(total, F.coalesce(F.col(_ROWS), F.col(total)))
     names = [*df.columns, position, *([total] if total else [])]
-    return joined.select(*[F.col(f"`{name}`") for name in names])
+    return joined.select(*_columns(names))
+
+
+def _columns(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{name}`") for name in names]
 
 
 def _rename_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*[F.col(k).alias(_HOT + k) for k in keys])
+    return df.select(*[F.col(f"`{k}`").alias(_HOT + k) for k in keys])
 
 
 def _same_keys(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(_HOT + k)) for k in keys])
+    return reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{_HOT + k}`")) for k in keys])
 
 
 def _cut_points(
@@ -178,12 +185,12 @@ def _cut_points(
         members = narrow.join(F.broadcast(hot), _same_keys(keys), "left_semi")
     last = order[-1].column
     sample = members.where(F.pmod(F.xxhash64(F.col(f"`{last}`")), F.lit(every)) == 0)
-    ranks = Window.partitionBy(*keys).orderBy(*[k.expression() for k in order])
+    ranks = Window.partitionBy(*_columns(keys)).orderBy(*[k.expression() for k in order])
     cuts = sample.withColumn(_LOCAL, F.row_number().over(ranks)).where(
         F.col(_LOCAL) % max(1, min(_SAMPLES_PER_RANGE, target)) == 0
     )
     point = F.struct(*[F.col(f"`{k.column}`").alias(f"k{i}") for i, k in enumerate(order)])
-    return cuts.groupBy(*[F.col(k).alias(_HOT + k) for k in keys]).agg(
+    return cuts.groupBy(*[F.col(f"`{k}`").alias(_HOT + k) for k in keys]).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.col(_LOCAL).alias("n"), point.alias("p")))),
             lambda s: s["p"],
@@ -192,7 +199,12 @@ def _cut_points(
 
 
 def _with_ranges(
-    df: DataFrame, points: DataFrame, keys: list[str], order: Sequence[SortKey], how: str
+    df: DataFrame,
+    points: DataFrame,
+    keys: list[str],
+    order: Sequence[SortKey],
+    steps: int,
+    how: str,
 ) -> DataFrame:
     """Number of cut points at or before each row, 0 for groups that are not cut."""
 
@@ -209,7 +221,7 @@ def _with_ranges(
             (candidate <= F.size(_POINTS)) & reached(F.get(F.col(_POINTS), candidate - 1)), candidate
         ).otherwise(found)
 
-    halvings = F.array(*[F.lit(1 << bit) for bit in range(MAX_RANGES.bit_length(), -1, -1)])
+    halvings = F.array(*[F.lit(1 << bit) for bit in range(steps - 1, -1, -1)])
     search = F.aggregate(halvings, F.lit(0), step)
     if keys == [_ALL]:
         joined = df.withColumn(_POINTS, points.select(_POINTS).scalar())

@@ -179,6 +179,23 @@ def retention_survivors(log: QueryLog, now: datetime) -> QueryLog:
     )
 
 
+def save_log(log: QueryLog, directory: str) -> None:
+    """Write the tables to a place that does not exist yet; history is partitioned by day.
+
+    Rebalancing by day keeps a day's rows together and lets adaptive execution split a day that
+    is too large for one task.
+    """
+    days = log.history.withColumn("executed_on", F.to_date(log.executed))
+    days = days.hint("rebalance", "executed_on")
+    days.write.mode("errorifexists").partitionBy("executed_on").parquet(f"{directory}/query_history")
+    for name, df in (
+        ("named_queries", log.queries),
+        ("label_records", log.labels),
+        ("analyses", log.analyses),
+    ):
+        df.write.mode("errorifexists").parquet(f"{directory}/{name}")
+
+
 def recent_activity(
     history: DataFrame,
     connections: DataFrame,

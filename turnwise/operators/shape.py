@@ -24,23 +24,31 @@ PROBE_ROWS = 100
 VALUE_KINDS = ("text", "integer", "float", "boolean", "json", "timestamp", "binary", "unknown")
 
 
-def unique_column_names(names: Sequence[str]) -> list[str]:
+def unique_column_names(names: Sequence[str], case_sensitive: bool = True) -> list[str]:
     """Repeated names get ``__2``, ``__3`` ...; names already taken are skipped."""
+
+    def key(name: str) -> str:
+        return name if case_sensitive else name.lower()
+
     seen: dict[str, int] = {}
+    taken: set[str] = set()
     result: list[str] = []
     for name in names:
-        number = seen.get(name, 0) + 1
+        number = seen.get(key(name), 0) + 1
         candidate = name if number == 1 else f"{name}__{number}"
-        while candidate in result:
+        while key(candidate) in taken:
             number += 1
             candidate = f"{name}__{number}"
-        seen[name] = number
+        seen[key(name)] = number
+        taken.add(key(candidate))
         result.append(candidate)
     return result
 
 
 def unique_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*unique_column_names(df.columns))
+    """Unique output names; names that differ only in case count as equal where Spark says so."""
+    case_sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    return df.toDF(*unique_column_names(df.columns, case_sensitive))
 
 
 def inferred_type(data_type: T.DataType) -> str:
@@ -118,16 +126,15 @@ def promoted_columns(df: DataFrame) -> list[str]:
     A few rows usually show which columns do. Only the columns without JSON there are read
     whole, by one aggregate that brings back one row: they hold none until the last row says so.
     """
-    found = set(_holding_json(df.limit(PROBE_ROWS), _string_columns(df)))
-    found.update(_holding_json(df, [n for n in _string_columns(df) if n not in found]))
-    return [name for name in df.columns if name in found]
-
-
-def _holding_json(df: DataFrame, names: Sequence[str]) -> list[str]:
-    if not names:
-        return []
-    flags = df.agg(*[_holds_json(n).alias(f"c{i}") for i, n in enumerate(names)]).head()
-    return [name for i, name in enumerate(names) if flags[f"c{i}"]]
+    names = _string_columns(df)
+    first = df.select(*[is_container_text(F.col(f"`{n}`")).alias(n) for n in names])
+    shown = first.take(PROBE_ROWS) if names else []
+    found = {n for i, n in enumerate(names) if any(row[i] for row in shown)}
+    rest = [n for n in names if n not in found]
+    if rest:
+        flags = df.agg(*[_holds_json(n).alias(f"c{i}") for i, n in enumerate(rest)]).head()
+        found.update(n for i, n in enumerate(rest) if flags[i])
+    return [n for n in names if n in found]
 
 
 def value_kind_profile(df: DataFrame) -> DataFrame:
@@ -218,12 +225,11 @@ def preview(
     """The first ``limit`` rows of a total order, and a warning when rows were left out.
 
     The limit is the point of this operator and is bounded, so Spark keeps ``limit`` rows per
-    task and merges them; there is no full sort.
+    task and merges them; there is no full sort. The warning only needs a count.
     """
     check_row_limit(limit)
     rows = df.orderBy(*order).limit(limit)
-    probe = df.select(F.lit(1).alias("one")).limit(limit + 1)
-    warnings = probe.agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
+    warnings = df.agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
         F.lit("RESULT_TRUNCATED").alias("code"),
         F.lit(None).cast("string").alias("group_key"),
         F.lit(None).cast("string").alias("column"),
