@@ -88,6 +88,7 @@ def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
         ({"text": "s_lect"}, [1, 2, 3]),
         ({"text": "\\"}, [4]),
         ({"equals": {"connection_id": 1, "is_named": True}}, [2]),
+        ({"equals": {"connection_id": 1, "is_named": None}}, [1, 2]),
         ({"expires": "expires_at", "now": NOW}, [2, 3, 4]),
         ({"text": "select", "expires": "expires_at", "now": NOW}, [2, 3]),
     ],

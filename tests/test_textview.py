@@ -98,6 +98,10 @@ def test_timestamp_text(spark, text, expected):
 def test_timestamp_tokens_and_numbers(spark):
     build = lambda c: format_timestamp(c, T.LongType(), "YY/yyyy DD.dd MM HH'mm ss,SSS Q")
     assert apply(spark, [1704164645678, None], build, "bigint") == ["24/2024 02.02 01 03'04 05,678 Q", None]
+    plain = lambda c: format_timestamp(c, T.LongType())
+    assert apply(spark, [9_000_000_000_000_000, -1], plain, "bigint") == [
+        "9000000000000000", "1969-12-31 23:59:59",
+    ]
     assert apply(spark, [None], lambda c: print_utc(c.cast("timestamp"))) == [None]
 
 

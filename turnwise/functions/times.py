@@ -25,6 +25,8 @@ FORMAT_TOKENS = {
     "ss": "ss",
     "SSS": "SSS",
 }
+# Fixed value: the largest distance from the epoch, in milliseconds, that is a time.
+MAX_MILLIS = 8_640_000_000_000_000
 DEFAULT_FORMAT = "YYYY-MM-DD HH:mm:ss"
 
 # Text that Spark reads as it stands, in UTC when it names no zone.
@@ -66,7 +68,7 @@ def to_utc(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, TEXT_TYPES):
         return parse_iso(column)
     if isinstance(data_type, T.NumericType):
-        return F.timestamp_millis(column.try_cast("bigint"))
+        return F.when(F.abs(column) <= MAX_MILLIS, F.timestamp_millis(column.try_cast("bigint")))
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return column.cast("timestamp")
     return F.lit(None).cast("timestamp")

@@ -57,14 +57,23 @@ def _drop_comments(marked: Column) -> Column:
 
 def _dangerous(code: Column) -> Column:
     """The first dangerous keyword of upper-case code, '' when there is none."""
-    named = F.regexp_replace(code, r"(\.|\bAS\b)\s*INTO\b", "$1 NAME")
+    named = F.when(
+        code.contains("INTO"), F.regexp_replace(code, r"(\.|\bAS\b)\s*INTO\b", "$1 NAME")
+    ).otherwise(code)
     functions = "|".join(DANGEROUS_FUNCTIONS)
     clauses = "|".join(c.replace(" ", r"\s+") for c in LOCKING_CLAUSES)
     hit = F.regexp_extract(
         named, rf"(:=|\bINTO\b|\b(?:{functions})\s*\(|\b(?:{clauses})\b)", 1
     )
+    # Most statements hold none of the words, which is cheaper to see than to match.
+    words = [":=", "INTO", *DANGEROUS_FUNCTIONS, *[c.split(" ")[-1] for c in LOCKING_CLAUSES]]
+    possible = reduce(lambda a, b: a | b, [code.contains(word) for word in words])
+    return F.when(possible, hit).otherwise("")
+
+
+def _keyword(hit: Column) -> Column:
     word = F.regexp_replace(F.regexp_replace(hit, r"\s*\($", ""), r"\s+", " ")
-    return F.when(word == ":=", "ASSIGNMENT").otherwise(word)
+    return F.when(hit == "", "").when(hit == ":=", "ASSIGNMENT").otherwise(word)
 
 
 def _outer_type(statement: Column) -> Column:
@@ -86,11 +95,9 @@ def _outer_type(statement: Column) -> Column:
     return F.aggregate(marks, start, walk, lambda state: state["found"])
 
 
-def _statement_type(statement: Column) -> Column:
+def _first_word(statement: Column) -> Column:
     first = F.regexp_extract(statement, r"^\s*(CREATE\s+OR\s+REPLACE\b|[A-Z_]+)", 1)
-    word = F.regexp_replace(first, r"\s+", " ")
-    found = F.when(word == "WITH", _outer_type(statement)).otherwise(word)
-    return F.when(found.isin(*STATEMENT_TYPES), found).otherwise("UNKNOWN")
+    return F.when(first.startswith("CREATE"), F.regexp_replace(first, r"\s+", " ")).otherwise(first)
 
 
 def audit(log: DataFrame, sql: str = "sql_text") -> DataFrame:
@@ -101,7 +108,8 @@ def audit(log: DataFrame, sql: str = "sql_text") -> DataFrame:
     stage is a column of its own, so that no stage is computed twice.
     """
     marked, code, parts = F.col("__tw_marked"), F.col("__tw_code"), F.col("__tw_parts")
-    hint, keyword, kind = F.col("__tw_hint"), F.col("__tw_keyword"), F.col("__tw_kind")
+    hint, hit, word = F.col("__tw_hint"), F.col("__tw_hit"), F.col("__tw_word")
+    statement = F.get(parts, F.lit(0))
     staged = (
         log.withColumn("__tw_marked", _blank_texts(F.col(sql)))
         .withColumns(
@@ -112,21 +120,23 @@ def audit(log: DataFrame, sql: str = "sql_text") -> DataFrame:
         )
         .withColumns(
             {
-                "__tw_keyword": _dangerous(code),
+                "__tw_hit": _dangerous(code),
                 "__tw_parts": F.filter(F.split(code, ";"), lambda part: part.rlike(r"\S")),
             }
         )
-        .withColumn("__tw_kind", _statement_type(F.get(parts, F.lit(0))))
+        .withColumn("__tw_word", _first_word(statement))
+        .withColumn("__tw_word", F.when(word == "WITH", _outer_type(statement)).otherwise(word))
     )
+    kind = F.when(word.isin(*STATEMENT_TYPES), word).otherwise("UNKNOWN")
     detail = (
         F.when(hint, "EXECUTABLE_COMMENT")
-        .when(keyword != "", keyword)
+        .when(hit != "", _keyword(hit))
         .when(F.size(parts) == 0, "EMPTY")
         .when(F.size(parts) > 1, "MULTI_STATEMENT")
         .otherwise(kind)
     )
     verdict = (
-        F.when(hint | (keyword != ""), "SQL_DANGEROUS_FUNCTION")
+        F.when(hint | (hit != ""), "SQL_DANGEROUS_FUNCTION")
         .when((F.size(parts) == 1) & (kind == "SELECT"), "ok")
         .otherwise("SQL_FORBIDDEN_STATEMENT")
     )

@@ -56,9 +56,8 @@ def page(
 
 def page_totals(df: DataFrame, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Total rows and pages; an empty listing has one page."""
-    total = F.col("total")
-    pages = F.greatest(F.ceil(total / F.lit(size)), F.lit(1)).cast("bigint")
-    return df.agg(F.count("*").alias("total")).select("total", pages.alias("total_pages"))
+    pages = F.greatest(F.expr(f"(total + {int(size) - 1}) div {int(size)}"), F.lit(1))
+    return df.agg(F.count("*").alias("total")).select("total", pages.cast("bigint").alias("total_pages"))
 
 
 def next_page(
@@ -80,12 +79,14 @@ def search(
 ) -> DataFrame:
     """Rows with ``text`` in any of the columns, ignoring case.
 
-    ``%`` and ``_`` in the text are wildcards. ``equals`` adds equality filters. With ``expires``
-    rows that expired before ``now`` are left out; a NULL expiry never expires.
+    ``%`` and ``_`` in the text are wildcards. ``equals`` adds equality filters, a value of None
+    adding none. With ``expires`` rows that expired before ``now`` are left out; a NULL expiry
+    never expires.
     """
     found = df
     for name, value in (equals or {}).items():
-        found = found.where(F.col(name) == F.lit(value))
+        if value is not None:
+            found = found.where(F.col(name) == F.lit(value))
     if text:
         pattern = "%" + text.replace("\\", "\\\\") + "%"
         hit = reduce(lambda a, b: a | b, [F.col(c).ilike(pattern) for c in columns])

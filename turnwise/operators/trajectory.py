@@ -223,7 +223,7 @@ def nest(long_form: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     Trajectories of up to ``segment_rows`` messages are one row (segment 0); longer ones go on
     in segments 1, 2 ... The grouping reuses the partitioning of the long form.
     """
-    segment = F.floor((F.col("position") - 1) / F.lit(segment_rows)).cast("int")
+    segment = F.expr(f"(position - 1) div {int(segment_rows)}").cast("int")
     # Sorted by position alone; the other fields may be of types that have no order.
     by_position = F.array_sort(
         F.collect_list(F.struct("position", "row_identity", "role", "content", "tool_calls", "raw")),
