@@ -19,6 +19,7 @@ from turnwise.plans import REGISTRY  # noqa: E402
 HEADLINE = (
     "trajectory_messages",
     "trajectory_messages_events",
+    "trajectory_messages_split",
     "trajectories_nested",
     "trajectories_nested_segments",
     "trajectory_result",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.session import configure
-from turnwise.sources.tables import read_table, register_tables, run_sql
+from turnwise.sources.tables import TABLES, read_table, register_tables, run_sql
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,10 @@ def query(name: str, oracle: str | None = None):
 def sql_query(name: str, text: str) -> None:
     """Register SQL that reads the same in both engines."""
 
+    used = [table for table in TABLES if re.search(rf"\b{table}\b", text)]
+
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        register_tables(configure(spark), directory)
+        register_tables(configure(spark), directory, used)
         return run_sql(spark, text)
 
     REGISTRY[name] = Registered(run, text)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnwise.functions.jsons import canonical_text, decode_or_keep
 from turnwise.operators.identity import (
@@ -20,6 +21,7 @@ from turnwise.operators.shape import (
     hide_columns,
     json_promotion,
     normalise,
+    normalise_value,
     preview,
     promoted_columns,
     result_summary,
@@ -209,7 +211,7 @@ def json_normalised(t: Tables):
     SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
            strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
            base64(encode(o_orderstatus)) AS status_bytes,
-           o_orderpriority AS priority_bytes,
+           CASE WHEN o_orderstatus = 'P' THEN '//4=' ELSE o_orderpriority END AS priority_bytes,
            strftime(o_orderdate, '%Y-%m-%d') AS order_day,
            round(o_totalprice, 1) AS price_decimal
     FROM orders
@@ -219,13 +221,17 @@ def values_normalised(t: Tables):
     typed = t.orders.withColumns(
         {
             "status_bytes": F.col("o_orderstatus").cast("binary"),
-            "priority_bytes": F.col("o_orderpriority").cast("binary"),
             "order_day": F.col("o_orderdate").cast("date"),
             "price_decimal": F.col("o_totalprice").cast("decimal(18,1)"),
         }
     )
-    result = normalise(typed)
-    return result.withColumn("priority_bytes", F.unbase64("priority_bytes").cast("string"))
+    # Bytes of a text column: as text where they are valid, base64 where they are not.
+    stored = F.when(F.col("o_orderstatus") == "P", F.unhex(F.lit("FFFE"))).otherwise(
+        F.col("o_orderpriority").cast("binary")
+    )
+    text = normalise_value(stored, T.BinaryType(), "text").alias("priority_bytes")
+    plain = normalise(typed.drop("o_orderpriority"))
+    return plain.join(typed.select("o_orderkey", "o_orderpriority", text), "o_orderkey")
 
 
 @query(

@@ -76,6 +76,24 @@ def row_numbers(t: Tables):
     return number_rows(t.events.select("event_id", "event_type", "value"), order).drop("value")
 
 
+@query(
+    "row_numbers_split",
+    """
+    SELECT l_orderkey, l_partkey, l_quantity, row_number() OVER (ORDER BY l_quantity DESC NULLS LAST,
+      l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_no
+    FROM lineitem
+    """,
+)
+def row_numbers_split(t: Tables):
+    """The table is cut into ranges of about 1000 rows, as a very large one is by default."""
+    unique = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    order = [SortKey("l_quantity", False, False), *[SortKey(c) for c in unique]]
+    lines = t.lineitem.select("l_quantity", *unique)
+    return number_rows(lines, order, max_rows=1000).select(
+        "l_orderkey", "l_partkey", "l_quantity", "row_no"
+    )
+
+
 @query(
     "text_preview",
     r"""

@@ -70,6 +70,40 @@ def trajectory_messages_events(t: Tables):
     )
 
 
+_BUSY_SQL = """
+  SELECT event_id, ts, event_type, value, props, CASE WHEN event_type IN ('click', 'view') THEN 0
+    WHEN event_type <> 'error' THEN user_id END AS session FROM events"""
+
+
+def busy_sessions(t: Tables) -> DataFrame:
+    """Events in sessions of which one holds two fifths of all rows and one has no key."""
+    kind = F.col("event_type")
+    session = F.when(kind.isin("click", "view"), 0).when(kind != "error", F.col("user_id"))
+    rows = t.events.withColumn("session", session).drop("user_id")
+    return with_row_identity(rows, "event_id")
+
+
+BUSY = TrajectoryConfig("session", "event_type", "value", "props", order_by="value", order_direction="desc")
+
+
+@query(
+    "trajectory_messages_split",
+    f"""
+    SELECT coalesce(CAST(session AS VARCHAR), '__null__') AS group_key, session IS NULL AS group_is_null,
+           count(*) OVER (PARTITION BY session) AS message_count,
+           row_number() OVER (PARTITION BY session ORDER BY value DESC NULLS FIRST, event_id) AS position,
+           CAST(event_id AS VARCHAR) AS row_identity, event_type AS role
+    FROM ({_BUSY_SQL})
+    """,
+)
+def trajectory_messages_split(t: Tables):
+    """Sessions above 100 rows are cut into ranges, as very large ones are by default."""
+    placed = messages(busy_sessions(t), BUSY, "event_id", max_group_rows=100)
+    return placed.select(
+        "group_key", "group_is_null", "message_count", "position", "row_identity", "role"
+    )
+
+
 def _flat(nested: DataFrame, text: str = "content") -> DataFrame:
     """Nested rows with their messages written out as one text."""
     written = F.transform(
