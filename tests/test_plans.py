@@ -1,12 +1,14 @@
 """What the plans must look like."""
 
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from turnwise.operators.identity import with_row_identity
+from turnwise.operators.querylog import QueryLog, retention_survivors
 from turnwise.operators.shape import json_promotion, value_kind_profile
 from turnwise.operators.trajectory import messages, nest, trajectory_warnings
 from turnwise.plans.registry import Tables
@@ -76,3 +78,38 @@ def test_long_form_is_the_same_for_any_input_order(spark, data):
         F.min("position").alias("a"), F.max("position").alias("b"), F.count("*").alias("n")
     )
     assert ends.where("a <> 1 OR b <> n").count() == 0
+
+
+SKEW_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+}
+
+
+@pytest.fixture
+def small_skew_limits(spark):
+    before = {key: spark.conf.get(key) for key in SKEW_SETTINGS}
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_a_parent_with_a_third_of_all_children_is_split(spark, small_skew_limits):
+    n = F.col("id")
+    parent = F.when(n % 3 == 0, 0).otherwise(n % 1000)
+    children = spark.range(0, 200_000, 1, 8).select(
+        parent.alias("query_id"), n, F.md5(n.cast("string")).alias("text")
+    )
+    old = datetime(2020, 1, 1)
+    queries = spark.range(1000).withColumn("expires_at", F.when(n % 2 == 1, F.lit(old)))
+    history = children.withColumn("executed_at", F.lit(datetime(2024, 1, 1)))
+    kept = retention_survivors(QueryLog(queries, history, children, children), datetime(2024, 1, 1))
+    for df in (kept.labels, kept.history):
+        rows = df._jdf.queryExecution().toRdd().count()
+        assert "skew=true" in plan(df)
+        assert rows == df.count()
+    assert kept.labels.count() == children.where("query_id % 2 = 0").count()

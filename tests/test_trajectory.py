@@ -263,3 +263,13 @@ def test_meta_line(spark):
         "created_at: 2024-01-02 01:04:05 · latency: 12 · duration_ms: 1.5 · Sent_At: not a time",
         "Sent_At: 2024-01-02 00:00:00",
     ]
+
+
+def test_input_may_use_the_names_of_the_output(spark):
+    names = ["group_value", "position", "message_count", "segment", "row_identity", "group_key"]
+    df = rows_of(spark, [("a", "s", "user", "x", 1, 0), ("b", "s", "user", "y", 2, 1)])
+    df = df.withColumns({name: F.concat(F.lit(f"{name} "), "content") for name in names})
+    for limit in (None, 1):
+        row = nest(messages(df, cfg(order_by="created_at"), "seq", max_group_rows=limit)).collect()[0]
+        assert [m.row_identity for m in row.messages] == ["a", "b"]
+        assert all(row.messages[1].raw[name] == f"{name} y" for name in names)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,19 +83,37 @@ def with_row_identity(df: DataFrame, key: str | None = None, name: str | None =
 def identity_report(df: DataFrame, key: str | None, identity: str = IDENTITY) -> DataFrame:
     """Warnings about identities as rows of code, group_key, column and count.
 
-    ``df`` carries the identity column. Counts are pre-aggregated per identity before the
-    shuffle, so an identity shared by many rows costs no more than any other.
+    ``df`` carries the identity column. One scan and one shuffle answer all questions; counts are
+    pre-aggregated per identity, so one that many rows share costs no more than any other.
     """
-    found: list[DataFrame] = []
-    if key is not None and key not in df.columns:
-        found.append(df.sparkSession.createDataFrame(
-            [("ROW_IDENTITY_COLUMN_MISSING", None, key, None)], WARNING_SCHEMA))
-    elif key is not None:
-        nulls = df.agg(F.count_if(F.col(f"`{key}`").isNull()).alias("count"))
-        found.append(_warning(nulls, "ROW_IDENTITY_COLUMN_NULL", key))
-    copies = df.groupBy(F.col(f"`{identity}`")).agg(F.count("*").alias("n")).where("n > 1")
-    found.append(_warning(copies.agg(F.count("*").alias("count")), "ROW_IDENTITY_DUPLICATE", key))
-    return reduce(DataFrame.unionByName, found)
+    missing = key is not None and key not in df.columns
+    no_key = F.lit(False) if key is None or missing else F.col(f"`{key}`").isNull()
+    per_identity = df.groupBy(F.col(f"`{identity}`").alias("__tw_identity")).agg(
+        F.count("*").alias("n"), F.count_if(no_key).alias("nulls")
+    )
+    totals = per_identity.agg(
+        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
+        F.count_if(F.col("n") > 1).alias("copies"),
+    )
+
+    def warning(code: str, when: Column, count: Column) -> Column:
+        return F.when(
+            when,
+            F.struct(
+                F.lit(code).alias("code"),
+                F.lit(None).cast("string").alias("group_key"),
+                F.lit(key).cast("string").alias("column"),
+                count.cast("bigint").alias("count"),
+            ),
+        )
+
+    nulls, copies = F.col("nulls"), F.col("copies")
+    found = F.array(
+        warning("ROW_IDENTITY_COLUMN_MISSING", F.lit(missing), F.lit(None)),
+        warning("ROW_IDENTITY_COLUMN_NULL", nulls > 0, nulls),
+        warning("ROW_IDENTITY_DUPLICATE", copies > 0, copies),
+    )
+    return totals.select(F.inline(F.array_compact(found)))
 
 
 def collision_warning(df: DataFrame, name: str) -> DataFrame:
@@ -104,11 +121,3 @@ def collision_warning(df: DataFrame, name: str) -> DataFrame:
     rows = [] if name == IDENTITY else [("ROW_IDENTITY_KEY_COLLISION", None, name, None)]
     return df.sparkSession.createDataFrame(rows, WARNING_SCHEMA)
 
-
-def _warning(counted: DataFrame, code: str, column: str | None) -> DataFrame:
-    return counted.where("count > 0").select(
-        F.lit(code).alias("code"),
-        F.lit(None).cast("string").alias("group_key"),
-        F.lit(column).cast("string").alias("column"),
-        F.col("count"),
-    )

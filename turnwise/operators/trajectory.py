@@ -22,7 +22,10 @@ from turnwise.operators.positions import SortKey, orderable, with_positions
 NULL_GROUP = "__null__"
 SEGMENT_ROWS = 1000
 
-_GROUP = "group_value"
+# Helper columns; the input may use any plain name itself.
+_GROUP = "__tw_group"
+_POSITION = "__tw_position"
+_TOTAL = "__tw_total"
 _BAD = "__tw_bad"
 _NULL_RANK = "__tw_order_null"
 _ORDER = "__tw_order_"
@@ -178,14 +181,14 @@ def messages(
     raw = [c for c in df.columns if c != identity]
     located, order = _with_order(_located(df, cfg), cfg, _names(seq))
     placed = with_positions(
-        located, [_GROUP], order, position="position", total="message_count", max_rows=max_group_rows
+        located, [_GROUP], order, position=_POSITION, total=_TOTAL, max_rows=max_group_rows
     )
     return placed.select(
-        _GROUP,
+        F.col(_GROUP).alias("group_value"),
         _group_label(df, cfg).alias("group_key"),
         F.col(_GROUP).isNull().alias("group_is_null"),
-        "message_count",
-        "position",
+        F.col(_TOTAL).alias("message_count"),
+        F.col(_POSITION).alias("position"),
         F.col(f"`{identity}`").cast("string").alias("row_identity"),
         normalise_role(_text(df, cfg.role_column)).alias("role"),
         F.col(f"`{cfg.content_column}`").alias("content"),
@@ -231,9 +234,9 @@ def nest(long_form: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     )
     return (
         long_form.withColumn("segment", segment)
-        .groupBy(_GROUP, "group_key", "group_is_null", "message_count", "segment")
+        .groupBy("group_value", "group_key", "group_is_null", "message_count", "segment")
         .agg(by_position.alias("messages"))
-        .drop(_GROUP)
+        .drop("group_value")
     )
 
 
@@ -261,7 +264,7 @@ def trajectory_warnings(df: DataFrame, cfg: TrajectoryConfig) -> DataFrame:
     per_group = located.groupBy(_GROUP).agg(
         F.count("*").alias("n"),
         F.count_if(role_missing(_text(df, cfg.role_column))).alias("n_no_role"),
-        (mark if mark is not None else F.lit(False)).alias("unsortable"),
+        (F.lit(False) if mark is None else mark).alias("unsortable"),
     )
     no_order = cfg.order_by is not None and cfg.order_by not in df.columns
     label = _group_label(df, cfg).alias("group_key")
