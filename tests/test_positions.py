@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from turnwise.errors import AnalyticsError
 from turnwise.operators.positions import SortKey, with_positions
 from turnwise.sources.tables import read_table
 
@@ -57,6 +58,22 @@ def test_whole_table_positions(skewed, limit):
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("limit", [100, None])
+@pytest.mark.parametrize("between", [(1, 10), (95, 420), (5990, 7000), (6001, 6010)])
+def test_picked_positions(skewed, limit, between):
+    order = [SortKey("v", False, False), SortKey("seq")]
+    everything = with_positions(skewed, [], order)
+    picked = with_positions(skewed, [], order, max_rows=limit, between=between)
+    wanted = everything.where(F.col("position").between(*between))
+    assert picked.columns == everything.columns
+    assert picked.exceptAll(wanted).count() == 0 and wanted.exceptAll(picked).count() == 0
+
+
+def test_only_whole_tables_have_picked_positions(skewed):
+    with pytest.raises(AnalyticsError):
+        with_positions(skewed, ["k"], [SortKey("seq")], between=(1, 2))
+
+
 def test_hot_groups_are_spread_over_tasks(skewed):
     placed = with_positions(skewed, ["k"], [SortKey("v"), SortKey("seq")], max_rows=100)
     text = placed._jdf.queryExecution().executedPlan().toString()

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from turnwise.errors import AnalyticsError
+
 MAX_GROUP_ROWS = 200_000
 MAX_GROUP_ROWS_SETTING = "turnwise.maxGroupRows"
 MAX_RANGES = 4096
@@ -37,6 +39,7 @@ _ROWS = "__tw_rows"
 _POINTS = "__tw_points"
 _RANGE = "__tw_range"
 _OFFSET = "__tw_offset"
+_END = "__tw_end"
 _LOCAL = "__tw_local"
 _HOT = "__tw_hot_"
 
@@ -75,11 +78,16 @@ def with_positions(
     position: str = "position",
     total: str | None = None,
     max_rows: int | None = None,
+    between: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add 1-based positions per group; ``order`` must end in columns that make it a total order.
 
-    ``total`` also adds the number of rows of the group. An empty ``group`` numbers the table.
+    ``total`` also adds the number of rows of the group. An empty ``group`` numbers the table;
+    then ``between`` keeps the rows of some positions only, and of a large table nothing else is
+    shuffled.
     """
+    if between and group:
+        raise AnalyticsError("POSITIONS_INVALID", "positions can be picked of a whole table only")
     limit = max_group_rows(df, max_rows)
     keys = list(group)
     if not keys:
@@ -92,7 +100,9 @@ def with_positions(
     if largest <= target:
         result = _small_groups(df, keys, order, position, total)
     else:
-        result = _split_groups(df, keys, order, position, total, sizes, target, largest)
+        result = _split_groups(df, keys, order, position, total, sizes, target, largest, between)
+    if between:
+        result = result.where(F.col(f"`{position}`").between(*between))
     return result.drop(_ALL)
 
 
@@ -115,6 +125,7 @@ def _split_groups(
     sizes: DataFrame,
     target: int,
     largest: int,
+    between: tuple[int, int] | None,
 ) -> DataFrame:
     # Twice the expected number of cut points; the search may stop short of further ones.
     steps = (2 * largest // target).bit_length()
@@ -135,28 +146,29 @@ def _split_groups(
             ),
             F.lit(0),
         ).alias(_OFFSET),
+        F.sum(_ROWS).over(
+            per_group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, 0)
+        ).alias(_END),
         F.sum(_ROWS).over(per_group).alias(_ROWS),
     )
 
     ranged = _with_ranges(df, points, keys, order, steps, "left")
-    window = Window.partitionBy(*_columns(keys), _RANGE)
-    ranged = ranged.withColumn(
-        _LOCAL, F.row_number().over(window.orderBy(*[k.expression() for k in order]))
-    )
-    if total:
-        ranged = ranged.withColumn(total, F.count("*").over(window))
-    # At most two rows per MAX_RANGES.
     same_range = F.col(_RANGE) == F.col(_HOT + _RANGE)
     if keys != [_ALL]:
         same_range = _same_keys(keys) & same_range
-    joined = ranged.join(F.broadcast(offsets), same_range, "left")
-    joined = joined.withColumn(
-        position, (F.col(_LOCAL) + F.coalesce(F.col(_OFFSET), F.lit(0))).cast("bigint")
-    )
+    how = "left"
+    if between:
+        offsets = offsets.where((F.col(_OFFSET) < between[1]) & (F.col(_END) >= between[0]))
+        how = "inner"
+    # At most two rows per MAX_RANGES; groups that are not cut find none.
+    ranged = ranged.join(F.broadcast(offsets), same_range, how)
+    window = Window.partitionBy(*_columns(keys), _RANGE)
+    local = F.row_number().over(window.orderBy(*[k.expression() for k in order]))
+    ranged = ranged.withColumn(position, local + F.coalesce(F.col(_OFFSET), F.lit(0)))
     if total:
-        joined = joined.withColumn(total, F.coalesce(F.col(_ROWS), F.col(total)))
+        ranged = ranged.withColumn(total, F.coalesce(F.col(_ROWS), F.count("*").over(window)))
     names = [*df.columns, position, *([total] if total else [])]
-    return joined.select(*_columns(names))
+    return ranged.select(*_columns(names))
 
 
 def _columns(names: Sequence[str]) -> list[Column]:

@@ -50,8 +50,10 @@ def page(
     skip = (number - 1) * size
     if skip + size <= SHALLOW_ROWS:
         return df.orderBy(*[k.expression() for k in order]).offset(skip).limit(size)
-    placed = with_positions(df, [], order, position="__tw_position", max_rows=max_rows)
-    return placed.where(F.col("__tw_position").between(skip + 1, skip + size)).drop("__tw_position")
+    picked = (skip + 1, skip + size)
+    return with_positions(
+        df, [], order, position="__tw_position", max_rows=max_rows, between=picked
+    ).drop("__tw_position")
 
 
 def page_totals(df: DataFrame, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
