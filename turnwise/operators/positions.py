@@ -58,10 +58,11 @@ class SortKey:
             return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
         return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
 
-    @property
-    def null_mark(self) -> bool:
-        """Whether NULLs sort as the largest value; Spark compares them as the smallest."""
-        return self.ascending != self.nulls_first
+    def precedes(self, left: Column, right: Column) -> Column:
+        """True when ``left`` sorts strictly before ``right``; never NULL."""
+        smaller = left < right if self.ascending else left > right
+        first, second = (left, right) if self.nulls_first else (right, left)
+        return F.coalesce(smaller, first.isNull() & second.isNotNull())
 
 
 def max_group_rows(df: DataFrame, given: int | None) -> int:
@@ -183,20 +184,6 @@ def _same_keys(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{_HOT + k}`")) for k in keys])
 
 
-def _runs(order: Sequence[SortKey]) -> list[tuple[bool, Column]]:
-    """Neighbouring keys of one direction as one struct, which Spark compares in one go."""
-    runs: list[tuple[bool, list[Column]]] = []
-    for key in order:
-        if not runs or runs[-1][0] != key.ascending:
-            runs.append((key.ascending, []))
-        column = F.col(f"`{key.column}`")
-        values = runs[-1][1]
-        if key.null_mark:
-            values.append(column.isNull().alias(f"n{len(values)}"))
-        values.append(column.alias(f"v{len(values)}"))
-    return [(ascending, F.struct(*values)) for ascending, values in runs]
-
-
 def _cut_points(
     narrow: DataFrame, hot: DataFrame, keys: list[str], order: Sequence[SortKey], target: int
 ) -> DataFrame:
@@ -212,7 +199,7 @@ def _cut_points(
     cuts = sample.withColumn(_LOCAL, F.row_number().over(ranks)).where(
         F.col(_LOCAL) % max(1, min(_SAMPLES_PER_RANGE, target)) == 0
     )
-    point = F.struct(*[values.alias(f"r{i}") for i, (_, values) in enumerate(_runs(order))])
+    point = F.struct(*[F.col(f"`{k.column}`").alias(f"k{i}") for i, k in enumerate(order)])
     return cuts.groupBy(*[F.col(f"`{k}`").alias(_HOT + k) for k in keys]).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.col(_LOCAL).alias("n"), point.alias("p")))),
@@ -231,13 +218,12 @@ def _with_ranges(
 ) -> DataFrame:
     """Number of cut points at or before each row, 0 for groups that are not cut."""
 
-    runs = _runs(order)
-
     def reached(point: Column, index: int = 0) -> Column:
-        ascending, own = runs[index]
-        cut = point[f"r{index}"]
-        before, after = (cut < own, own < cut) if ascending else (own < cut, cut < own)
-        return ~after if index == len(runs) - 1 else before | (~after & reached(point, index + 1))
+        key = order[index]
+        cut, own = point[f"k{index}"], F.col(f"`{key.column}`")
+        if index == len(order) - 1:
+            return ~key.precedes(own, cut)
+        return key.precedes(cut, own) | (cut.eqNullSafe(own) & reached(point, index + 1))
 
     def step(found: Column, size: Column) -> Column:
         candidate = found + size
