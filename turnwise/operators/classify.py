@@ -55,12 +55,12 @@ class Rule:
     enabled: bool = True
 
 
-def _bad_regex(pattern: str) -> str | None:
+def _is_regex(pattern: str) -> bool:
     try:
         re.compile(pattern)
-    except re.error as error:
-        return f"invalid regex: {error}"
-    return None
+    except re.error:
+        return False
+    return True
 
 
 def _config_problem(config: Column) -> Column:
@@ -90,10 +90,20 @@ def _config_problem(config: Column) -> Column:
 def rule_problems(rules: DataFrame) -> DataFrame:
     """One warning per enabled rule that cannot be used, with the reason."""
 
+    # Uses nothing of this package, so that workers need not have it installed.
     @F.pandas_udf("string")
     def regex_problem(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import re
+
+        def reason(pattern: str) -> str | None:
+            try:
+                re.compile(pattern)
+            except re.error as error:
+                return f"invalid regex: {error}"
+            return None
+
         for patterns in batches:
-            reasons = {p: _bad_regex(p) for p in patterns.dropna().unique()}
+            reasons = {p: reason(p) for p in patterns.dropna().unique()}
             yield patterns.map(reasons).astype(object)
 
     is_regex = F.col("match_type") == "regex"
@@ -131,7 +141,7 @@ def rule_matches(name: Column, rule: Rule) -> Column:
         return name.startswith(rule.match_pattern)
     if rule.match_type == "suffix":
         return name.endswith(rule.match_pattern)
-    if rule.match_type == "regex" and _bad_regex(rule.match_pattern) is None:
+    if rule.match_type == "regex" and _is_regex(rule.match_pattern):
         return name.rlike(rf"\A(?:{rule.match_pattern})\z")
     return F.lit(False)
 
