@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import repetition
+from turnwise.llm import contamination, packed_files, repetition, urls
+from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
 
@@ -30,3 +31,35 @@ def quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     found = repetition.repetition_coverage(read_table(spark, directory, "documents"), keep=["doc_id"])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts)
+
+
+#: (verdict, host and path)
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query("op8_url_filters")
+def url_filters(spark: SparkSession, directory: str) -> DataFrame:
+    judged = urls.judge_urls(read_table(spark, directory, "pages"), urls.UrlRules(rules=URL_RULES), keep=["page_id"])
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op9_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    docs, items = read_table(spark, directory, "documents"), read_table(spark, directory, "benchmark")
+    found = contamination.find_items(docs, items, keep=["doc_id"], with_text=False)
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, run: total + run["after"] - run["first"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.size("runs") > 0).alias("contaminated"),
+    )
+
+
+@query("op4_token_files")
+def token_files(spark: SparkSession, directory: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    packed_files.write_token_files(read_table(spark, directory, "documents"), path)
+    return packed_files.read_documents(spark, path)
