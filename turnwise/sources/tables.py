@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +13,7 @@ TABLES = (
 
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(str(PurePosixPath(directory) / f"{name}.parquet"))
+    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, directory: str, names: Sequence[str] = TABLES) -> None:
