@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, packed_files, repetition, urls
+from turnwise.llm import contamination, near_duplicates, packed_files, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -63,3 +63,8 @@ def token_files(spark: SparkSession, directory: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     packed_files.write_token_files(read_table(spark, directory, "documents"), path)
     return packed_files.read_documents(spark, path)
+
+
+@query("op10_near_duplicates")
+def near_duplicate_groups(spark: SparkSession, directory: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read_table(spark, directory, "documents"))
