@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, near_duplicates, packed_files, repetition, urls
+from turnwise.llm import contamination, near_duplicates, packed_files, packing, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -68,3 +68,9 @@ def token_files(spark: SparkSession, directory: str) -> DataFrame:
 @query("op10_near_duplicates")
 def near_duplicate_groups(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, directory, "documents"))
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    cut = packing.pieces(read_table(spark, directory, "documents"), with_ids=False)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
