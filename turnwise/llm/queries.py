@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, near_duplicates, packed_files, packing, repetition, urls
+from turnwise.llm import contamination, near_duplicates, packed_files, packing, personal_data, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -74,3 +74,11 @@ def near_duplicate_groups(spark: SparkSession, directory: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     cut = packing.pieces(read_table(spark, directory, "documents"), with_ids=False)
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op3_personal_data")
+def personal_data_spans(spark: SparkSession, directory: str) -> DataFrame:
+    found = personal_data.find_spans(read_table(spark, directory, "documents"), personal_data.train(spark), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(personal_data.span_text(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("row.doc_id").alias("doc_id"), *map(count, personal_data.KINDS), base, personal_data.span_text(F.col("spans")).alias("spans"))
