@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, near_duplicates, packed_files, packing, personal_data, repetition, urls
+from turnwise.llm import contamination, html_text, near_duplicates, packed_files, packing, personal_data, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -82,3 +82,9 @@ def personal_data_spans(spark: SparkSession, directory: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.sha2(personal_data.span_text(F.col("base")), 256).alias("base_sha256")
     return found.select(F.col("row.doc_id").alias("doc_id"), *map(count, personal_data.KINDS), base, personal_data.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    found = html_text.main_text(read_table(spark, directory, "pages"), keep=["page_id", "url"])
+    return found.select("row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
