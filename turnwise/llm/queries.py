@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, html_text, near_duplicates, packed_files, packing, personal_data, repetition, urls
+from turnwise.llm import contamination, html_text, licenses, near_duplicates, packed_files, packing, personal_data, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -88,3 +88,8 @@ def personal_data_spans(spark: SparkSession, directory: str) -> DataFrame:
 def html_extraction(spark: SparkSession, directory: str) -> DataFrame:
     found = html_text.main_text(read_table(spark, directory, "pages"), keep=["page_id", "url"])
     return found.select("row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op1_license_scan", licenses.oracle())
+def license_scan(spark: SparkSession, directory: str) -> DataFrame:
+    return licenses.scan(read_table(spark, directory, "documents"))
