@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.llm import repetition
+from turnwise.llm import contamination, near_duplicates, packing, personal_data, repetition
 from turnwise.llm.common import written
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -15,9 +15,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return repetition.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return near_duplicates.keep_one_of_each(docs)
 
-#: Stages that run numpy, automata or a tokenizer have no SQL form; the pipeline is tested against a brute-force version.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return contamination.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; no document goes."""
+    return personal_data.redact(docs, personal_data.train(spark))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, with their sequences and places."""
+    packed = packing.pack(packing.pieces(docs, with_ids=False))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data_redaction),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Automata, tokenizer and packing have no SQL form; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 

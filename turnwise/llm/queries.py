@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, html_text, licenses, near_duplicates, packed_files, packing, personal_data, repetition, urls
+from turnwise.llm import contamination, html_text, licenses, near_duplicates, packed_files, packing, personal_data, quotes, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -93,3 +93,8 @@ def html_extraction(spark: SparkSession, directory: str) -> DataFrame:
 @query("op1_license_scan", licenses.oracle())
 def license_scan(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.scan(read_table(spark, directory, "documents"))
+
+
+@query("op7_quotation_linking")
+def quotation_linking(spark: SparkSession, directory: str) -> DataFrame:
+    return quotes.link_quotations(read_table(spark, directory, "conversations"))
