@@ -30,18 +30,33 @@ STATEMENT_TYPES = (
 # Stands for a quoted text once its content has been blanked.
 _QUOTED = "\x01"
 _LINE = r"(?:--|# )[^\r\n]*"
-_BLOCK = r"/\*(?s:.*?)\*/"
+_BLOCK = r"/\*(?:[^*]++|\*(?!/))*+\*/"
 _COMMENT = f"{_LINE}|{_BLOCK}"
-_TEXT = r"'(?:''|\\.|[^'\\])*'|\"(?:\"\"|\\.|[^\"\\])*\"|`(?:``|[^`])*`"
+# Possessive runs: no recursion per character, and one pass over a text of any length.
+_SINGLE = r"'(?:[^'\\]++|''|\\.)*+"
+_DOUBLE = r"\"(?:[^\"\\]++|\"\"|\\.)*+"
+_BACKTICK = r"`(?:[^`]++|``)*+"
+_TEXT = f"{_SINGLE}'|{_DOUBLE}\"|{_BACKTICK}`"
+
+
+# Everything up to a quote or comment that is never closed.
+_CLOSED = rf"(?s)\A(?:{_COMMENT}|{_TEXT}|[^'\"`/#-]++|/(?!\*)|[#-])*+"
+
+
+def _has_marks(sql: Column) -> Column:
+    return reduce(lambda a, b: a | b, [sql.contains(mark) for mark in ("'", '"', "`", "--", "# ", "/*")])
+
+
+def _closed_part(sql: Column) -> Column:
+    """The statement up to a quote or comment that is never closed; what follows counts as code."""
+    clean = F.translate(sql, _QUOTED, " ")
+    return F.when(_has_marks(sql), F.regexp_extract(clean, _CLOSED, 0)).otherwise(clean)
 
 
 def _blank_texts(sql: Column) -> Column:
     """Quoted texts become a mark; comments stay and get a mark behind them."""
-    clean = F.translate(sql, _QUOTED, " ")
-    marks = ("'", '"', "`", "--", "# ", "/*")
-    has_any = reduce(lambda a, b: a | b, [sql.contains(mark) for mark in marks])
-    blanked = F.regexp_replace(clean, f"(?s)({_COMMENT})|{_TEXT}", f"$1{_QUOTED}")
-    return F.when(has_any, blanked).otherwise(clean)
+    blanked = F.regexp_replace(sql, f"(?s)({_COMMENT})|{_TEXT}", f"$1{_QUOTED}")
+    return F.when(_has_marks(sql), blanked).otherwise(sql)
 
 
 def _executable_comment(marked: Column) -> Column:
@@ -104,18 +119,24 @@ def audit(log: DataFrame, sql: str = "sql_text") -> DataFrame:
     """Add ``verdict`` and ``detail`` to every logged statement.
 
     ``ok``; ``SQL_DANGEROUS_FUNCTION`` with the keyword; ``SQL_FORBIDDEN_STATEMENT`` with EMPTY,
-    MULTI_STATEMENT or the statement type. Quoted texts and ordinary comments never count. Each
-    stage is a column of its own, so that no stage is computed twice.
+    MULTI_STATEMENT or the statement type. Quoted texts and ordinary comments never count; behind a
+    quote or comment that is never closed, everything does. Each stage is a column of its own, so that
+    no stage is computed twice; statements and literals may be of any length.
     """
+    closed = F.col("__tw_closed")
+    # Lengths in bytes differ only where something is left over.
+    left_over = F.octet_length(closed) < F.octet_length(F.col(sql))
+    rest = F.when(left_over, F.substring(F.col(sql), F.char_length(closed) + 1, F.char_length(F.col(sql)))).otherwise("")
     marked, code, parts = F.col("__tw_marked"), F.col("__tw_code"), F.col("__tw_parts")
     hint, hit, word = F.col("__tw_hint"), F.col("__tw_hit"), F.col("__tw_word")
     statement = F.get(parts, F.lit(0))
     staged = (
-        log.withColumn("__tw_marked", _blank_texts(F.col(sql)))
+        log.withColumn("__tw_closed", _closed_part(F.col(sql)))
+        .withColumn("__tw_marked", _blank_texts(closed))
         .withColumns(
             {
                 "__tw_hint": _executable_comment(marked),
-                "__tw_code": F.upper(_drop_comments(marked)),
+                "__tw_code": F.upper(F.concat(_drop_comments(marked), rest)),
             }
         )
         .withColumns(
