@@ -11,6 +11,7 @@ from turnwise.operators.identity import with_row_identity
 from turnwise.operators.querylog import QueryLog, retention_survivors
 from turnwise.operators.shape import json_promotion, value_kind_profile
 from turnwise.operators.trajectory import messages, nest, trajectory_warnings
+from turnwise.plans import REGISTRY
 from turnwise.plans.registry import Tables
 from turnwise.plans.trajectories import CONVERSATION, SESSION
 
@@ -26,7 +27,7 @@ def exchanges(df):
     return len(re.findall(r"\bExchange \w+", plan(df)))
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - WITH_PYTHON))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - WITH_PYTHON))
 def test_no_python_and_no_cross_join(spark, data, name):
     text = plan(driver.queries()[name](spark, data))
     assert "Python" not in text and "MapInPandas" not in text

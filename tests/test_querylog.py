@@ -151,3 +151,42 @@ def test_saved_log_reads_back(spark, log, tmp_path):
     assert spark.read.parquet(str(tmp_path / "kept" / "named_queries")).count() == 3
     with pytest.raises(Exception, match="exist"):
         save_log(log, str(tmp_path / "kept"))
+
+
+def test_walking_all_pages_by_key_visits_every_row_once(spark):
+    times = [None, None, None, *[datetime(2024, 1, d) for d in (1, 2, 2, 3, 3, 3)]]
+    rows = [(i, t) for i, t in enumerate(times)] + [(None, None), (None, datetime(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "id int, at timestamp")
+    seen = [tuple(r) for r in page(df, "at", "id", 1, 2).collect()]
+    while True:
+        last = seen[-1]
+        after = [F.lit(last[1]).cast("timestamp"), F.lit(last[0]).cast("int")]
+        found = next_page(df, "at", "id", *after, 2).collect()
+        if not found:
+            break
+        seen += [tuple(r) for r in found]
+    assert len(seen) == len(rows) and set(seen) == set(rows)
+
+
+def test_deep_pages_are_in_order_without_adaptive_execution(spark, monkeypatch):
+    monkeypatch.setattr(querylog, "SHALLOW_ROWS", 10)
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("at"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = [r.id for r in page(df, "at", "id", 5, 300, max_rows=200).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    wanted = sorted(range(5000), key=lambda i: (-(i % 7), -i))[1200:1500]
+    assert found == wanted
+
+
+def test_rows_without_parent_stay_out_of_the_join_and_times_reach_the_scan(spark, tmp_path):
+    rows = [(i, None if i % 3 else i, datetime(2024, 1, 1 + i % 20)) for i in range(60)]
+    spark.createDataFrame(rows, "id int, query_id int, executed_at timestamp").write.parquet(str(tmp_path / "h"))
+    spark.createDataFrame([(i, datetime(2024, 1, 1 + i % 9)) for i in range(0, 60, 3)], "id int, expires_at timestamp").write.parquet(str(tmp_path / "q"))
+    history, queries = spark.read.parquet(str(tmp_path / "h")), spark.read.parquet(str(tmp_path / "q"))
+    empty = spark.createDataFrame([], "query_id int")
+    kept = querylog.retention_survivors(QueryLog(queries, history, empty, empty), datetime(2024, 2, 8)).history
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert text.count("GreaterThanOrEqual(executed_at") >= 2 and "IsNull(query_id)" in text
+    assert kept.count() == sum(1 for r in rows if r[2] >= datetime(2024, 1, 9))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.functions.roles import normalise_role, role_kind
-from turnwise.functions.text import block_preview, cell_text, first_line_preview, one_line
+from turnwise.functions.text import block_preview, cell_text, first_line_preview, number_text, one_line
 from turnwise.functions.times import format_timestamp, print_utc
 from turnwise.operators.tableview import natural_positions, natural_sort
 
@@ -110,3 +110,21 @@ def test_roles(spark):
     assert apply(spark, ["SYSTEM", " user", "Assistant", "tool", "", None, "unknown", "critic"], role_kind) == [
         "system", "user", "assistant", "tool", "unknown", "unknown", "unknown", "other",
     ]
+
+
+@pytest.mark.parametrize(
+    ("number", "shown"),
+    [
+        (0.0005, "0.0005"), (1e16, "10000000000000000"), (0.0, "0"), (-0.0, "0"), (1e-6, "0.000001"), (1e-7, "1e-7"),
+        (1.5e-9, "1.5e-9"), (1e21, "1e+21"), (2e22, "2e+22"), (123456789012345680000.0, "123456789012345680000"),
+        (0.1, "0.1"), (-2.5, "-2.5"), (100.0, "100"), (1234567.875, "1234567.875"), (0.30000000000000004, "0.30000000000000004"),
+    ],
+)
+def test_numbers_print_as_in_a_browser(spark, number, shown):
+    df = spark.createDataFrame([(number,)], "n double")
+    assert df.select(number_text(F.col("n"))).collect()[0][0] == shown
+
+
+def test_times_sort_by_time(spark):
+    df = spark.sql("SELECT 1 AS id, TIMESTAMP '2024-01-01 00:00:00.5' AS t UNION ALL SELECT 2, TIMESTAMP '2024-01-01 00:00:00.25'")
+    assert [r.id for r in natural_sort(df, [("t", "asc")], "id").collect()] == [2, 1]

@@ -62,27 +62,36 @@ def cell_text(column: Column, data_type: T.DataType) -> Column:
     elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
         shown = canonical_text(to_variant(column, data_type))
     elif isinstance(data_type, (T.FloatType, T.DoubleType)):
-        shown = number_text(column)
+        exact = isinstance(data_type, T.DoubleType)
+        shown = number_text(column if exact else column.cast("string").cast("double"))
     else:
         shown = column.cast("string")
     return F.coalesce(shown, F.lit("NULL"))
 
 
 def number_text(number: Column) -> Column:
-    """A double without a trailing ``.0`` when it is a whole number."""
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return F.when(whole, number.try_cast("decimal(20,0)").cast("string")).otherwise(
-        number.cast("string")
+    """A double as a browser prints it: plain digits from 1e-6 up to 1e21, else with an exponent."""
+    size = F.abs(number)
+    fixed = F.when(size >= 1, number.try_cast("decimal(38,16)").cast("string")).otherwise(
+        number.try_cast("decimal(38,24)").cast("string")
+    )
+    plain = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    shown = F.regexp_replace(F.regexp_replace(number.cast("string"), r"\.0E", "E"), "E(?=[0-9])", "e+")
+    return (
+        F.when(number == 0, "0")
+        .when((size >= 1e-6) & (size < 1e21), plain)
+        .otherwise(F.regexp_replace(shown, "E-", "e-"))
     )
 
 
 def natural_key(column: Column, data_type: T.DataType) -> Column:
-    """Sort key: numbers and booleans as they are, text by value of its digit runs.
+    """Sort key: numbers, booleans and times as they are, text by value of its digit runs.
 
     Each digit run is written as its ten-digit length followed by the digits without leading
     zeros, so runs of any length compare by value. The key ignores case and accents.
     """
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
+    native = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(data_type, native):
         return column
     text = F.when(column.isNotNull(), cell_text(column, data_type))
     runs = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))

@@ -118,6 +118,10 @@ def identity_report(df: DataFrame, key: str | None, identity: str = IDENTITY) ->
 
 def collision_warning(df: DataFrame, name: str) -> DataFrame:
     """One warning when the reserved identity name was taken by the input, else no rows."""
-    rows = [] if name == IDENTITY else [("ROW_IDENTITY_KEY_COLLISION", None, name, None)]
-    return df.sparkSession.createDataFrame(rows, WARNING_SCHEMA)
+    return df.sparkSession.range(1).where(F.lit(name != IDENTITY)).select(
+        F.lit("ROW_IDENTITY_KEY_COLLISION").alias("code"),
+        F.lit(None).cast("string").alias("group_key"),
+        F.lit(name).alias("column"),
+        F.lit(None).cast("bigint").alias("count"),
+    )
 

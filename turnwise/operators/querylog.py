@@ -51,9 +51,11 @@ def page(
     if skip + size <= SHALLOW_ROWS:
         return df.orderBy(*[k.expression() for k in order]).offset(skip).limit(size)
     picked = (skip + 1, skip + size)
-    return with_positions(
+    rows = with_positions(
         df, [], order, position="__tw_position", max_rows=max_rows, between=picked
     ).drop("__tw_position")
+    # At most one page, so ordering it costs nothing and holds without adaptive execution as well.
+    return rows.orderBy(*[k.expression() for k in order])
 
 
 def page_totals(df: DataFrame, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
@@ -65,10 +67,19 @@ def page_totals(df: DataFrame, size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
 def next_page(
     df: DataFrame, time: str, key: str, after_time: Column, after_key: Column, size: int
 ) -> DataFrame:
-    """The page after a known last row; reads no skipped rows into the sort."""
-    earlier = (F.col(time) < after_time) | ((F.col(time) == after_time) & (F.col(key) < after_key))
+    """The page after a known last row; reads no skipped rows into the sort.
+
+    NULL times, and NULL keys among equal times, come last, also as the row to go on from.
+    """
+
+    def later(column: str, last: Column) -> Column:
+        return F.when(last.isNull(), F.lit(False)).otherwise(
+            F.coalesce(F.col(column) < last, F.col(column).isNull())
+        )
+
+    rest = later(time, after_time) | (F.col(time).eqNullSafe(after_time) & later(key, after_key))
     order = [k.expression() for k in _newest_first(time, key)]
-    return df.where(earlier | F.col(time).isNull()).orderBy(*order).limit(size)
+    return df.where(rest).orderBy(*order).limit(size)
 
 
 def search(
@@ -162,20 +173,21 @@ def retention_survivors(log: QueryLog, now: datetime) -> QueryLog:
     Expired queries go and take their labels and analyses along. History keeps its rows with
     the query key emptied, then loses what is older than the retention time. The joins carry no
     hint: adaptive execution broadcasts the expired keys only when they are measured to be small
-    and splits skewed parents otherwise.
+    and splits skewed parents otherwise. Rows without a parent, of which retention makes ever more,
+    stay out of the joins. The conditions on times are in a form that reaches the scan.
     """
     expired = _expired(log, now)
+    parent, executed, expires = F.col(log.parent), F.col(log.executed), F.col(log.expires)
 
     def without(df: DataFrame) -> DataFrame:
-        return df.join(expired, F.col(log.parent) == F.col("__tw_expired"), "left_anti")
-
-    kept = log.history.where(~F.coalesce(F.col(log.executed) < _cutoff(now), F.lit(False)))
-    history = (
-        kept.join(expired, F.col(log.parent) == F.col("__tw_expired"), "left")
-        .withColumn(log.parent, F.when(F.col("__tw_expired").isNull(), F.col(log.parent)))
-        .drop("__tw_expired")
-    )
-    queries = log.queries.where(~F.coalesce(F.col(log.expires) < F.lit(now), F.lit(False)))
+        own = df.where(parent.isNotNull()).join(expired, parent == F.col("__tw_expired"), "left_anti")
+        return own.unionByName(df.where(parent.isNull()))
+
+    kept = log.history.where(executed.isNull() | (executed >= _cutoff(now)))
+    linked = kept.where(parent.isNotNull()).join(expired, parent == F.col("__tw_expired"), "left")
+    linked = linked.withColumn(log.parent, F.when(F.col("__tw_expired").isNull(), parent))
+    history = linked.select(kept.columns).unionByName(kept.where(parent.isNull()))
+    queries = log.queries.where(expires.isNull() | (expires >= F.lit(now)))
     return QueryLog(
         queries, history, without(log.labels), without(log.analyses),
         log.query_key, log.expires, log.parent, log.executed,

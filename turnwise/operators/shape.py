@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,24 +26,17 @@ VALUE_KINDS = ("text", "integer", "float", "boolean", "json", "timestamp", "bina
 
 
 def unique_column_names(names: Sequence[str], case_sensitive: bool = True) -> list[str]:
-    """Repeated names get ``__2``, ``__3`` ...; names already taken are skipped."""
-
-    def key(name: str) -> str:
-        return name if case_sensitive else name.lower()
-
-    seen: dict[str, int] = {}
-    taken: set[str] = set()
-    result: list[str] = []
-    for name in names:
-        number = seen.get(key(name), 0) + 1
-        candidate = name if number == 1 else f"{name}__{number}"
-        while key(candidate) in taken:
-            number += 1
-            candidate = f"{name}__{number}"
-        seen[key(name)] = number
-        taken.add(key(candidate))
-        result.append(candidate)
-    return result
+    """Each name, or the first of ``name__2``, ``name__3`` ... that no earlier output has."""
+    fold = str if case_sensitive else str.lower
+    used: set[str] = set()
+
+    def first_free(name: str) -> str:
+        numbered = (f"{name}__{number}" for number in count(2))
+        chosen = next(option for option in chain([name], numbered) if fold(option) not in used)
+        used.add(fold(chosen))
+        return chosen
+
+    return [first_free(name) for name in names]
 
 
 def unique_names(df: DataFrame) -> DataFrame:
@@ -187,15 +181,20 @@ def normalise_value(column: Column, data_type: T.DataType, kind: str) -> Column:
     return column
 
 
-def normalise(df: DataFrame, json_columns: Sequence[str] = ()) -> DataFrame:
-    """All columns normalised; ``json_columns`` are the promoted text columns."""
+def normalise(
+    df: DataFrame, json_columns: Sequence[str] = (), text_columns: Sequence[str] = ()
+) -> DataFrame:
+    """All columns normalised; ``json_columns`` are the promoted text columns, ``text_columns`` hold
+    the bytes of texts."""
+
+    def kind(field: T.StructField) -> str:
+        if field.name in json_columns:
+            return "json"
+        return "text" if field.name in text_columns else inferred_type(field.dataType)
+
     return df.select(
         *[
-            normalise_value(
-                F.col(f"`{f.name}`"),
-                f.dataType,
-                "json" if f.name in json_columns else inferred_type(f.dataType),
-            ).alias(f.name)
+            normalise_value(F.col(f"`{f.name}`"), f.dataType, kind(f)).alias(f.name)
             for f in df.schema.fields
         ]
     )
@@ -225,11 +224,11 @@ def preview(
     """The first ``limit`` rows of a total order, and a warning when rows were left out.
 
     The limit is the point of this operator and is bounded, so Spark keeps ``limit`` rows per
-    task and merges them; there is no full sort. The warning only needs a count.
+    task and merges them; there is no full sort. The warning counts no further than one row beyond.
     """
     check_row_limit(limit)
     rows = df.orderBy(*order).limit(limit)
-    warnings = df.agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
+    warnings = df.limit(limit + 1).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
         F.lit("RESULT_TRUNCATED").alias("code"),
         F.lit(None).cast("string").alias("group_key"),
         F.lit(None).cast("string").alias("column"),

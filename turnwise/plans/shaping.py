@@ -21,7 +21,6 @@ from turnwise.operators.shape import (
     hide_columns,
     json_promotion,
     normalise,
-    normalise_value,
     preview,
     promoted_columns,
     result_summary,
@@ -229,9 +228,7 @@ def values_normalised(t: Tables):
     stored = F.when(F.col("o_orderstatus") == "P", F.unhex(F.lit("FFFE"))).otherwise(
         F.col("o_orderpriority").cast("binary")
     )
-    text = normalise_value(stored, T.BinaryType(), "text").alias("priority_bytes")
-    plain = normalise(typed.drop("o_orderpriority"))
-    return plain.join(typed.select("o_orderkey", "o_orderpriority", text), "o_orderkey")
+    return normalise(typed.withColumn("priority_bytes", stored), text_columns=["priority_bytes"])
 
 
 @query(
