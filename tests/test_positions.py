@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnwise.errors import AnalyticsError
+from turnwise.operators import positions
 from turnwise.operators.positions import SortKey, with_positions
 from turnwise.sources.tables import read_table
 
@@ -114,3 +115,28 @@ def test_real_sessions_agree_on_both_ways(spark, data):
     plain = with_positions(events, ["user_id"], order, total="n")
     split = with_positions(events, ["user_id"], order, total="n", max_rows=20)
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+
+
+@pytest.mark.parametrize("values", [1, 3, 50, 20_000])
+def test_ranges_stay_small_whatever_the_last_column_holds(spark, values):
+    """Only both order columns together are unique; ``b`` alone has few values."""
+    n, target = 20_000, 500
+    df = spark.range(n).select(
+        F.lit("hot").alias("k"), F.floor(F.col("id") / values).alias("a"), (F.col("id") % values).alias("b")
+    )
+    order = [SortKey("a"), SortKey("b")]
+    hot = spark.createDataFrame([("hot",)], "__tw_hot_k string")
+    points = positions._cut_points(df, hot, ["k"], order, target, n)
+    ranged = positions._with_ranges(df, points, ["k"], order, (2 * n // target).bit_length(), "inner")
+    sizes = [r["count"] for r in ranged.groupBy("__tw_range").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 4 * target and len(sizes) <= 4 * n // target
+    placed = with_positions(df, ["k"], order, max_rows=target)
+    assert placed.where(F.col("position") != F.col("a") * values + F.col("b") + 1).count() == 0
+
+
+def test_offsets_may_be_too_many_to_broadcast(skewed, monkeypatch):
+    order = [SortKey("v"), SortKey("seq")]
+    plain = with_positions(skewed, ["k"], order, total="n")
+    monkeypatch.setattr(positions, "_BROADCAST_RANGES", 0)
+    split = with_positions(skewed, ["k"], order, total="n", max_rows=100)
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0

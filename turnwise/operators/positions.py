@@ -11,9 +11,9 @@ group), it is cut into ranges of the sort order first:
 4. rows per range are counted, which gives each range its offset;
 5. ``row_number()`` runs per (group, range) and the offset is added.
 
-The cut points only decide how rows are spread; positions are exact whatever they are. At most
-``MAX_RANGES`` groups can be oversized and they have at most twice that many ranges, whatever the
-size of the table, so the two broadcast tables below are bounded.
+The cut points only decide how rows are spread; positions are exact whatever they are. A range has
+about ``max_group_rows`` rows however large the table is; there is one cut point (a few bytes) per
+range, and the offsets of the ranges are broadcast only where they are known to be few.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ from turnwise.errors import AnalyticsError
 
 MAX_GROUP_ROWS = 200_000
 MAX_GROUP_ROWS_SETTING = "turnwise.maxGroupRows"
-MAX_RANGES = 4096
-_SAMPLES_PER_RANGE = 32
+# Sampled rows per range, fewer where the sample of a group would be larger than this.
+_SAMPLES_PER_RANGE, _MIN_SAMPLES, _SAMPLE_ROWS = 32, 4, 2_000_000
+# Ranges whose offsets are broadcast; beyond that they are joined like any table.
+_BROADCAST_RANGES = 100_000
 
 _ALL = "__tw_all"
 _ROWS = "__tw_rows"
@@ -89,7 +91,7 @@ def with_positions(
     """
     if between and group:
         raise AnalyticsError("POSITIONS_INVALID", "positions can be picked of a whole table only")
-    limit = max_group_rows(df, max_rows)
+    target = max_group_rows(df, max_rows)
     keys = list(group)
     if not keys:
         df = df.withColumn(_ALL, F.lit(0))
@@ -97,11 +99,10 @@ def with_positions(
     sizes = df.groupBy(*_columns(keys)).agg(F.count("*").alias(_ROWS))
     summary = sizes.agg(F.sum(_ROWS).alias("n"), F.max(_ROWS).alias("m")).head()
     rows, largest = (summary["n"] or 0), (summary["m"] or 0)
-    target = max(limit, -(-rows // MAX_RANGES))
     if largest <= target:
         result = _small_groups(df, keys, order, position, total)
     else:
-        result = _split_groups(df, keys, order, position, total, sizes, target, largest, between)
+        result = _split_groups(df, keys, order, position, total, sizes, target, rows, largest, between)
     if between:
         result = result.where(F.col(f"`{position}`").between(*between))
     return result.drop(_ALL)
@@ -125,15 +126,17 @@ def _split_groups(
     total: str | None,
     sizes: DataFrame,
     target: int,
+    rows: int,
     largest: int,
     between: tuple[int, int] | None,
 ) -> DataFrame:
     # Twice the expected number of cut points; the search may stop short of further ones.
     steps = (2 * largest // target).bit_length()
+    few = 4 * rows // target <= _BROADCAST_RANGES
     names = dict.fromkeys([*keys, *[k.column for k in order]])
     narrow = df.select(*_columns(list(names)))
     hot = _rename_keys(sizes.where(F.col(_ROWS) > target), keys)
-    points = _cut_points(narrow, hot, keys, order, target)
+    points = _cut_points(narrow, hot, keys, order, target, largest)
 
     ranged_keys = _with_ranges(narrow, points, keys, order, steps, "inner")
     per_group = Window.partitionBy(*_columns(keys))
@@ -161,8 +164,8 @@ def _split_groups(
     if between:
         offsets = offsets.where((F.col(_OFFSET) < between[1]) & (F.col(_END) >= between[0]))
         how = "inner"
-    # At most two rows per MAX_RANGES; groups that are not cut find none.
-    ranged = ranged.join(F.broadcast(offsets), same_range, how)
+    # Groups that are not cut find none; a picked page lies in very few ranges.
+    ranged = ranged.join(F.broadcast(offsets) if few or between else offsets, same_range, how)
     window = Window.partitionBy(*_columns(keys), _RANGE)
     local = F.row_number().over(window.orderBy(*[k.expression() for k in order]))
     ranged = ranged.withColumn(position, local + F.coalesce(F.col(_OFFSET), F.lit(0)))
@@ -184,20 +187,29 @@ def _same_keys(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{_HOT + k}`")) for k in keys])
 
 
+def _hash(df: DataFrame, names: Sequence[str]) -> Column:
+    """Hash of several columns; texts by their bytes, whatever their collation."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return F.xxhash64(
+        *[F.col(f"`{n}`").cast("binary") if n in texts else F.col(f"`{n}`") for n in dict.fromkeys(names)]
+    )
+
+
 def _cut_points(
-    narrow: DataFrame, hot: DataFrame, keys: list[str], order: Sequence[SortKey], target: int
+    narrow: DataFrame, hot: DataFrame, keys: list[str], order: Sequence[SortKey], target: int, largest: int
 ) -> DataFrame:
-    """One row per oversized group: its cut points in sort order."""
-    every = max(1, target // _SAMPLES_PER_RANGE)
-    # ``hot`` has at most MAX_RANGES rows; without a group, all rows belong together.
-    members = narrow
-    if keys != [_ALL]:
-        members = narrow.join(F.broadcast(hot), _same_keys(keys), "left_semi")
-    last = order[-1].column
-    sample = members.where(F.pmod(F.xxhash64(F.col(f"`{last}`")), F.lit(every)) == 0)
+    """One row per oversized group: its cut points in sort order.
+
+    Only all order columns together tell rows apart, so the sample goes by the hash of all of them.
+    """
+    per_range = max(_MIN_SAMPLES, min(_SAMPLES_PER_RANGE, _SAMPLE_ROWS * target // largest))
+    every = max(1, target // per_range)
+    sampled = narrow.where(F.pmod(_hash(narrow, [*keys, *[k.column for k in order]]), F.lit(every)) == 0)
+    # Without a group, all rows belong together; the oversized groups join the sample only.
+    sample = sampled if keys == [_ALL] else sampled.join(hot, _same_keys(keys), "left_semi")
     ranks = Window.partitionBy(*_columns(keys)).orderBy(*[k.expression() for k in order])
     cuts = sample.withColumn(_LOCAL, F.row_number().over(ranks)).where(
-        F.col(_LOCAL) % max(1, min(_SAMPLES_PER_RANGE, target)) == 0
+        F.col(_LOCAL) % max(1, min(per_range, target)) == 0
     )
     point = F.struct(*[F.col(f"`{k.column}`").alias(f"k{i}") for i, k in enumerate(order)])
     return cuts.groupBy(*[F.col(f"`{k}`").alias(_HOT + k) for k in keys]).agg(
@@ -236,7 +248,7 @@ def _with_ranges(
     if keys == [_ALL]:
         joined = df.withColumn(_POINTS, points.select(_POINTS).scalar())
     else:
-        # One row per oversized group and at most two cut points per MAX_RANGES in total.
+        # One row per oversized group, of which there are fewer than rows by rows per range.
         joined = df.join(F.broadcast(points), _same_keys(keys), how)
     return joined.withColumn(
         _RANGE, F.when(F.col(_POINTS).isNull(), F.lit(0)).otherwise(search)
