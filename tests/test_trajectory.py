@@ -194,6 +194,11 @@ def json_order(spark, values, groups=None):
         (["2", "1.5", "10"], "102", False),
         (['"b"', '"a"', None], "102", False),
         (['{"a":1}', '{"a":1}', "null"], "012", False),
+        (["[2,1]", "[1,9]", "[1]", "[]"], "3210", False),
+        (['["b"]', "[]", '["a","z"]'], "120", False),
+        (["[1]", '["a"]'], "01", True),
+        (["[1]", "1"], "01", True),
+        (["9007199254740993", "9007199254740992", "9007199254740992.5"], "120", False),
     ],
 )
 def test_json_order_column(spark, values, expected, warned):

@@ -104,7 +104,11 @@ def _unsortable_mark(df: DataFrame, cfg: TrajectoryConfig) -> Column | None:
         text = canonical_text(value)
         family = _variant_family(value)
         differ = F.min(text) != F.max(text)
-        comparable = (F.min(family) == F.max(family)) & F.min(family).isin("number", "string")
+        comparable = F.lit(False)
+        for name in ("number", "string", "numbers", "strings"):
+            # An empty list goes with lists of either kind.
+            fits = (name, "empty") if name.endswith("s") else (name,)
+            comparable = comparable | (F.count_if(family.isNotNull() & ~family.isin(*fits)) == 0)
         return F.coalesce(differ & ~comparable, F.lit(False))
     if isinstance(kind, (T.MapType, T.StructType)):
         text = F.when(column.isNotNull(), canonical_text(F.to_variant_object(column)))
@@ -112,11 +116,18 @@ def _unsortable_mark(df: DataFrame, cfg: TrajectoryConfig) -> Column | None:
     return None
 
 
+_NUMBER = r"(TINYINT|SMALLINT|INT|BIGINT|DECIMAL(\([0-9,]*\))?|DOUBLE|FLOAT|BOOLEAN)"
+
+
 def _variant_family(value: Column) -> Column:
+    """What a VARIANT can be compared with: numbers, strings, and lists of either."""
     shape = F.schema_of_variant(value)
     return (
-        F.when(shape.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), "number")
+        F.when(shape.rlike(rf"^{_NUMBER}$"), "number")
         .when(shape == "STRING", "string")
+        .when(shape.rlike(rf"^ARRAY<{_NUMBER}>$"), "numbers")
+        .when(shape == "ARRAY<STRING>", "strings")
+        .when((shape == "ARRAY<VOID>") & (canonical_text(value) == "[]"), "empty")
         .when(value.isNotNull(), "other")
     )
 
@@ -145,12 +156,19 @@ def _with_order(
     value = nullify(column) if isinstance(kind, T.VariantType) else column
     helpers = {_NULL_RANK: F.when(keep, value.isNull())}
     if isinstance(kind, T.VariantType):
-        helpers[_ORDER + "number"] = F.when(
-            keep & (_variant_family(value) == "number"), F.try_variant_get(value, "$", "double")
-        )
-        helpers[_ORDER + "string"] = F.when(
-            keep & (_variant_family(value) == "string"), F.try_variant_get(value, "$", "string")
-        )
+        family = _variant_family(value)
+
+        def read(kind: str, *families: str) -> Column:
+            return F.when(keep & family.isin(*families), F.try_variant_get(value, "$", kind))
+
+        # Doubles order all numbers; those that are one double, such as integers beyond 2^53, differ
+        # in their decimals.
+        helpers[_ORDER + "number"] = read("double", "number")
+        helpers[_ORDER + "whole"] = read("decimal(38,0)", "number")
+        helpers[_ORDER + "exact"] = read("decimal(38,18)", "number")
+        helpers[_ORDER + "string"] = read("string", "string")
+        helpers[_ORDER + "numbers"] = read("array<double>", "numbers", "empty")
+        helpers[_ORDER + "strings"] = read("array<string>", "strings", "empty")
     df = df.withColumns(helpers).drop(_BAD, _BAD + "_group")
     keys = [SortKey(name, ascending, nulls_first=not ascending) for name in helpers]
     return df, [*keys, *by_input]
@@ -240,6 +258,29 @@ def nest(long_form: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     )
 
 
+def summarise(long_form: DataFrame, seq: str | Sequence[str]) -> DataFrame:
+    """One row per trajectory, however long: first and last role, size, and where it was first seen.
+
+    Aggregates of the long form that combine before any further shuffle. ``first_seq`` (a struct for
+    several columns) is the input place of the trajectory's first row, whose order is the order of
+    the trajectories.
+    """
+    names = _names(seq)
+    place = F.struct(*[F.col("raw").getField(n).alias(n) for n in names])
+    first = F.min(place if len(names) > 1 else F.col("raw").getField(names[0]))
+    size = F.length(F.col("content").cast("string")).cast("bigint")
+    return (
+        long_form.groupBy("group_value", "group_key", "group_is_null", "message_count")
+        .agg(
+            F.min_by("role", "position").alias("first_role"),
+            F.max_by("role", "position").alias("last_role"),
+            F.coalesce(F.sum(size), F.lit(0)).alias("n_chars"),
+            first.alias("first_seq"),
+        )
+        .drop("group_value")
+    )
+
+
 def first_seen(df: DataFrame, cfg: TrajectoryConfig, seq: str) -> DataFrame:
     """Groups with the input position of their first row, which is their output order."""
     check_columns(df, cfg)

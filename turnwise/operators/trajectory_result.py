@@ -20,16 +20,20 @@ from turnwise.operators.trajectory import (
     check_columns,
     messages,
     nest,
+    summarise,
     trajectory_warnings,
 )
 
 
 @dataclass(frozen=True)
 class TrajectoryResult:
-    """Three lazy tables: messages (long form), trajectories (nested form), warnings."""
+    """Messages (long form), trajectories (nested form, in segments), summaries (a row per
+    trajectory) and warnings. The tables are lazy, but building them runs up to three small jobs:
+    two to find JSON columns unless they are named, one for the sizes of the groups."""
 
     messages: DataFrame
     trajectories: DataFrame
+    summaries: DataFrame
     warnings: DataFrame
 
 
@@ -56,4 +60,6 @@ def build_trajectories(
         .unionByName(collision_warning(shaped, name))
         .unionByName(trajectory_warnings(rows, cfg))
     )
-    return TrajectoryResult(long_form, nest(long_form, segment_rows), warnings)
+    return TrajectoryResult(
+        long_form, nest(long_form, segment_rows), summarise(long_form, seq), warnings
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from turnwise.functions.jsons import container_summary
 from turnwise.functions.text import block_preview, first_line_preview
 from turnwise.functions.times import format_timestamp
-from turnwise.operators.positions import SortKey
+from turnwise.operators.positions import SortKey, with_positions
 from turnwise.operators.shape import number_rows
 from turnwise.operators.tableview import natural_positions
 from turnwise.plans.registry import Tables, query
@@ -168,3 +168,31 @@ def timestamp_format(t: Tables):
         format_timestamp(millis, T.LongType()).alias("from_millis"),
         format_timestamp(text, T.StringType()).alias("mixed"),
     )
+
+
+@query(
+    "line_positions_split",
+    """
+    SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag
+      ORDER BY l_orderkey, l_linenumber) AS position FROM lineitem
+    """,
+)
+def line_positions_split(t: Tables):
+    """Three large groups in an order that only two columns together make total, cut into ranges."""
+    lines = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber")
+    order = [SortKey("l_orderkey"), SortKey("l_linenumber")]
+    return with_positions(lines, ["l_returnflag"], order, max_rows=1000).drop("l_returnflag")
+
+
+@query(
+    "natural_sort_times",
+    """
+    SELECT event_id, row_number() OVER (ORDER BY shifted, event_id) AS row_no FROM (
+      SELECT event_id, ts + to_milliseconds(event_id % 4 * 250) AS shifted FROM events)
+    """,
+)
+def natural_sort_times(t: Tables):
+    """Times with fractions, whose texts would sort otherwise."""
+    shifted = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 4 * F.lit(0.25)).cast("decimal(18,6)"))
+    rows = t.events.select("event_id", shifted.alias("at"))
+    return natural_positions(rows, [("at", "asc")], "event_id").drop("at")

@@ -14,6 +14,7 @@ from turnwise.operators.trajectory import (
     first_seen,
     messages,
     nest,
+    summarise,
     trajectory_warnings,
 )
 from turnwise.operators.trajectory_result import TrajectoryResult, build_trajectories
@@ -439,31 +440,68 @@ def trajectory_result_warnings(t: Tables):
 
 
 def flagship(t: Tables) -> DataFrame:
-    """Conversations as trajectories: length, role path and text size per segment."""
-    result = build_trajectories(t.conversations, CONVERSATION, "turn")
-    roles = F.transform("messages", lambda m: m["role"])
-    sizes = F.transform("messages", lambda m: F.length(m["content"]).cast("bigint"))
-    return result.trajectories.select(
-        "group_key",
-        "message_count",
-        "segment",
-        F.array_join(roles, ">").alias("role_path"),
-        F.get(roles, F.lit(0)).alias("first_role"),
-        F.element_at(roles, -1).alias("last_role"),
-        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_chars"),
-    )
+    """Conversations as trajectories: length, first and last role, text size and first place."""
+    return build_trajectories(t.conversations, CONVERSATION, "turn").summaries
 
 
 query(
+    "trajectory_summaries",
+    """
+    SELECT CAST(conv_id AS VARCHAR) AS group_key, false AS group_is_null, count(*) AS message_count,
+           min_by(role, turn) AS first_role, max_by(role, turn) AS last_role,
+           CAST(sum(length(text)) AS BIGINT) AS n_chars, min(turn) AS first_seq
+    FROM conversations GROUP BY conv_id
+    """,
+)(flagship)
+
+
+@query(
+    "trajectory_summaries_long",
+    f"""
+    SELECT coalesce(CAST(session AS VARCHAR), '__null__') AS group_key, session IS NULL AS group_is_null,
+           count(*) AS message_count, arg_min(event_type, event_id) AS first_role,
+           arg_max(event_type, event_id) AS last_role,
+           CAST(sum(length(event_type)) AS BIGINT) AS n_chars, min(event_id) AS first_seq
+    FROM ({_BUSY_SQL}) GROUP BY session
+    """,
+)
+def trajectory_summaries_long(t: Tables):
+    """Two fifths of all events in one session, which takes many segments and ranges."""
+    cfg = TrajectoryConfig("session", "event_type", "event_type", order_by="event_id")
+    rows = with_row_identity(busy_sessions(t), "event_id")
+    return summarise(messages(rows, cfg, "event_id", max_group_rows=100), "event_id")
+
+
+@query(
     "trajectory_role_paths",
     """
     WITH placed AS (
       SELECT conv_id, text, role, count(*) OVER (PARTITION BY conv_id) AS n,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
     SELECT CAST(conv_id AS VARCHAR) AS group_key, n AS message_count,
-           CAST((p - 1) // 1000 AS INT) AS segment, string_agg(role, '>' ORDER BY p) AS role_path,
-           min_by(role, p) AS first_role, max_by(role, p) AS last_role,
-           CAST(sum(length(text)) AS BIGINT) AS n_chars
+           CAST((p - 1) // 1000 AS INT) AS segment, string_agg(role, '>' ORDER BY p) AS role_path
     FROM placed GROUP BY conv_id, n, (p - 1) // 1000
     """,
-)(flagship)
+)
+def trajectory_role_paths(t: Tables):
+    """The roles of each segment in order; values of whole trajectories are in the summaries."""
+    nested = build_trajectories(t.conversations, CONVERSATION, "turn").trajectories
+    path = F.array_join(F.transform("messages", lambda m: m["role"]), ">")
+    return nested.select("group_key", "message_count", "segment", path.alias("role_path"))
+
+
+@query(
+    "trajectory_big_orders",
+    """
+    SELECT event_id, row_number() OVER (PARTITION BY user_id
+      ORDER BY 9007199254740993 - event_id % 5 DESC, event_id) AS position
+    FROM events
+    """,
+)
+def trajectory_big_orders(t: Tables):
+    """Order values beyond 2^53 that differ by one, as JSON numbers."""
+    place = F.concat(F.lit("9007199254740"), (F.lit(993) - F.col("event_id") % 5).cast("string"))
+    rows = t.events.withColumn("place", F.parse_json(place))
+    cfg = TrajectoryConfig("user_id", "event_type", "event_id", order_by="place", order_direction="desc")
+    placed = messages(with_row_identity(rows, "event_id"), cfg, "event_id")
+    return placed.select(F.col("raw.event_id").alias("event_id"), "position")
