@@ -1,16 +1,16 @@
 """Column classification on small inputs."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from turnwise.errors import AnalyticsError
 from turnwise.operators import classify
 from turnwise.operators.classify import (
     RULE_SCHEMA,
     Rule,
     classify_columns,
-    load_rules,
     matching_rules,
     rule_problems,
 )
@@ -91,11 +91,52 @@ def test_problems_of_a_rules_table(spark):
         3: "render_config must be an object", 4: "render_config failed validation",
         5: "render_config failed validation", 8: "render_config failed validation",
     }
-    assert [r.id for r in load_rules(rules)] == [9, 6]
 
 
-def test_rules_table_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(classify, "MAX_RULES", 1)
-    rows = [(i, "p", "exact", '{"type":"tag"}', 0, True) for i in range(2)]
-    with pytest.raises(AnalyticsError):
-        load_rules(spark.createDataFrame(rows, RULE_SCHEMA))
+def test_regular_expressions_have_pythons_meaning(spark):
+    names = ["xa", "x", "x\n", "\u0663", "3", "AB", "ab"]
+    rules = [
+        Rule(1, "(?P<q>x).*", "regex", '{"type":"tag"}'), Rule(2, r"x\Z", "regex", '{"type":"tag"}'),
+        Rule(3, r"\d", "regex", '{"type":"tag"}'), Rule(4, "(?i:ab)", "regex", '{"type":"tag"}'),
+        Rule(5, "*", "regex", '{"type":"tag"}'),
+    ]
+    df = spark.createDataFrame([(n, "text") for n in names], "column_name string, inferred_type string")
+    found = sorted((r.column_name, r.rule_id) for r in matching_rules(df, rules).collect())
+    wanted = sorted((n, r.id) for r in rules[:4] for n in names if re.fullmatch(r.match_pattern, n))
+    assert found == wanted
+
+
+def test_repeated_and_missing_names_stay_rows(spark):
+    df = spark.createDataFrame([("a", "text"), ("a", "text"), (None, "json"), ("", "text")], "column_name string, inferred_type string")
+    found = classify_columns(df, [Rule(1, "", "prefix", '{"type":"tag"}')]).collect()
+    assert sorted((r.column_name or "", r["class"]) for r in found) == [("", "json"), ("", "tag"), ("a", "tag"), ("a", "tag")]
+
+
+@pytest.mark.parametrize("block", [2000, 150])
+def test_large_rules_tables(spark, monkeypatch, block):
+    """5 000 rules and 100 000 names, regular expressions among them in several blocks."""
+    monkeypatch.setattr(classify, "BLOCK_RULES", block)
+    n = F.col("id")
+    kind = F.element_at(F.array(*map(F.lit, ("exact", "prefix", "suffix", "regex"))), F.when(n % 16 == 0, 4).otherwise(n % 3 + 1).cast("int"))
+    rules = spark.range(5000).select(
+        n.cast("int").alias("id"), F.concat(F.lit("c"), n.cast("string")).alias("match_pattern"), kind.alias("match_type"),
+        F.concat(F.lit('{"type":"code","language":"'), n.cast("string"), F.lit('"}')).alias("render_config"),
+        F.lit(0).alias("priority"), F.lit(True).alias("enabled"),
+    )
+    names = spark.range(100_000).select(F.concat(F.lit("c"), (n % 2500).cast("string"), F.lit("_"), n.cast("string")).alias("column_name"), F.lit("text").alias("inferred_type"))
+    whole = spark.range(4992).select(F.concat(F.lit("c"), n.cast("string")).alias("column_name"), F.lit("text").alias("inferred_type"))
+    found = classify_columns(names.limit(20_000 if block < 2000 else 100_000).unionByName(whole), rules)
+    decided = {r.column_name: json.loads(r.params)["language"] for r in found.where("class = 'code' AND column_name NOT LIKE '%\\_%'").collect()}
+    rule_kind = {i: "regex" if i % 16 == 0 else ("exact", "prefix", "suffix")[i % 3] for i in range(5000)}
+
+    def winner(number):
+        text, hits = f"c{number}", []
+        for cut in range(1, len(text)):
+            i = int(text[1 : cut + 1])
+            if str(i) == text[1 : cut + 1] and i < 5000:
+                own = cut == len(text) - 1
+                if (rule_kind[i] == "prefix") or (own and rule_kind[i] in ("exact", "suffix", "regex")):
+                    hits.append(i)
+        return min(hits, default=None)
+
+    assert all(decided.get(f"c{k}") == (None if winner(k) is None else str(winner(k))) for k in range(0, 4992, 7))

@@ -15,8 +15,8 @@ from turnwise.plans import REGISTRY
 from turnwise.plans.registry import Tables
 from turnwise.plans.trajectories import CONVERSATION, SESSION
 
-# The reason of a broken regular expression comes from Python's own compiler.
-WITH_PYTHON = {"column_rule_warnings"}
+# Regular expressions of rules are Python's.
+WITH_PYTHON = {"column_rule_warnings", "column_rule_matches", "column_classes", "column_classes_from_table"}
 
 
 def plan(df):

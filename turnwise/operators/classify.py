@@ -1,24 +1,25 @@
 """Column classification: prioritised name rules over a column catalog, then defaults.
 
-A catalog is a table of columns (``column_name``, ``inferred_type`` and whatever else). Rules are
-configuration: a rules table is validated as a table and then compiled into one expression per
-rule, so classifying a catalog of any size is a projection without a join.
+A catalog is a table of columns (``column_name``, ``inferred_type`` and whatever else), rules are
+another table. Exact, prefix and suffix rules meet the names in one equi-join on (kind, text), where
+a name brings all its prefixes and suffixes. Regular expressions have Python's meaning (full match)
+and are matched in Python, block by block of the rules, over the distinct names of a batch.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import astuple, dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnwise.errors import AnalyticsError
-from turnwise.functions.jsons import parse_strict
+from turnwise.functions.jsons import canonical_text, parse_strict
 
 # Classes with the parameters they take when none are given.
 CLASS_DEFAULTS = {
@@ -35,8 +36,9 @@ TIMESTAMP_SUFFIXES = ("_at", "_time", "_timestamp", "_date", "_datetime")
 MARKDOWN_NAMES = ("content", "markdown", "md")
 MARKDOWN_SUFFIXES = ("_content", "_markdown", "_md")
 
-# A rules table is configuration that is compiled into the plan, so its size is checked.
-MAX_RULES = 2000
+# Regular expressions tried in one pass over the catalog; a table of more takes several passes.
+BLOCK_RULES = 2000
+_HITS, _ID, _KEY = "__tw_hits", "__tw_id", "__tw_key"
 
 RULE_SCHEMA = (
     "id int, match_pattern string, match_type string, render_config string, priority int, "
@@ -55,12 +57,16 @@ class Rule:
     enabled: bool = True
 
 
-def _is_regex(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+def rules_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
+    """Rules as a table."""
+    schema = T._parse_datatype_string(RULE_SCHEMA)
+    rows = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(astuple(r), schema, strict=True)]) for r in rules]
+    values = F.array(*rows).cast(T.ArrayType(schema))
+    return spark.range(1).select(F.inline(values))
+
+
+def _table(catalog: DataFrame, rules: DataFrame | Sequence[Rule]) -> DataFrame:
+    return rules if isinstance(rules, DataFrame) else rules_table(catalog.sparkSession, rules)
 
 
 def _config_problem(config: Column) -> Column:
@@ -116,51 +122,74 @@ def rule_problems(rules: DataFrame) -> DataFrame:
     ).where("reason is not null")
 
 
-def load_rules(rules: DataFrame) -> list[Rule]:
-    """The usable rules of a rules table, in order of priority, for compiling into a plan."""
-    usable = rules.where("enabled").join(
-        rule_problems(rules).select(F.col("rule_id").alias("id")), "id", "left_anti"
-    )
-    found = usable.limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise AnalyticsError(
-            "TOO_MANY_RULES", f"a rules table holds at most {MAX_RULES} rules", {"limit": MAX_RULES}
-        )
-    return in_priority(Rule(**row.asDict()) for row in found)
+def _full_match(patterns: list[tuple[int, str]]):
+    """A function from names to the ids of the patterns that match them whole."""
 
+    # Uses nothing of this package, so that workers need not have it installed.
+    @F.pandas_udf("array<int>")
+    def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import re
 
-def in_priority(rules: Iterable[Rule]) -> list[Rule]:
-    return sorted((r for r in rules if r.enabled), key=lambda r: (-r.priority, r.id))
+        compiled = []
+        for rule, pattern in patterns:
+            try:
+                compiled.append((rule, re.compile(pattern).fullmatch))
+            except (re.error, RecursionError, OverflowError):
+                continue
+        for names in batches:
+            hits = {n: [rule for rule, match in compiled if match(n)] for n in names.dropna().unique()}
+            yield names.map(lambda name, hits=hits: hits.get(name, []))
 
+    return matches
 
-def rule_matches(name: Column, rule: Rule) -> Column:
-    """Whether a column name matches a rule; an unknown match type never does."""
-    if rule.match_type == "exact":
-        return name == rule.match_pattern
-    if rule.match_type == "prefix":
-        return name.startswith(rule.match_pattern)
-    if rule.match_type == "suffix":
-        return name.endswith(rule.match_pattern)
-    if rule.match_type == "regex" and _is_regex(rule.match_pattern):
-        return name.rlike(rf"\A(?:{rule.match_pattern})\z")
-    return F.lit(False)
 
+def _regex_hits(catalog: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add the ids of the regular expressions that match the whole name.
 
-def matching_rules(catalog: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per column and enabled rule that matches its name."""
+    Expressions are brought to the tasks in blocks, of which each is one pass; those that Python
+    cannot compile match nothing.
+    """
+    regexes = rules.where("enabled AND match_type = 'regex' AND match_pattern IS NOT NULL")
+    blocks = math.ceil(regexes.count() / BLOCK_RULES)
+    block = F.pmod(F.xxhash64("id", "match_pattern"), F.lit(max(1, blocks)))
+    found = catalog.withColumn(_HITS, F.array().cast("array<int>"))
+    for number in range(blocks):
+        patterns = [tuple(r) for r in regexes.where(block == number).select("id", "match_pattern").collect()]
+
+        found = found.withColumn(_HITS, F.concat(_HITS, _full_match(patterns)(F.col("column_name"))))
+    return found
+
+
+def _keyed(catalog: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per column and thing a rule could ask of its name: (kind, text)."""
     name = F.col("column_name")
-    hits = [
-        F.when(
-            rule_matches(name, r),
-            F.struct(
-                F.lit(r.id).alias("rule_id"),
-                F.lit(r.match_type).alias("match_type"),
-                F.lit(r.priority).alias("priority"),
-            ),
-        )
-        for r in in_priority(rules)
-    ]
-    return catalog.select("*", F.inline(F.array_compact(F.array(*hits))))
+
+    def keys(kind: str, texts: Column) -> Column:
+        return F.transform(texts, lambda text: F.struct(F.lit(kind).alias("kind"), text.alias("text")))
+
+    lengths = F.sequence(F.lit(0), F.char_length(name))
+    every = F.concat(
+        keys("exact", F.array(name)),
+        keys("prefix", F.transform(lengths, lambda n: F.substring(name, F.lit(1), n))),
+        keys("suffix", F.transform(lengths, lambda n: F.substring(name, F.char_length(name) - n + 1, n))),
+        keys("regex", F.transform(_HITS, lambda rule: rule.cast("string"))),
+    )
+    known = _regex_hits(catalog, rules).withColumn(_ID, F.monotonically_increasing_id())
+    return known.select("*", F.explode_outer(F.when(name.isNotNull(), every)).alias(_KEY))
+
+
+def _asked(rules: DataFrame) -> DataFrame:
+    """Enabled rules with what they ask of a name."""
+    is_regex = F.col("match_type") == "regex"
+    text = F.when(is_regex, F.col("id").cast("string")).otherwise(F.col("match_pattern"))
+    return rules.where("enabled").withColumn(_KEY, F.struct(F.col("match_type").alias("kind"), text.alias("text")))
+
+
+def matching_rules(catalog: DataFrame, rules: DataFrame | Sequence[Rule]) -> DataFrame:
+    """One row per column and enabled rule that matches its name."""
+    rules = _table(catalog, rules)
+    asked = _asked(rules).select(_KEY, F.col("id").alias("rule_id"), "match_type", "priority")
+    return _keyed(catalog, rules).join(asked, _KEY).select(*catalog.columns, "rule_id", "match_type", "priority")
 
 
 def default_class(name: Column, kind: Column) -> Column:
@@ -179,43 +208,45 @@ def default_class(name: Column, kind: Column) -> Column:
     )
 
 
-def classify_columns(catalog: DataFrame, rules: Sequence[Rule] = ()) -> DataFrame:
+def _default(name: Column, kind: Column) -> Column:
+    """Class and parameters of a column that no rule decides."""
+    params = F.create_map(*[F.lit(x) for c, p in CLASS_DEFAULTS.items() for x in (c, _text(p))])
+    return F.transform(
+        F.array(default_class(name, kind)),
+        lambda c: F.struct(c.alias("class"), F.element_at(params, c).alias("params")),
+    )[0]
+
+
+def classify_columns(catalog: DataFrame, rules: DataFrame | Sequence[Rule] = ()) -> DataFrame:
     """Add ``class`` and ``params`` (JSON text) to every column of a catalog.
 
-    The first usable rule by priority, then id, decides; otherwise the default does.
+    The first usable rule by priority, then id, decides; otherwise the default does. The catalog is
+    read once, a rules table of any size is one side of one join.
     """
-    name, kind = F.col("column_name"), F.col("inferred_type")
-    chosen = F.lit(None).cast("struct<class:string,params:string>")
-    for rule in reversed(in_priority(rules)):
-        picked = _rule_class(rule)
-        if picked is not None:
-            chosen = F.when(rule_matches(name, rule), _class(*picked)).otherwise(chosen)
-    fallback = F.lit(None).cast("struct<class:string,params:string>")
-    for class_name, params in CLASS_DEFAULTS.items():
-        fallback = F.when(default_class(name, kind) == class_name, _class(class_name, params)).otherwise(
-            fallback
-        )
-    return catalog.withColumn("_pick", F.coalesce(chosen, fallback)).select(
-        *catalog.columns, F.col("_pick.class").alias("class"), F.col("_pick.params").alias("params")
-    )
+    rules = _table(catalog, rules)
+    usable = _asked(rules).where(_config_problem(F.col("render_config")).isNull())
+    usable = usable.select(_KEY, F.struct((-F.col("priority")).alias("p"), F.col("id").alias("i")).alias("__tw_order"), _rule_class(F.col("render_config")).alias("__tw_class"))
+    hits = _keyed(catalog, rules).join(usable, _KEY, "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in catalog.columns])
+    picked = hits.groupBy(_ID).agg(F.first(row).alias("__tw_row"), F.min_by("__tw_class", "__tw_order").alias("__tw_pick"))
+    pick = F.coalesce("__tw_pick", _default(F.col("__tw_row.column_name"), F.col("__tw_row.inferred_type")))
+    picked = picked.withColumn("__tw_pick", pick)
+    return picked.select("__tw_row.*", F.col("__tw_pick.class").alias("class"), F.col("__tw_pick.params").alias("params"))
 
 
-def _class(name: str, params: dict) -> Column:
-    text = json.dumps(params, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return F.struct(F.lit(name).alias("class"), F.lit(text).alias("params"))
+def _text(params: dict) -> str:
+    return json.dumps(params, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _rule_class(rule: Rule) -> tuple[str, dict] | None:
-    """Class and parameters a rule sets, None when its configuration is unusable."""
-    try:
-        config = json.loads(rule.render_config)
-    except ValueError:
-        return None
-    name = config.get("type") if isinstance(config, dict) else None
-    if not isinstance(name, str) or name not in CLASS_DEFAULTS:
-        return None
-    given = {k: v for k, v in config.items() if k != "type"}
-    for key, default in CLASS_DEFAULTS[name].items():
-        if key in given and not isinstance(given[key], type(default)):
-            return None
-    return name, {**CLASS_DEFAULTS[name], **given}
+def _rule_class(config: Column) -> Column:
+    """Class and parameters a usable configuration sets, with the defaults it leaves out."""
+    value = parse_strict(config)
+    name = F.try_variant_get(value, "$.type", "string")
+    given = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: k != "type")
+    defaults = F.create_map(
+        *[x for c, p in CLASS_DEFAULTS.items() for x in (F.lit(c), F.from_json(F.lit(_text(p)), "map<string,string>"))]
+    )
+    own = F.transform_values(F.element_at(defaults, name), lambda k, v: F.coalesce(F.try_parse_json(v), v.cast("variant")))
+    missing = F.map_filter(own, lambda k, v: ~F.map_contains_key(given, k))
+    params = canonical_text(F.to_variant_object(F.map_concat(given, missing)))
+    return F.struct(name.alias("class"), params.alias("params"))

@@ -36,6 +36,50 @@ def column_rule_matches(t: Tables):
     return matching_rules(all_catalogs(t), RULES)
 
 
+_TABLE_RULES = """
+  SELECT CAST(n_nationkey AS INT) AS id, CASE n_nationkey % 4 WHEN 0 THEN lower(substr(n_name, 1, 1)) || '_'
+      WHEN 1 THEN lower(substr(n_name, 1, 1)) || '_key' WHEN 2 THEN 'key'
+      ELSE '[' || lower(substr(n_name, 1, 2)) || ']_.*' END AS pattern,
+    CASE n_nationkey % 4 WHEN 0 THEN 'prefix' WHEN 1 THEN 'exact' WHEN 2 THEN 'suffix' ELSE 'regex' END AS match_type,
+    CAST(n_regionkey AS INT) AS priority FROM nation"""
+
+
+@query(
+    "column_classes_from_table",
+    f"""
+    WITH cat AS ({catalog_sql()}), r AS ({_TABLE_RULES}),
+    hit AS (SELECT c.table_name, c.column_name, arg_min(r.id, (10 - r.priority) * 1000 + r.id) AS id
+      FROM cat c JOIN r ON CASE r.match_type WHEN 'exact' THEN c.column_name = r.pattern
+        WHEN 'prefix' THEN starts_with(c.column_name, r.pattern)
+        WHEN 'suffix' THEN ends_with(c.column_name, r.pattern)
+        ELSE regexp_full_match(c.column_name, r.pattern) END GROUP BY ALL)
+    SELECT c.table_name, c.column_name, 'code' AS class, '{{"language":"l' || h.id || '"}}' AS params
+    FROM cat c JOIN hit h USING (table_name, column_name)
+    """,
+)
+def column_classes_from_table(t: Tables):
+    """Rules that are made from a table, of every match type; the columns that they decide."""
+    key, name = F.col("n_nationkey"), F.lower("n_name")
+    kind = F.element_at(F.array(*map(F.lit, ("prefix", "exact", "suffix", "regex"))), (key % 4 + 1).cast("int"))
+    first = F.substring(name, 1, 1)
+    pattern = (
+        F.when(kind == "prefix", F.concat(first, F.lit("_")))
+        .when(kind == "exact", F.concat(first, F.lit("_key")))
+        .when(kind == "suffix", "key")
+        .otherwise(F.concat(F.lit("["), F.substring(name, 1, 2), F.lit("]_.*")))
+    )
+    rules = t.nation.select(
+        key.cast("int").alias("id"),
+        pattern.alias("match_pattern"),
+        kind.alias("match_type"),
+        F.concat(F.lit('{"type":"code","language":"l'), key.cast("string"), F.lit('"}')).alias("render_config"),
+        F.col("n_regionkey").cast("int").alias("priority"),
+        F.lit(True).alias("enabled"),
+    )
+    found = classify_columns(all_catalogs(t), rules).where("class = 'code'")
+    return found.select("table_name", "column_name", "class", "params")
+
+
 @query(
     "column_classes",
     f"""
