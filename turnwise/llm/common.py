@@ -49,6 +49,17 @@ def keep_columns(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are computed once per row.
+
+    Filters, also those that Spark infers from ``explode``, would otherwise be pushed below the projection, with the whole expression in the
+    place of the column, inside lambdas even once per element. A generator that makes one row holds them up.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(made)).alias("__once")).select(*kept, *[F.col(f"__once.{name}").alias(name) for name in columns])
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[..., Iterable[tuple]]],

@@ -18,6 +18,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import once
+
 SHINGLE = 5
 CONTAINED = 75
 BANDS = 32
@@ -96,7 +98,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc
     """
     templates = templates_of(docs.sparkSession) if templates is None else templates
     known = templates.select("license", F.col("text").alias("body")).where("body IS NOT NULL").distinct()
-    known = known.select("license", "body", F.array_distinct(shingles(words(F.col("body")))).alias("template")).where(F.size("template") > 0)
+    known = once(once(known, words=words(F.col("body"))), template=F.array_distinct(shingles(F.col("words")))).where(F.size("template") > 0)
     listed = known.select("body", "template").collect()
     empty = "doc_id bigint, license string, n_shingles bigint, n_matched bigint, first_word bigint"
     if not listed:
@@ -106,13 +108,13 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc
 
     low = F.lower(F.col(f"`{text}`"))
     gate = reduce(or_, [low.contains(word) for word in _gate([r["body"] for r in listed])])
-    given = docs.where(gate).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), words(F.col(f"`{text}`")).alias("words"))
-    given = given.select("doc_id", shingles(F.col("words")).alias("hashes")).where(F.size("hashes") > 0)
+    given = once(docs.where(gate).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), words=words(F.col("text")))
+    given = once(given.select("doc_id", "words"), hashes=shingles(F.col("words"))).select("doc_id", "hashes")
     if len(hashes) <= LISTED_SHINGLES:
         places = F.filter(F.transform("hashes", lambda h, k: F.when(h.isin(hashes), k)), lambda k: k.isNotNull())
     else:
-        places = F.sequence(F.lit(0), F.size("hashes") - 1)
-    given = given.withColumn("places", places).where(F.size("places") > 0)
+        places = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") - 1)).otherwise(F.array().cast("array<int>"))
+    given = once(given, places=places)
 
     per_size = []
     for size in sizes:
@@ -120,12 +122,14 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, doc_id: str = "doc
         length = size + size // 2 + stride - 1
         starts = F.array_distinct(F.flatten(F.transform("places", _windows(stride, length))))
         per_size.append(F.transform(starts, _window(size, stride, length)))
-    cut = given.select("doc_id", F.explode(F.concat(*per_size)).alias("w")).select("doc_id", "w.*").withColumn("distinct", F.array_distinct("window"))
-    keyed = cut.select("doc_id", "size", "start", "window", F.explode(bands(F.col("distinct"))).alias("band"))
+    given = once(given, windows=F.concat(*per_size))
+    cut = given.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*")
+    keyed = once(cut, bands=bands(F.array_distinct("window")))
+    keyed = keyed.select("doc_id", "size", "start", "window", F.explode("bands").alias("band"))
     table = known.select("license", "body", "template", F.size("template").alias("size"), F.explode(bands(F.col("template"))).alias("band"))
     retrieved = keyed.join(F.broadcast(table), ["size", "band"])
     matched = F.size(F.array_intersect("window", "template"))
-    verified = retrieved.withColumn("n_matched", matched).where(F.col("n_matched") * 100 >= F.col("size") * CONTAINED)
+    verified = once(retrieved, n_matched=matched).where(F.col("n_matched") * 100 >= F.col("size") * CONTAINED)
     inside = F.array_min(F.filter(F.transform("window", lambda h, k: F.when(F.array_contains(F.col("template"), h), k)), lambda k: k.isNotNull()))
     verified = verified.select("doc_id", "license", F.col("size").cast("long").alias("n_shingles"), F.col("n_matched").cast("long").alias("n_matched"), (F.col("start") + inside).cast("long").alias("first_word"))
     # Where texts of several licenses share shingles, the one that is there to the greatest part counts.
