@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import written
+from turnwise.llm.common import once, written
 
 _MARKS = r"^((?:[\x20\t]*>)+)"
 #: Lines that announce a quote, left out where a quote follows.
@@ -76,10 +76,11 @@ def _parents(messages: DataFrame) -> DataFrame:
     known = messages.where("conv IS NOT NULL AND turn IS NOT NULL")
     quoting = known.where("quoting")
     # Only conversations in which somebody quotes are searched; joining their ids first keeps the others' passages out of the shuffle.
-    said = known.join(quoting.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", F.explode(passages(F.col("lines"))).alias("p"))
+    said = known.join(quoting.select("conv").distinct(), "conv", "left_semi")
+    said = once(said, passages=passages(F.col("lines"))).select("conv", "turn", F.explode("passages").alias("p"))
     said = said.select("conv", "turn", "p.level", F.xxhash64("p.passage").alias("hash"))
     first = said.groupBy("conv", "level", "hash").agg(F.min("turn").alias("parent"))
-    asked = quoting.select("conv", "turn", F.explode(passages(F.col("lines"))).alias("p")).where("p.level > 0")
+    asked = once(quoting, passages=passages(F.col("lines"))).select("conv", "turn", F.explode("passages").alias("p")).where("p.level > 0")
     asked = asked.select("conv", "turn", (F.col("p.level") - 1).alias("level"), F.xxhash64("p.passage").alias("hash"), F.char_length("p.passage").alias("chars")).distinct()
     linked = asked.join(first, ["conv", "level", "hash"]).where("parent < turn")
     votes = linked.groupBy("conv", "turn", "parent").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
@@ -112,7 +113,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     one message for links, and each stays a row. An empty table gives an empty result; only the four columns are read.
     """
     given = messages.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text"))
-    split = given.withColumn("lines", quoted_lines(F.coalesce("text", F.lit(""))))
+    split = once(given, lines=quoted_lines(F.coalesce("text", F.lit(""))))
     split = split.withColumn("quoting", F.coalesce("text", F.lit("")).rlike(r"(?:^|[\r\n])[\x20\t]*>"))
     links = _roots(_parents(split))
     found = split.join(links, ["conv", "turn"], "left")
