@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, html_text, licenses, near_duplicates, packed_files, packing, personal_data, quotes, repetition, urls
+from turnwise.llm import contamination, html_text, licenses, near_duplicates, oracles, packed_files, packing, personal_data, quotes, repetition, urls
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", oracles.quality_rules(repetition.RepetitionRules()))
 def quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     found = repetition.repetition_coverage(read_table(spark, directory, "documents"), keep=["doc_id"])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,13 +37,13 @@ def quality_rules(spark: SparkSession, directory: str) -> DataFrame:
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
-@query("op8_url_filters")
+@query("op8_url_filters", oracles.url_filters(URL_RULES))
 def url_filters(spark: SparkSession, directory: str) -> DataFrame:
     judged = urls.judge_urls(read_table(spark, directory, "pages"), urls.UrlRules(rules=URL_RULES), keep=["page_id"])
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", oracles.decontamination(contamination.WINDOW))
 def benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     docs, items = read_table(spark, directory, "documents"), read_table(spark, directory, "benchmark")
     found = contamination.find_items(docs, items, keep=["doc_id"], with_text=False)
@@ -65,7 +65,7 @@ def token_files(spark: SparkSession, directory: str) -> DataFrame:
     return packed_files.read_documents(spark, path)
 
 
-@query("op10_near_duplicates")
+@query("op10_near_duplicates", oracles.near_duplicates(near_duplicates.SHINGLE, near_duplicates.SIMILAR))
 def near_duplicate_groups(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates.near_duplicates(read_table(spark, directory, "documents"))
 
