@@ -3,11 +3,12 @@
 1. The set of a text: hashes of its distinct 5-word shingles. Rows with equal sets are collapsed to the row with the smallest id.
 2. One permutation, ``BANDS * ROWS`` bins: a bin holds the smallest hash that falls into it; an empty bin takes the value of another one,
    which a random order of its own picks (optimal densification). ``ROWS`` bins make a band; equal bands share a bucket.
-3. Candidate links are stars: each member of a bucket with the bucket's smallest id, so a bucket of n members makes n - 1 links. Members that
-   turn out unlike their centre form a bucket again, until none are left.
-4. Links are confirmed on whole sets. A star can miss a link between two members of which one is unlike the centre. So where groups that
-   are related by candidate links are still apart, all members outside the largest of them are compared with all members, in blocks of
-   bounded size.
+3. Candidate links are stars: each member of a bucket with the bucket's smallest id, so a bucket of n members makes n - 1 links. They are
+   confirmed on whole sets.
+4. A star can miss a link between two members of which one is not like the centre. So members are compared in blocks of bounded size, each
+   block against each, but only where that can matter: (a) where groups that candidates of at least ``RELATED`` percent relate are still
+   apart, all members outside the largest group with all; (b) in a bucket, members below that with all members below ``LOOSE`` percent
+   (the triangle inequality rules out the others: the distance 1 - similarity to the centre differs by 0.25 at most).
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SHINGLE = 5
 SIMILAR = 75
 #: Two sets of that similarity share no bucket with probability (1 - 0.75 ** ROWS) ** BANDS = 4e-6.
 BANDS, ROWS = 64, 6
-#: Percent from which an unconfirmed candidate still relates two groups in step 4.
-RELATED = 40
+#: Percent from which an unconfirmed candidate relates two groups in step 4; a member below it can only be similar to members below LOOSE.
+RELATED, LOOSE = 40, 65
 #: Members of a star compared in one group, and shingles on one side of a block.
 STAR_MEMBERS, BLOCK_SHINGLES = 2_000, 400_000
 #: Ids up to which a list of ids is broadcast (a few ten MB); beyond that it is joined by a shuffle.
@@ -143,29 +144,17 @@ def _confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(STAR_MEMBERS)).cast("int").alias("parts"))
     members = pairs.join(parts, "centre").select(F.col("node").alias("doc_id"), "centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"), F.lit(True).alias("member"))
     centres = parts.select(F.col("centre").alias("doc_id"), "centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"))
-    roles = written(members.unionByName(centres), "stars")
+    roles = written(members.unionByName(centres), "roles")
     rows = _with_texts(docs, roles).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member")
     found = rows.mapInArrow(_compare_stars, "centre long, node long, inter long, union long")
     return found.groupBy("centre", "node").agg(F.max(F.struct((F.col("inter") / F.col("union")).alias("share"), "inter", "union")).alias("best")).select("centre", "node", "best.inter", "best.union")
 
 
-def _stars(docs: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Confirmed sizes for the stars of all buckets (key, node); members unlike their centre are dealt again."""
-    confirmed = None
-    while True:
-        centre = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("key", "centre")
-        edges = written(buckets.join(centre, "key").where("node <> centre"), "bucket-links")
-        pairs = edges.select("centre", "node").distinct()
-        if confirmed is not None:
-            pairs = pairs.join(confirmed.select("centre", "node"), ["centre", "node"], "left_anti")
-        new = written(_confirm(docs, pairs), "confirmed")
-        confirmed = new if confirmed is None else confirmed.unionAll(new)
-        unlike = confirmed.where(F.col("inter") * 100 < F.col("union") * RELATED).select("centre", "node")
-        left = edges.join(unlike, ["centre", "node"]).select("key", "node").distinct()
-        left = written(left, "left")
-        if left.isEmpty():
-            return confirmed
-        buckets = left
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(key, centre, node) for the members of each bucket (key, node) other than its smallest. The smallest is found by an aggregate that
+    combines before the shuffle, and joined back, so that adaptive execution can split a bucket of very many members."""
+    centre = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("key", "centre")
+    return buckets.join(centre, "key").where("node <> centre")
 
 
 def _compare_block(table: pa.Table) -> pa.Table:
@@ -201,35 +190,58 @@ def _compare_block(table: pa.Table) -> pa.Table:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deal the members of related groups (cluster, component, doc_id, n_shingles) out to blocks: chunks of those outside the cluster's
-    largest group, each against every chunk."""
-    sizes = members.groupBy("cluster", "component").agg(F.sum("n_shingles").alias("size"))
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("total"))
-    chunks = lambda size: F.ceil(size / F.lit(BLOCK_SHINGLES)).cast("int")
-    plan = largest.select("cluster", F.col("top.component").alias("largest"), chunks(F.col("top.size")).alias("n_in"), chunks(F.col("total") - F.col("top.size")).alias("n_out"))
-    dealt = members.join(plan, "cluster").withColumn("outside", F.col("component") != F.col("largest"))
+    """Deal members (cluster, component, doc_id, n_shingles, outside) out to blocks: chunks of those outside, each against every chunk."""
+    size = lambda condition: F.sum(F.when(condition, F.col("n_shingles")).otherwise(0))
+    chunks = lambda total: F.ceil(total / F.lit(BLOCK_SHINGLES)).cast("int")
+    plan = members.groupBy("cluster").agg(chunks(size(~F.col("outside"))).alias("n_in"), chunks(size(F.col("outside"))).alias("n_out"))
+    dealt = members.join(plan, "cluster")
     chunk = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in"))).cast("int")
     dealt = dealt.withColumn("chunk", chunk)
     block = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), side.alias("left_side"))
     out = F.sequence(F.lit(0), F.col("n_out") - 1)
     within = F.transform(out, lambda x: block(F.least(x, F.col("chunk")), F.greatest(x, F.col("chunk")), F.lit(True)))
-    across = F.transform(F.sequence(F.lit(0), F.col("n_in") - 1), lambda x: block(F.col("chunk"), F.col("n_out") + x, F.lit(True)))
+    across = F.when(F.col("n_in") > 0, F.transform(F.sequence(F.lit(0), F.greatest("n_in", F.lit(1)) - 1), lambda x: block(F.col("chunk"), F.col("n_out") + x, F.lit(True))))
     inside = F.transform(out, lambda x: block(x, F.col("n_out") + F.col("chunk"), F.lit(False)))
-    places = F.when(F.col("outside"), F.concat(within, across)).otherwise(inside)
+    places = F.when(F.col("outside"), F.concat(within, F.coalesce(across, F.slice(within, 1, 0)))).otherwise(inside)
     return dealt.select("doc_id", "cluster", "component", F.explode(places).alias("place")).select("doc_id", "cluster", "component", "place.*")
 
 
-def _across(docs: DataFrame, nodes: DataFrame, confirmed: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links between groups that candidate links relate, but that are still apart (step 4)."""
-    label = lambda column, name: groups.select(F.col("node").alias(column), F.col("component").alias(name))
-    related = confirmed.where(F.col("inter") * 100 >= F.col("union") * RELATED).where(F.col("inter") * 100 < F.col("union") * SIMILAR)
-    related = related.join(label("centre", "a"), "centre", "left").join(label("node", "b"), "node", "left")
-    apart = related.select(F.coalesce("a", "centre").alias("u"), F.coalesce("b", "node").alias("v"))
+def _below(percent: int):
+    return F.col("inter") * 100 < F.col("union") * percent
+
+
+def _related_groups(confirmed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of groups that candidates relate but that are apart (step 4a); outside: all but the largest group of each cluster."""
+    group = lambda column, name: nodes.select(F.col("node").alias(column), F.col("component").alias(name))
+    related = confirmed.where(~_below(RELATED) & _below(SIMILAR))
+    apart = related.join(group("centre", "u"), "centre").join(group("node", "v"), "node").select("u", "v")
     clusters = components(apart).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    members = nodes.join(groups, "node", "left").select(F.col("node").alias("doc_id"), "n_shingles", F.coalesce("component", "node").alias("component"))
-    blocks = written(_blocks(members.join(clusters, "component")), "blocks")
-    rows = _with_texts(docs, blocks)
-    return rows.groupBy("cluster", "a", "b").applyInArrow(_compare_block, "u long, v long")
+    members = nodes.join(clusters, "component")
+    sizes = members.groupBy("cluster", "component").agg(F.sum("n_shingles").alias("size"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("size", "component")).alias("top")).select("cluster", F.col("top.component").alias("largest"))
+    return members.join(largest, "cluster").withColumn("outside", F.col("component") != F.col("largest")).drop("largest")
+
+
+def _loose_members(edges: DataFrame, confirmed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of buckets that are not like their centre (step 4b), where they are of several groups; of buckets with the same such
+    members, one."""
+    loose = confirmed.where(_below(LOOSE)).select("centre", "node", _below(RELATED).alias("outside"))
+    found = edges.join(loose, ["centre", "node"]).join(nodes, "node")
+    one = found.groupBy("key").agg(
+        F.max("outside").alias("any"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("n"), F.sum(F.xxhash64("node", "outside").cast("decimal(38,0)")).alias("print"),
+    ).where("any AND low < high").groupBy("n", "print").agg(F.min("key").alias("key")).select("key")
+    return found.join(one, "key").select(F.col("key").alias("cluster"), "node", "component", "n_shingles", "outside")
+
+
+def _across(docs: DataFrame, edges: DataFrame, confirmed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that the stars missed, between groups (step 4)."""
+    parts = []
+    for kind, members in enumerate((_related_groups(confirmed, nodes), _loose_members(edges, confirmed, nodes))):
+        dealt = _blocks(members.select(F.col("node").alias("doc_id"), "cluster", "component", "n_shingles", "outside"))
+        parts.append(dealt.withColumn("kind", F.lit(kind)))
+    blocks = written(parts[0].unionByName(parts[1]), "blocks")
+    return _with_texts(docs, blocks).groupBy("kind", "cluster", "a", "b").applyInArrow(_compare_block, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,14 +255,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     signed = written(signatures(docs), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = written(usable.groupBy("print1", "print2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("print1", "print2", "n_shingles", F.col("first.doc_id").alias("node"), "first.bands"), "nodes")
-    confirmed = written(_stars(docs, nodes.select(F.explode("bands").alias("key"), "node")), "stars-confirmed")
-    links = confirmed.where(F.col("inter") * 100 >= F.col("union") * SIMILAR).select(F.col("centre").alias("u"), F.col("node").alias("v"))
-    groups = written(components(links), "groups")
-    further = written(components(written(_across(docs, nodes.select("node", "n_shingles"), confirmed, groups), "across")), "further")
-    own = nodes.select("print1", "print2", "n_shingles", "node").join(groups, "node", "left")
-    own = own.withColumn("group", F.coalesce("component", "node")).drop("component")
-    own = own.join(further.select(F.col("node").alias("group"), F.col("component").alias("merged")), "group", "left")
-    own = own.select("print1", "print2", "n_shingles", F.coalesce("merged", "group").alias("found"))
+    edges = written(_stars(nodes.select(F.explode("bands").alias("key"), "node")), "stars")
+    confirmed = written(_confirm(docs, edges.select("centre", "node").distinct()), "confirmed")
+    links = confirmed.where(~_below(SIMILAR)).select(F.col("centre").alias("u"), F.col("node").alias("v"))
+    own = nodes.select("print1", "print2", "n_shingles", "node").join(components(links), "node", "left")
+    own = written(own.withColumn("component", F.coalesce("component", "node")), "groups")
+    across = written(_across(docs, edges, confirmed, own.select("node", "component", "n_shingles")), "across")
+    further = components(across).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    own = own.join(further, "component", "left").select("print1", "print2", "n_shingles", F.coalesce("merged", "component").alias("found"))
     # Rows with one id are one document, whichever sets they have.
     found = signed.drop("bands").join(own, ["print1", "print2", "n_shingles"], "left").withColumn("component_id", F.coalesce("found", "doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
