@@ -19,7 +19,9 @@ from turnwise.operators.shape import column_catalog, promoted_columns, shape_res
 
 @dataclass(frozen=True)
 class RowTable:
-    """Three lazy tables: rows with identity, one row per column with its class, warnings."""
+    """Rows with identity, one row per column with its class, warnings. The tables are lazy, but
+    building them runs up to two jobs to find JSON columns unless they are named, and one that counts
+    the regular expressions of the rules."""
 
     rows: DataFrame
     columns: DataFrame
@@ -31,11 +33,12 @@ def build_row_table(
     result: DataFrame,
     name: str,
     identity_column: str | None = None,
-    rules: Sequence[Rule] = (),
+    rules: DataFrame | Sequence[Rule] = (),
+    json_columns: Sequence[str] | None = None,
 ) -> RowTable:
     """Shape a whole result, give every row an identity and classify the columns."""
     named = unique_names(result)
-    json_columns = promoted_columns(named)
+    json_columns = promoted_columns(named) if json_columns is None else list(json_columns)
     shaped = shape_result(named, json_columns)
     identity = identity_name(shaped.columns)
     rows = with_row_identity(shaped, identity_column, identity)
