@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnwise.functions.jsons import TEXT_TYPES
 from turnwise.functions.roles import role_key

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnwise.functions.jsons import canonical_text, decode_or_keep
 from turnwise.operators.identity import (
