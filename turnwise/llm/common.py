@@ -40,15 +40,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_of(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def keep_columns(df: DataFrame) -> DataFrame:
-    """The input's columns as one struct, so that columns added beside it cannot clash with them."""
-    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
-
-
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that are computed once per row.
 
