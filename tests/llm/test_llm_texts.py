@@ -275,6 +275,31 @@ def test_every_page_gives_its_article(spark, data):
     assert found.count() > 0 and found.where(F.col("text") != squeezed).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class=post><div class=part>{0}</div><div class=part>{1}</div></div>",
+        "<article><h1>Head</h1><section>{0}</section><section>{1}</section></article>",
+        "<main><article><h1>Head</h1><section class=a>{0}</section><section class=b>{1}</section></article></main>",
+        "<main><h1>Head</h1><article>{0}{1}</article></main>",
+        "<div class=post><h1>Head</h1><div class=first>{0}</div><div class=second>{1}</div></div>",
+        "<div class=post><div class=row><div class=left>{0}</div><div class=right>{1}</div></div></div>",
+        "<div class=rows><div class=row><div class=col>{0}</div></div><div class=row><div class=col>{1}</div></div></div>",
+    ],
+)
+def test_no_part_of_an_article_is_dropped(body):
+    long, short = "many words " * 50, "few words " * 12
+    page = f"<body><nav>menu</nav>{body.format(f'<p>{long}</p>', f'<p>{short}</p>')}<footer>foot</footer></body>"
+    wanted = f"Head {long}{short}" if "Head" in body else f"{long}{short}"
+    for path in (None, html_text.votes(page)[0][0]):
+        assert html_text.extract(page, path)[0] == wanted.strip()
+
+
+def test_a_path_gives_all_its_containers():
+    page = "<body><div class=p><p>one two</p></div><div class=x>other</div><div class=p><p>three</p></div><div class=p><a href=y>link</a></div></body>"
+    assert html_text.extract(page, "html>body>div.p") == ("one two three", "html>body>div.p")
+
+
 # ---- quotes ----
 
 

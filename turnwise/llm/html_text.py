@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths.
 
 Each page's containers are scored and vote, with their generalised tag-class path, for where the text of their host stands. Spark sums the
-votes; every page is then read again with its host's winning path, and with its own best container where that path is absent.
+votes; every page is then read again with its host's winning path, and with its own best container where that path is absent. All containers
+on the path give their text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from turnwise.llm.common import map_rows, written
 
 #: Containers of a page that vote.
 VOTES = 3
+#: Percent of a page's text outside links that its best container holds at least, where no article or main holds most of it.
+COVERS = 85
 #: Steps of a path that are compared.
 PATH_STEPS = 64
 #: Hosts up to which the winning paths are broadcast (each a few hundred bytes); beyond that they are joined by a shuffle.
@@ -224,26 +227,52 @@ def _score(page: Page) -> None:
             node.score = own[k] * bonus * (1 - node.linked / node.text)
 
 
+def _best(page: Page) -> Node | None:
+    """The article or main that holds most of the page's text outside links (an article that is alone in such a main before that), else
+    the lowest container that holds ``COVERS`` percent of it."""
+    nodes = page.nodes
+    whole = nodes[0].text - nodes[0].linked
+    if whole <= 0:
+        return None
+    marked = [n for n in nodes if n.tag in ("article", "main") and not n.noise]
+    for node in marked:
+        if 2 * (node.text - node.linked) > whole:
+            inner = [n for n in marked if node.tag == "main" and n.tag == "article" and node.first <= n.first and n.after <= node.after and n.depth > node.depth]
+            alone = [n for n in inner if n.after - n.first == max(m.after - m.first for m in inner)]
+            titles = [n for n in nodes if n.tag == "h1" and not n.noise and node.first <= n.first and n.after <= node.after]
+            within = [n for n in inner + titles if alone and alone[0].first <= n.first and n.after <= alone[0].after]
+            if len(alone) == 1 and len(within) == len(inner) + len(titles) and 2 * (alone[0].text - alone[0].linked) > whole:
+                return alone[0]
+            return node
+    holding = [n for n in nodes if (n.tag in CONTAINERS or n.parent < 0) and n.tag != "blockquote" and not n.noise and 100 * (n.text - n.linked) >= COVERS * whole]
+    return max(holding, key=lambda n: n.depth)
+
+
 def votes(source: str) -> list[tuple[str, float]]:
-    """Paths of the best containers of a page, with their share of the best score."""
+    """Paths of the best containers of a page: the best one's whole vote, and for the next half of their share of the best score."""
     page = parse(source)
-    best: dict[str, float] = {}
-    for node in sorted((n for n in page.nodes if n.score > 0), key=lambda n: (-n.score, n.first)):
-        best.setdefault(page.path(node), node.score)
+    chosen = _best(page)
+    if chosen is None:
+        return []
+    scored = sorted((n for n in page.nodes if n.score > 0), key=lambda n: (-n.score, n.first))
+    best = {page.path(chosen): 1.0}
+    for node in scored:
         if len(best) == VOTES:
             break
-    top = max(best.values(), default=1.0)
-    return [(path, round(score / top, 3)) for path, score in best.items()]
+        best.setdefault(page.path(node), round(node.score / scored[0].score / 2, 3))
+    return list(best.items())
 
 
 def extract(source: str, path: str | None) -> tuple[str, str | None]:
-    """The text of the best container on ``path``, or of the page's best container, and that container's path."""
+    """The text of all containers on ``path`` that hold text outside links, in page order, or of the page's best container, and the path of
+    these."""
     page = parse(source)
-    scored = [n for n in page.nodes if n.score > 0]
     last = path.rpartition(">")[2] if path else None
-    on_path = [n for n in scored if n.step == last and page.path(n) == path]
-    chosen = max(on_path or scored, key=lambda n: (n.score, -n.first), default=None)
-    return ("", None) if chosen is None else (page.text(chosen), page.path(chosen))
+    chosen = [n for n in page.nodes if n.step == last and not n.noise and n.text > n.linked and page.path(n) == path]
+    if not chosen:
+        chosen = [n for n in [_best(page)] if n is not None]
+        chosen = [n for n in page.nodes if chosen and n.step == chosen[0].step and not n.noise and n.text > n.linked and page.path(n) == page.path(chosen[0])]
+    return (" ".join(filter(None, map(page.text, chosen))), page.path(chosen[0])) if chosen else ("", None)
 
 
 def host_of(url: bytes | None) -> str:
