@@ -300,6 +300,24 @@ def test_a_path_gives_all_its_containers():
     assert html_text.extract(page, "html>body>div.p") == ("one two three", "html>body>div.p")
 
 
+def test_holders_of_noise_and_forms():
+    said = "<p>a reader says a lot of things</p>" * 30
+    text = lambda body: html_text.extract(f"<body>{body}</body>", None)[0]
+    for name in ("ad-container", "comments-wrapper", "cookie-wrapper", "sidebar-container", "newsletter-wrap", "ad no-print"):
+        assert text(f"<article><p>The story</p><div class='{name}'><p>noise</p></div><p>ends</p></article>") == "The story ends", name
+        assert text(f"<article><p>The story.</p></article><div class='{name}'>{said}</div>") == "The story.", name
+        assert text(f"<div><h1>The story.</h1><p>It ends.</p></div><div class='{name}'>{said}</div>") == "The story. It ends.", name
+    for name in ("sidebar-container", "page-with-sidebar", "has-sidebar", "container comments", "layout no-sidebar"):
+        assert text(f"<div class='{name}'><article><p>The story.</p></article><aside>side</aside></div>") == "The story.", name
+        assert text(f"<div class='{name}'><h1>A</h1><p>story.</p><div class=comments>{said}</div></div>") == "A story.", name
+    comments = f"<div class=comments-container><article class=comment>{said}</article></div>"
+    assert text(f"<div class=page-sidebar><article><p>The story.</p></article>{comments}</div>") == "The story."
+    page = "<form id=aspnetForm><input value=x><label>label</label><div><h1>A</h1><p>story.</p></div><div class=ad-wrap><p>buy</p></div></form>"
+    assert text(page) == "A story."
+    assert text(f"<form role=search><p>find</p></form>{page}") == "A story."
+    assert text("<article><p>The story.</p><form><p>Your name</p></form></article>") == "The story."
+
+
 # ---- quotes ----
 
 

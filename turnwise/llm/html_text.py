@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -46,7 +47,7 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article blockquote body center div main section table tbody td tr".split())
-NOISE_TAGS = frozenset("aside audio button canvas datalist dialog footer form head header input label menu nav object select svg video".split())
+NOISE_TAGS = frozenset("aside audio button canvas datalist dialog footer head header input label menu nav object select svg video".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
@@ -54,8 +55,10 @@ NOISE_WORDS = frozenset(
     "popup promo promoted promotion recommended recommendations related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription teaser toolbar widget".split()
 )
-#: In a class or id beside a noise word: the element holds more than the noise.
-HOLDER_WORDS = frozenset("container has layout no page with without wrap wrapper".split())
+#: In a class or id beside a noise word: the element may hold more than the noise, which what it encloses decides.
+HOLDER_WORDS = frozenset("container layout page wrap wrapper".split())
+#: Before a noise word: the element only says whether there is such a thing elsewhere.
+TELLING_WORDS = frozenset("has no with without".split())
 LISTED = frozenset("dd dt figcaption li".split())
 NEVER_NOISE = frozenset("html body main article".split())
 #: Tags that end an open element of the same group.
@@ -76,6 +79,8 @@ class Node:
     in_article: bool = False
     in_header: bool = False
     in_link: bool = False
+    doubtful: bool = False
+    labelled: bool = False
     after: int = -1
     score: float = 0.0
     text: int = 0
@@ -105,15 +110,28 @@ def _words(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
 
 
-def _noise(tag: str, attributes: dict[str, str]) -> bool:
+def _label(attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether the classes and the id name noise, and whether a word for a holder stands beside that."""
+    found = holder = False
+    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = _words(name)
+        holder = holder or not HOLDER_WORDS.isdisjoint(words)
+        found = found or any(w in NOISE_WORDS and not (k and words[k - 1] in TELLING_WORDS) for k, w in enumerate(words))
+    return found, found and holder
+
+
+def _noise(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element is noise, and whether it may be (what it encloses decides)."""
     if tag in NOISE_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return True, False
     if tag in NEVER_NOISE:
-        return False
-    if attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
-    words = set(_words(attributes.get("class", "") + " " + attributes.get("id", "")))
-    return bool(words & NOISE_WORDS) and not words & HOLDER_WORDS
+        return False, False
+    role = attributes.get("role", "").lower()
+    if role in NOISE_ROLES and role != "form":
+        return True, False
+    found, holder = _label(attributes)
+    form = tag == "form" or role == "form"
+    return found and not holder and not form, holder or form
 
 
 def _step(tag: str, classes: str) -> str:
@@ -181,9 +199,10 @@ def parse(source: str) -> Page:
         raw = m["attributes"] or m["attributes2"] or ""
         attributes = {a["name"].lower(): a["a"] or a["b"] or a["c"] or "" for a in _ATTRIBUTE.finditer(raw)} if "=" in raw or "hidden" in raw.lower() else {}
         parent = nodes[stack[-1]]
-        noise = parent.noise or _noise(tag, attributes)
+        own_noise, doubtful = _noise(tag, attributes)
+        noise = parent.noise or own_noise
         header = parent.in_header or (parent.in_article and not parent.noise and (tag == "header" or "header" in _words(attributes.get("class", ""))))
-        if header and tag in HEADINGS and not _noise(tag, attributes):
+        if header and tag in HEADINGS and not own_noise:
             noise = False  # the title of an article may stand in its own header
         in_article = parent.in_article or tag in ("article", "main")
         self_closed = raw.rstrip().endswith("/") and tag not in BLOCK
@@ -193,6 +212,7 @@ def parse(source: str) -> Page:
                 tag, stack[-1], parent.depth + 1, _step(tag, attributes.get("class", "")), noise, len(runs),
                 container=len(nodes) if own else parent.container, listed=not own and (parent.listed or tag in LISTED),
                 in_article=in_article, in_header=header, in_link=parent.in_link or tag == "a",
+                doubtful=doubtful and not noise, labelled=tag in ("article", "main") and _label(attributes)[0],
             )
         )
         if self_closed:
@@ -202,10 +222,51 @@ def parse(source: str) -> Page:
             opened[tag] += 1
     text(source[at:])
     close(0)
+    _settle(page)
     _score(page)
     return page
 
 
+def _settle(page: Page) -> None:
+    """Forms, and elements named after noise and as its holder, are noise unless they enclose the page's articles (or main); on pages without
+    such, unless they enclose the titles and ``COVERS`` percent of the text outside links. The smallest are judged first."""
+    nodes = page.nodes
+    doubtful = [k for k, node in enumerate(nodes) if node.doubtful]
+    if not doubtful:
+        return
+    last, plain = list(range(len(nodes))), [node.text - node.linked for node in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        above = nodes[k].parent
+        last[above] = max(last[above], last[k])
+        plain[above] += plain[k]
+    articles = [k for k, node in enumerate(nodes) if node.tag in ("article", "main") and not node.noise and not node.labelled]
+    titles = [k for k, node in enumerate(nodes) if node.tag == "h1" and not node.noise]
+    cut: set[int] = set()
+    for k in sorted(doubtful, key=lambda k: (plain[k], -k)):
+        within = [slice(bisect_left(places, k), bisect_right(places, last[k])) for places in (articles, titles)]
+        if articles:
+            holds = within[0].stop - within[0].start == len(articles)
+        else:
+            holds = within[1].stop - within[1].start == len(titles) and 0 < COVERS * plain[0] <= 100 * plain[k]
+        if holds:
+            continue
+        cut.add(k)
+        del articles[within[0]], titles[within[1]]
+        gone, above = plain[k], nodes[k].parent
+        while gone and above >= 0:
+            plain[above] -= gone
+            above = nodes[above].parent
+    upto = -1
+    for k in sorted(cut):
+        if k <= upto:
+            continue
+        upto = last[k]
+        for node in nodes[k : upto + 1]:
+            node.noise, node.text, node.linked = True, 0, 0
+        for at in range(nodes[k].first, nodes[k].after):
+            page.runs[at] = "\n"
+
+
 def _score(page: Page) -> None:
     """Text speaks for the container it stands in, and half as much for the container around that; links speak against."""
     nodes = page.nodes
