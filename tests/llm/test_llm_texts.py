@@ -349,6 +349,31 @@ def test_quotes(spark):
     assert quotes.link_quotations(messages.limit(0)).count() == 0
 
 
+def parents(spark, *conversations):
+    rows = [(c, k, "user", text) for c, texts in enumerate(conversations) for k, text in enumerate(texts)]
+    found = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    by_key = {(r.conv_id, r.turn): r for r in found}
+    return [[by_key[c, k].parent_turn for k in range(len(texts))] for c, texts in enumerate(conversations)]
+
+
+@pytest.mark.parametrize("sayers", [8, 0])
+def test_own_words_and_the_latest_sayer_decide(spark, monkeypatch, sayers):
+    monkeypatch.setattr(quotes, "SAYERS", sayers)
+    monkeypatch.setattr(quotes, "PIECE_TURNS", 4)
+    long, thanks = "This is a very long passage that everybody quotes again and again", "Thanks a lot for your help."
+    replies = [long, f"> {long}\nI agree.", f"> {long}\nI do not.", f">> {long}\n> I do not.\nWhy not?"]
+    repeated = [thanks, "Something else.", thanks, "Another thing.", f"> {thanks}\nWelcome.", *["Filler."] * 20, f"> {thanks}\nStill welcome."]
+    found = parents(spark, replies, repeated, [*[thanks] * 30, f"> {thanks}\nAll right."])
+    assert found[0] == [None, 0, 0, 2]
+    assert found[1][4] == 2 and found[1][-1] == 2
+    assert found[2][-1] == 29
+
+
+def test_who_said_all_of_a_quote_wins(spark):
+    talk = ["The first point is here.\n\nThe other point is there.", "The first point is here.", "The other point is there.", "> The first point is here.\n\n> The other point is there.\nBoth."]
+    assert parents(spark, talk)[0][-1] == 0
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(personal_data.span_text(F.array().cast(f"array<{personal_data.SPAN}>")), 256)).collect()[0][0]

@@ -1,13 +1,13 @@
 """Chat formatting by quotation linking; expressions of Spark SQL only.
 
-Nested quote levels are parsed from the marks at line starts. Quoted passages (paragraphs, and single lines) are normalised and hashed, and
-joined to the messages that first said them, one level up. The message that most of the quoted text comes from is the one replied to;
-following replies to their roots gives threads. What is left without quotes is the message's own text.
+Nested quote levels are parsed from the marks at line starts. Quoted passages (paragraphs and lines) are
+normalised and hashed, and joined to the earlier messages that said them, one level up. The message whose own words most of the quoted text
+is, is the one replied to; following replies to their roots gives threads. What is left without quotes is the message's own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.common import once, written
@@ -17,6 +17,11 @@ _MARKS = r"^((?:[\x20\t]*>)+)"
 ANNOUNCE = r"^\s*(?:On\b.*\bwrote|Le\b.*\ba écrit|Am\b.*\bschrieb\b.*|El\b.*\bescribió)\s?:\s*$"
 #: Characters a normalised passage must have to be joined.
 MIN_CHARS = 12
+#: Messages of a conversation that may have said a passage for all of them to be compared. Of more, the latest earlier one is, with all that
+#: the message's other passages bring.
+SAYERS = 8
+#: Turn numbers that are searched in one piece for the latest one that said such a passage.
+PIECE_TURNS = 1 << 16
 #: Turn numbers in one row of the nested form.
 SEGMENT_TURNS = 256
 
@@ -47,15 +52,13 @@ def own_text(lines: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"\n[\x20\t]*(?:\n[\x20\t]*)+\n", "\n\n"), r"^\s+|\s+$", ""))
 
 
-def passages(lines: Column) -> Column:
-    """array<struct<level, passage>>: runs of lines of one level without blank ones between, joined and normalised, and their single lines;
-    each level and passage once."""
-    none = F.array().cast("array<struct<level:int,passage:string>>")
+def runs(lines: Column) -> Column:
+    """array<struct<level, run>>: the lines of each run of one level without blank ones between."""
+    none = F.array().cast("array<struct<level:int,run:array<string>>>")
     start = F.struct(none.alias("done"), F.lit(-1).alias("level"), F.array().cast("array<string>").alias("run"))
 
     def closed(acc: Column) -> Column:
-        joined = F.struct(acc["level"].alias("level"), F.array_join(acc["run"], " ").alias("passage"))
-        return F.when(F.size(acc["run"]) > 1, F.array_append(acc["done"], joined)).otherwise(acc["done"])
+        return F.when(F.size(acc["run"]) > 0, F.array_append(acc["done"], F.struct(acc["level"].alias("level"), acc["run"].alias("run")))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
         blank = F.trim(x["body"]) == ""
@@ -64,28 +67,57 @@ def passages(lines: Column) -> Column:
         run = F.when(blank, F.array().cast("array<string>")).when(same, F.array_append(acc["run"], x["body"])).otherwise(F.array(x["body"]))
         return F.struct(done.alias("done"), x["level"].alias("level"), run.alias("run"))
 
-    runs = F.aggregate(lines, start, step, closed)
-    single = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("passage")))
-    every = F.transform(F.concat(runs, single), lambda p: F.struct(p["level"].alias("level"), normalised(p["passage"]).alias("passage")))
-    return F.array_distinct(F.filter(every, lambda p: F.char_length(p["passage"]) >= MIN_CHARS))
+    return F.aggregate(lines, start, step, closed)
+
+
+def passages(messages: DataFrame, quoted: bool) -> DataFrame:
+    """(conv, turn, level, key, chars): paragraphs and lines of the messages; the key is a hash of conversation, level one up and passage.
+    ``quoted``: those of quotes. Else those said, one level up from these."""
+    level = F.col("r.level") - 1 if quoted else F.col("r.level")
+    given = once(messages, runs=runs(F.col("lines"))).select("conv", "turn", F.explode("runs").alias("r")).withColumn("level", level)
+    units = F.array_distinct(F.transform(F.concat(F.array(F.array_join("r.run", " ")), F.col("r.run")), normalised))
+    given = once(given.where("level >= 0"), units=units).select("conv", "turn", "level", F.explode("units").alias("unit"))
+    chars = F.char_length("unit").cast("long")
+    return given.select("conv", "turn", "level", F.xxhash64("conv", "level", "unit").alias("key"), chars.alias("chars")).where(F.col("chars") >= MIN_CHARS)
+
+
+def _latest(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """(key, turn, parent): the latest earlier turn that said the passage. Turns are searched in pieces, so that no task holds all of a
+    passage that is said a million times."""
+    both = asked.select("key", "turn", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("said"))
+    both = both.unionByName(said.select("key", "turn", F.lit(False).alias("asks"), F.col("turn").alias("said")))
+    both = both.groupBy("key", "turn").agg(F.max("asks").alias("asks"), F.max("said").alias("said")).withColumn("piece", F.floor(F.col("turn") / F.lit(PIECE_TURNS)))
+    near = F.max("said").over(Window.partitionBy("key", "piece").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    far = F.max("top").over(Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    tops = both.groupBy("key", "piece").agg(F.max("said").alias("top")).select("key", "piece", far.alias("far"))
+    found = both.withColumn("near", near).where("asks").join(tops, ["key", "piece"])
+    return found.select("key", "turn", F.coalesce("near", "far").alias("parent")).where("parent IS NOT NULL")
 
 
 def _parents(messages: DataFrame) -> DataFrame:
-    """(conv, turn, parent, n_linked): of the quoted passages of each message, how many were found, and the message that most of their
-    characters come from."""
-    known = messages.where("conv IS NOT NULL AND turn IS NOT NULL")
-    quoting = known.where("quoting")
+    """(conv, turn, parent, n_linked): of the quoted passages of each message, how many were found, and the message replied to. It is the one
+    that said most characters of what is quoted once in its own words; then the one that quoted most of the rest; then the latest."""
+    known = messages.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", "lines", "quoting")
+    asked = written(passages(known.where("quoting").drop("quoting"), quoted=True).distinct(), "quoted")
     # Only conversations in which somebody quotes are searched; joining their ids first keeps the others' passages out of the shuffle.
-    said = known.join(quoting.select("conv").distinct(), "conv", "left_semi")
-    said = once(said, passages=passages(F.col("lines"))).select("conv", "turn", F.explode("passages").alias("p"))
-    said = said.select("conv", "turn", "p.level", F.xxhash64("p.passage").alias("hash"))
-    first = said.groupBy("conv", "level", "hash").agg(F.min("turn").alias("parent"))
-    asked = once(quoting, passages=passages(F.col("lines"))).select("conv", "turn", F.explode("passages").alias("p")).where("p.level > 0")
-    asked = asked.select("conv", "turn", (F.col("p.level") - 1).alias("level"), F.xxhash64("p.passage").alias("hash"), F.char_length("p.passage").alias("chars")).distinct()
-    linked = asked.join(first, ["conv", "level", "hash"]).where("parent < turn")
-    votes = linked.groupBy("conv", "turn", "parent").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
-    best = votes.groupBy("conv", "turn").agg(F.max(F.struct("chars", "parent")).alias("best"), F.sum("n").alias("n_linked"))
-    return best.select("conv", "turn", F.col("best.parent").alias("parent"), "n_linked")
+    said = passages(known.drop("quoting").join(asked.select("conv").distinct(), "conv", "left_semi"), quoted=False).select("key", "turn")
+    said = written(said.join(asked.select("key").distinct(), "key", "left_semi").distinct(), "said")
+    hot = written(said.groupBy("key").count().where(F.col("count") > SAYERS).select("key"), "repeated")
+    asked = asked.select("conv", "turn", "key", "chars", (F.col("level") == 0).alias("own"))
+    sayers = said.withColumnRenamed("turn", "parent")
+    linked = asked.join(sayers.join(hot, "key", "left_anti"), "key").where("parent < turn").select("conv", "turn", "parent", "key", "chars", "own")
+    if not hot.isEmpty():
+        asked_hot, said_hot = asked.join(hot, "key", "left_semi"), said.join(hot, "key", "left_semi")
+        latest = asked_hot.join(_latest(asked_hot, said_hot), ["key", "turn"])
+        candidates = linked.select("conv", "turn", "parent").unionByName(latest.select("conv", "turn", "parent")).distinct()
+        more = asked_hot.join(candidates, ["conv", "turn"]).join(said_hot.withColumnRenamed("turn", "parent"), ["key", "parent"])
+        linked = linked.unionByName(more.select("conv", "turn", "parent", "key", "chars", "own"))
+    linked = written(linked, "links")
+    chars = lambda own: F.sum(F.when(F.col("own") == own, F.col("chars")).otherwise(0))
+    votes = linked.groupBy("conv", "turn", "parent").agg(chars(True).alias("own"), chars(False).alias("deeper"))
+    best = votes.groupBy("conv", "turn").agg(F.max(F.struct("own", "deeper", "parent")).alias("best"))
+    n_linked = linked.select("conv", "turn", "key").distinct().groupBy("conv", "turn").agg(F.count("*").alias("n_linked"))
+    return best.join(n_linked, ["conv", "turn"]).select("conv", "turn", F.col("best.parent").alias("parent"), "n_linked")
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -108,7 +140,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     the text without quotes.
 
     A message that replies to nothing is its own root, at depth 0. Reply order of a conversation is (root_turn, turn): a message comes after the
-    one it replies to. Links go to earlier turns of the same conversation; of those that said a passage the first counts. A null text stays
+    one it replies to. Links go to earlier turns of the same conversation; of those that said as much of a quote the latest counts. A null text stays
     null and quotes nothing; rows without a conversation or turn are linked with nothing and are their own root; rows that share both are
     one message for links, and each stays a row. An empty table gives an empty result; only the four columns are read.
     """
