@@ -374,6 +374,20 @@ def test_who_said_all_of_a_quote_wins(spark):
     assert parents(spark, talk)[0][-1] == 0
 
 
+def test_parts_and_short_quotes(spark):
+    talks = [
+        ["One thing is. Another is this. The third too.", "No.", "> Another is this.\nYes."],
+        ["We could move the whole of the data over to the new\nengine before the winter comes and look at it then.", "No.", "> data over to\n> the new engine before the\n> winter comes\nYes."],
+        ["Is it up?", "What is it?", "> Is it up?\nYes."],
+        ["42", "43", "> 42\nWhy?"],
+        ["你好吗？我很好。", "再见", "> 你好吗？\n好"],
+        ["今天天气很好，我们去公园", "再见", "> 天气很好\n好"],
+        ["You call the join method for it.", "See you.", "> the join method\nThanks."],
+        ["Yes.", "I say yes. But only now.", "No", "> Yes.\nGood."],
+    ]
+    assert [found[-1] for found in parents(spark, *talks)] == [0, 0, 0, 0, 0, 0, 0, 0]
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(personal_data.span_text(F.array().cast(f"array<{personal_data.SPAN}>")), 256)).collect()[0][0]

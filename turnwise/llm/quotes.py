@@ -1,6 +1,6 @@
 """Chat formatting by quotation linking; expressions of Spark SQL only.
 
-Nested quote levels are parsed from the marks at line starts. Quoted passages (paragraphs and lines) are
+Nested quote levels are parsed from the marks at line starts. Quoted passages (paragraphs, lines, sentences and windows of words) are
 normalised and hashed, and joined to the earlier messages that said them, one level up. The message whose own words most of the quoted text
 is, is the one replied to; following replies to their roots gives threads. What is left without quotes is the message's own text.
 """
@@ -15,8 +15,13 @@ from turnwise.llm.common import once, written
 _MARKS = r"^((?:[\x20\t]*>)+)"
 #: Lines that announce a quote, left out where a quote follows.
 ANNOUNCE = r"^\s*(?:On\b.*\bwrote|Le\b.*\ba écrit|Am\b.*\bschrieb\b.*|El\b.*\bescribió)\s?:\s*$"
-#: Characters a normalised passage must have to be joined.
-MIN_CHARS = 12
+#: Where a normalised paragraph is cut into sentences.
+SENTENCE_END = r"(?<=[.!?\x{2026}])\x20|(?<=[\x{3002}\x{ff01}\x{ff1f}])\x20?"
+_SINGLE = r"\x{2e80}-\x{2fdf}\x{3040}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+#: Words of a window; letters of scripts without spaces are words of their own.
+WORD = rf"[{_SINGLE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SINGLE}]]+"
+#: Words in a window; of a quote that has fewer, all.
+WINDOW = 5
 #: Messages of a conversation that may have said a passage for all of them to be compared. Of more, the latest earlier one is, with all that
 #: the message's other passages bring.
 SAYERS = 8
@@ -71,14 +76,27 @@ def runs(lines: Column) -> Column:
 
 
 def passages(messages: DataFrame, quoted: bool) -> DataFrame:
-    """(conv, turn, level, key, chars): paragraphs and lines of the messages; the key is a hash of conversation, level one up and passage.
-    ``quoted``: those of quotes. Else those said, one level up from these."""
+    """(conv, turn, level, key, chars, size): paragraphs and lines of the messages, their sentences, and their windows of words; the key is a
+    hash of conversation, level one up and passage. ``quoted``: those of quotes, with windows of ``WINDOW`` words or of all words if they
+    are fewer (``size``, null for other passages). Else those said, one level up from these, with windows of the numbers in ``sizes``."""
     level = F.col("r.level") - 1 if quoted else F.col("r.level")
-    given = once(messages, runs=runs(F.col("lines"))).select("conv", "turn", F.explode("runs").alias("r")).withColumn("level", level)
+    given = once(messages, runs=runs(F.col("lines"))).select(*messages.columns, F.explode("runs").alias("r")).withColumn("level", level)
+    given = given.where("level >= 0")
+    kept = ["conv", "turn", "level", *([] if quoted else ["sizes"])]
     units = F.array_distinct(F.transform(F.concat(F.array(F.array_join("r.run", " ")), F.col("r.run")), normalised))
-    given = once(given.where("level >= 0"), units=units).select("conv", "turn", "level", F.explode("units").alias("unit"))
-    chars = F.char_length("unit").cast("long")
-    return given.select("conv", "turn", "level", F.xxhash64("conv", "level", "unit").alias("key"), chars.alias("chars")).where(F.col("chars") >= MIN_CHARS)
+    given = once(given.select(*kept, "r"), units=units).select(*kept, F.explode("units").alias("unit"))
+    given = once(given, words=F.regexp_extract_all("unit", F.lit(WORD), F.lit(0)))
+    if quoted:
+        given = given.withColumn("sizes", F.array(F.least(F.size("words"), F.lit(WINDOW))))
+
+    def windows(n: Column) -> Column:
+        places = F.when((n > 0) & (F.size("words") >= n), F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: F.struct(F.array_join(F.slice("words", k, n), " ").alias("text"), n.alias("size")))
+
+    whole = F.transform(F.concat(F.array("unit"), F.split("unit", SENTENCE_END, -1)), lambda x: F.struct(x.alias("text"), F.lit(None).cast("int").alias("size")))
+    found = given.select("conv", "turn", "level", F.explode(F.concat(whole, F.flatten(F.transform("sizes", windows)))).alias("p")).where("p.text <> ''")
+    key = F.xxhash64("conv", "level", "p.text", F.col("p.size").isNull())
+    return found.select("conv", "turn", "level", key.alias("key"), F.char_length("p.text").cast("long").alias("chars"), "p.size")
 
 
 def _latest(asked: DataFrame, said: DataFrame) -> DataFrame:
@@ -100,7 +118,8 @@ def _parents(messages: DataFrame) -> DataFrame:
     known = messages.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", "lines", "quoting")
     asked = written(passages(known.where("quoting").drop("quoting"), quoted=True).distinct(), "quoted")
     # Only conversations in which somebody quotes are searched; joining their ids first keeps the others' passages out of the shuffle.
-    said = passages(known.drop("quoting").join(asked.select("conv").distinct(), "conv", "left_semi"), quoted=False).select("key", "turn")
+    sizes = asked.groupBy("conv").agg(F.collect_set("size").alias("sizes"))
+    said = passages(known.drop("quoting").join(sizes, "conv"), quoted=False).select("key", "turn")
     said = written(said.join(asked.select("key").distinct(), "key", "left_semi").distinct(), "said")
     hot = written(said.groupBy("key").count().where(F.col("count") > SAYERS).select("key"), "repeated")
     asked = asked.select("conv", "turn", "key", "chars", (F.col("level") == 0).alias("own"))
