@@ -201,6 +201,19 @@ def test_trees_on_held_out_rows(spark, trees):
     assert sum(taken) / sum(r.label for r in found) >= 0.8
 
 
+def test_forms_that_the_generator_does_not_make(spark):
+    personal = {
+        "email": ["JANE (AT) EXAMPLE (DOT) COM", "jane at example dot com", "Bob_Smith AT mail DOT example DOT org", "Maria.Lopez2 at Uni-Bonn dot de", "kim [AT] example [DOT] net"],
+        "ip": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8:0:0:8:800:200C:417A", "1[.]2[.]3[.]4", "192(.)168(.)0(.)7", "10.0.0[.]5", "8 dot 8 dot 4 dot 4"],
+    }
+    other = ["met at noon.Then", "std::vector", "at 12:30:45", "00:1b:44:11:3a:b7", "list[::2]", "Foo::Bar", "looks at the dot on it", "300[.]1[.]1[.]1", "1:2:3", "abc::def", "the ratio 16:9:4"]
+    rows = [(kind, value) for kind, values in personal.items() for value in values] + [("", value) for value in other]
+    texts = [(k, f"Yesterday we saw {value} in the text.") for k, (_, value) in enumerate(rows)]
+    found = personal_data.find_spans(spark.createDataFrame(texts, "row long, text string"), personal_data.train(spark)).collect()
+    spans = {r.row.row: [(s["kind"], r.text[s["start"] : s["end"]].removeprefix("saw ")) for s in r.spans] for r in found}
+    assert {rows[k][1]: s for k, s in spans.items()} == {value: [(kind, value)] if kind else [] for kind, value in rows}
+
+
 # ---- licenses ----
 
 

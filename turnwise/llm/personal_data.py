@@ -1,7 +1,7 @@
 """Personal data by candidate spans and gradient-boosted trees; expressions of Spark SQL only.
 
 High-recall generators propose spans: the four base kinds (email, ip, card, phone), which stay whatever the trees say, and wider kinds that
-may overlap them (written-out addresses, numbers with labels or separators). Boosted trees score the wider candidates from their format
+may overlap them (written-out addresses, IPv6, numbers with labels or separators). Boosted trees score the wider candidates from their format
 and the characters around them; candidates above a threshold, calibrated for precision on held-out rows, are added as spans.
 
 The trees are trained with Spark's own GBTClassifier on labelled candidates from a bounded generated sample (``training_rows``), and applied
@@ -27,24 +27,32 @@ BASE = {
 }
 #: What a text must hold to be searched for the kind.
 NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_POINT = r"(?:\.|\x20?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\x20dot\x20)\x20?)"
+_GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})"
 #: The wider generators.
 WIDE = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}",
+    "email": r"(?i)[A-Za-z0-9][A-Za-z0-9._-]{0,63}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}",
+    "ip": rf"(?i)(?<![0-9A-Za-z.:]){_OCTET}(?:{_POINT}{_OCTET}){{3}}(?![0-9A-Za-z])"
+    rf"|(?<![0-9A-Za-z.:])(?=[0-9a-f]{{0,4}}(?::[0-9a-f]{{0,4}}){{2,8}}(?![0-9A-Za-z:]))(?:{_GROUPS}{{7}}|{_GROUPS}{{0,6}}::(?:{_GROUPS}{{0,6}})?|::{_GROUPS}{{0,6}})(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9A-Za-z.,+-])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z.,-])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])",
 }
-WIDE_NEEDED = {"email": r"(?i)[\x20(\[]at[\x20)\]]", "phone": r"[0-9][\x20.)-]", "card": r"[0-9]{4}[./_][0-9]{4}"}
+WIDE_NEEDED = {"email": r"(?i)[\x20(\[]at[\x20)\]]", "ip": r"(?i)::|[0-9a-f]:[0-9a-f]{1,4}:|[0-9]\x20?(?:[\[({]\.|[\[(\x20]dot)", "phone": r"[0-9][\x20.)-]", "card": r"[0-9]{4}[./_][0-9]{4}"}
 KINDS = ("email", "ip", "card", "phone")
 #: Code points of context on either side.
 CONTEXT = 40
 #: Words that go before personal data, and words and signs that go with other numbers. Lower case, found anywhere in the context.
 CUES = {
     "email": r"mail|contact|write to|reach",
+    "ip": r"\bipv?[46]?\b|address|host|server|ping|dns|gateway|client|logged in|connect",
     "phone": r"phone|tel|call|mobile|cell|fax|dial|ring|sms|whatsapp",
     "card": r"card|visa|mastercard|amex|credit|debit|payment|paid",
     "other": r"isbn|issn|version|date|page|chapter|figure|table|room|year|total|price|score|order|invoice|[$€£%=/:]",
 }
-FEATURES = ("kind_email", "kind_phone", "kind_card", "n_digits", "n_chars", "n_groups", "parens", "dots", "dashes", "spaces", "brackets", "own_cue", "other_cue", "next_to_mark", "luhn")
+#: Ends of common host names.
+TOP_DOMAINS = r"\b(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|me|eu|de|fr|uk|es|it|nl|ch|at|pl|se|ru|cn|jp|br|ca|au)"
+FEATURES = ("kind_email", "kind_ip", "kind_phone", "kind_card", "n_digits", "n_chars", "n_groups", "parens", "dots", "dashes", "spaces", "brackets", "own_cue", "other_cue", "next_to_mark", "luhn", "colons", "dot_words", "top_domain", "octets")
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
@@ -143,6 +151,7 @@ def _features(text: Column, span: Column, kind: str) -> Column:
     digits = _digits(value)
     named = {
         "kind_email": F.lit(float(kind == "email")),
+        "kind_ip": F.lit(float(kind == "ip")),
         "kind_phone": F.lit(float(kind == "phone")),
         "kind_card": F.lit(float(kind == "card")),
         "n_digits": F.length(digits).cast("double"),
@@ -152,11 +161,15 @@ def _features(text: Column, span: Column, kind: str) -> Column:
         "dots": count(r"\."),
         "dashes": count("-"),
         "spaces": count(r"\x20"),
-        "brackets": count(r"(?i)[(\[](?:at|dot)[)\]]"),
+        "brackets": count(r"(?i)[(\[{](?:at|dot|\.)[)\]}]"),
         "own_cue": flag(before.rlike(CUES[kind])),
         "other_cue": flag(around.rlike(CUES["other"])),
         "next_to_mark": flag(before.rlike(r"[$€£#%=/:.,+*-]\x20?$") | after.rlike(r"^[%=/*]")),
         "luhn": flag(F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))),
+        "colons": count(":"),
+        "dot_words": count(r"(?i)\x20dot\x20"),
+        "octets": flag(F.lit(kind == "ip") & ~value.contains(":")),
+        "top_domain": flag(value.rlike(rf"(?i)(?:{TOP_DOMAINS})$")),
     }
     return F.struct(*[named[name].alias(name) for name in FEATURES])
 
@@ -206,7 +219,24 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[int, str,
         return " ".join(letters() for _ in range(rng.randint(2, 8)))
 
     def positive() -> str:
-        what = rng.randrange(4)
+        what = rng.randrange(6)
+        if what == 4:
+            at, dot = rng.choice([(" at ", " dot "), (" AT ", " DOT ")])
+            name = letters() + rng.choice(["", "", f".{letters()}", f"_{letters()}", digits(2)])
+            host = letters() + rng.choice(["", "", dot + letters()])
+            found = f"{name}{at}{host}{dot}{rng.choice(['com', 'org', 'net', 'de', 'edu', 'io', 'co'])}"
+            return rng.choice(["mail ", "contact ", "write to ", "", "", ""]) + (found.upper() if rng.random() < 0.3 else found)
+        if what == 5:
+            cue = rng.choice(["ip ", "host ", "server ", "from ", "", ""])
+            if rng.random() < 0.4:
+                dot = rng.choice(["[.]", "(.)", "[dot]", " dot ", "{.}", " [.] "])
+                most = rng.choice([9, 99, 255])
+                parts = [str(rng.randint(0, most)) for _ in range(4)]
+                return cue + (".".join(parts[:3]) + dot + parts[3] if "." in dot and rng.random() < 0.5 else dot.join(parts))
+            group = lambda: f"{rng.randint(0, 0xFFFF):x}"
+            if rng.random() < 0.5:
+                return cue + ":".join(rng.choice([group(), group().zfill(4)]) for _ in range(8))
+            return cue + rng.choice(["2001:", "2a02:", "fe80:", "fd00:"]) + "".join(group() + ":" for _ in range(rng.randint(0, 3))) + ":" + ":".join(group() for _ in range(rng.randint(1, 3)))
         if what == 0:
             at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), (" [at] ", " [dot] ")])
             return rng.choice(["mail ", "contact ", "write to ", ""]) + f"{letters()}.{letters()}{at}{letters()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
@@ -219,7 +249,12 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[int, str,
         return rng.choice(["card ", "visa ", "credit card: ", ""]) + s.join(card[k : k + 4] for k in range(0, 16, 4))
 
     def negative() -> str:
-        what = rng.randrange(6)
+        what = rng.randrange(8)
+        if what == 6:
+            return f"{letters()} at {rng.choice(['the', 'a', 'that', 'every', letters()])} dot {rng.choice(['on', 'of', 'and', 'near', 'above', 'product', letters()])}"
+        if what == 7:
+            word = lambda: rng.choice(["a", "b", "add", "be", "face", "dead", "fade", "ace", "1", "2", "10", "-1"])
+            return rng.choice([f"{word()}::{word()}", f"x[::{rng.randint(1, 9)}]", f"[{rng.randint(0, 99)}::{rng.randint(1, 9)}]", f"::{word()}", f"{word()}::", f"{rng.randint(1, 23)}::{digits(2)}"])
         if what == 0:
             return f"{letters()} at {letters()}.{letters()}"
         if what == 1:
