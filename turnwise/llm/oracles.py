@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+from turnwise.llm.fill_middle import MiddleRules
 from turnwise.llm.repetition import RepetitionRules
 from turnwise.llm.urls import SOFT_TERMS, STRICT_TERMS
 
@@ -97,3 +98,59 @@ found AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM found LEFT JOIN n USING (doc_id)
 """
+
+
+def vector_codes(entries: int, parts: int, rounds: int, scale: int) -> str:
+    """Every part against every entry, a pair of subqueries per round."""
+    sql = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, q // (len(v) // {parts}) AS part, q % (len(v) // {parts}) AS place, v[q + 1] AS x FROM (SELECT r, v, unnest(range(len(v))) AS q FROM kept)),
+e0 AS (SELECT part, r - 1 AS entry, place, x AS e FROM p WHERE r <= {entries})"""
+    far = "SELECT r, part, entry, sum((x - e) * (x - e))::BIGINT AS far FROM p JOIN e{0} USING (part, place) GROUP BY r, part, entry"
+    for k in range(rounds + 1):
+        sql += f""",
+a{k} AS (SELECT r, part, min(far * {entries} + entry) % {entries} AS entry, min(far) AS far FROM ({far.format(k)}) GROUP BY r, part)"""
+        if k < rounds:
+            sql += f""",
+e{k + 1} AS (SELECT part, entry, place, coalesce(m, e) AS e FROM e{k}
+  LEFT JOIN (SELECT part, entry, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM p JOIN a{k} USING (r, part) GROUP BY part, entry, place) USING (part, entry, place))"""
+    return (
+        sql
+        + f""",
+coded AS (SELECT vec_id, label, code, error FROM kept JOIN (
+  SELECT r, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY r) USING (r))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(e::VARCHAR, ',' ORDER BY part, entry, place)) FROM e{rounds}) AS codebooks_sha256 FROM coded
+"""
+    )
+
+
+def nearest_neighbours(nearest: int, every: int) -> str:
+    """All rows by inner product, summed in the order of the components; what an exact search gives."""
+    return f"""
+WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * c.e[i]::DOUBLE), lambda s, x: s + x) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= {nearest}
+"""
+
+
+def fill_in_middle(rules: MiddleRules) -> str:
+    """Lists of lines, cut and put together again."""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS l, sha256('{rules.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, len(l) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {rules.rate} THEN 'plain'
+    WHEN h4 % 100 < {rules.spm} THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM g),
+p AS (SELECT *, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle, array_to_string(l[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""

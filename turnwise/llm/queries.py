@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import contamination, html_text, licenses, near_duplicates, oracles, packed_files, packing, personal_data, quotes, repetition, urls
+from turnwise.llm import contamination, fill_middle, html_text, licenses, near_duplicates, neighbours, oracles, packed_files, packing, personal_data, quotes, repetition, urls, vector_codes
 from turnwise.llm.common import fresh_path
 from turnwise.session import configure
 from turnwise.sources.tables import read_table
@@ -98,3 +98,27 @@ def license_scan(spark: SparkSession, directory: str) -> DataFrame:
 @query("op7_quotation_linking")
 def quotation_linking(spark: SparkSession, directory: str) -> DataFrame:
     return quotes.link_quotations(read_table(spark, directory, "conversations"))
+
+
+NEAREST = 20
+
+
+@query("op11_nearest_neighbours", oracles.nearest_neighbours(NEAREST, 20))
+def nearest_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = read_table(spark, directory, "embeddings")
+    index = neighbours.build_index(vectors, NEAREST)
+    return neighbours.search_index(index, vectors.where(F.col("vec_id") % 20 == 0), NEAREST)
+
+
+@query("op12_vector_codes", oracles.vector_codes(vector_codes.ENTRIES, vector_codes.PARTS, vector_codes.ROUNDS, vector_codes.SCALE))
+def vector_code_table(spark: SparkSession, directory: str) -> DataFrame:
+    codes, books = vector_codes.compress(read_table(spark, directory, "embeddings"))
+    digest = F.lit(books.digest() if books else "")
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+@query("op13_fill_in_middle", oracles.fill_in_middle(fill_middle.MiddleRules()))
+def fill_in_middle(spark: SparkSession, directory: str) -> DataFrame:
+    framed = fill_middle.frame_texts(read_table(spark, directory, "documents"), keep=["doc_id"])
+    made = fill_middle.digests(fill_middle.fill_in_middle(framed))
+    return made.select(F.col("row.doc_id").alias("doc_id"), F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
