@@ -32,9 +32,7 @@ class EliasFano:
     """A non-descending sequence of ``n`` integers from 0 to ``most``."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes) -> None:
-        self.n, self.low_bits = n, low_bits
-        self.low = np.unpackbits(np.frombuffer(low, np.uint8), count=n * low_bits, bitorder="little").reshape(n, low_bits)
-        self.high = np.frombuffer(high, np.uint8)
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
         self.samples = np.frombuffer(samples, "<u4")
 
     @staticmethod
@@ -49,29 +47,19 @@ class EliasFano:
         pack = lambda bits: np.packbits(bits, bitorder="little").tobytes()
         return low_bits, pack(low.astype(np.uint8).ravel()), pack(high), ones[::SAMPLE].astype("<u4").tobytes()
 
-    def _ones_from(self, place: int) -> Iterator[int]:
-        """Places of the one-bits from ``place`` on, a few bytes at a time."""
-        at = place >> 3
-        while at < len(self.high):
-            bits = np.unpackbits(self.high[at : at + 64], bitorder="little")
-            for one in np.flatnonzero(bits) + 8 * at:
-                if one >= place:
-                    yield int(one)
-            at += 64
-
     def select(self, k: int) -> int:
-        """The k-th value, from the nearest sample on."""
-        ones = self._ones_from(int(self.samples[k // SAMPLE]))
-        for _ in range(k % SAMPLE):
-            next(ones)
-        low = int((self.low[k].astype(np.int64) << np.arange(self.low_bits)).sum())
-        return (next(ones) - k) << self.low_bits | low
-
-    def all(self) -> np.ndarray:
-        """Every value."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = (self.low.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else 0
-        return (ones - np.arange(self.n) << self.low_bits) + low
+        """The k-th value: from the nearest sample on, eight bytes of the high bits at a time, and the bits of one packed low part."""
+        place, missing = int(self.samples[k // SAMPLE]), k % SAMPLE
+        byte = place >> 3
+        word = int.from_bytes(self.high[byte : byte + 8], "little") >> (place & 7)
+        while (ones := word.bit_count()) <= missing:
+            missing, byte = missing - ones, byte + 8
+            place, word = byte << 3, int.from_bytes(self.high[byte : byte + 8], "little")
+        for _ in range(missing):
+            word &= word - 1
+        one, bit = place + (word & -word).bit_length() - 1, k * self.low_bits
+        low = int.from_bytes(self.low[bit >> 3 : (bit + self.low_bits + 7) >> 3], "little") >> (bit & 7)
+        return (one - k) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
 
 def block_of(row: dict) -> EliasFano:
@@ -86,14 +74,14 @@ def document_ids(row: dict, k: int) -> np.ndarray:
     return np.frombuffer(row["ids"], f"<u{width}")[first : ends.select(k)]
 
 
-def _write_blocks(vocabulary: str, end_id: int, block_ids: int):
+def _write_blocks(vocabulary: str, end_id: int, block_ids: int, special_as_text: bool):
     """From Arrow batches of (doc_id, text) in order to blocks; the task's number is the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, count, before = TaskContext.get().partitionId(), 0, 0
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special_as_text)
         width = 2 if max(encode.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}")
         docs: list = []
@@ -139,16 +127,18 @@ def write_token_files(
     text: str = "text",
     shards: int | None = None,
     block_ids: int = BLOCK_IDS,
+    special_as_text: bool = True,
 ) -> None:
     """Write the ids of all texts, each followed by ``end_id``, in ascending order of ``doc_id`` (an integer; nulls first; rows with equal
-    ids in the order of a hash of their texts), one file per shard. A null text is empty; an empty table gives files without blocks.
-    Only the two columns are read.
+    ids in the order of a hash of their texts; a ``doc_id`` that is no integer is cast to one), one file per shard. A null text is empty; an
+    empty table gives files without blocks. Special tokens that stand in a text are ordinary text, or (``special_as_text`` off) what
+    the library makes of them. Only the two columns are read.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     dealt = given.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    blocks = dealt.mapInArrow(_write_blocks(vocabulary, end_id, block_ids), BLOCKS)
+    blocks = dealt.mapInArrow(_write_blocks(vocabulary, end_id, block_ids, special_as_text), BLOCKS)
     blocks.write.option("compression", "zstd").parquet(path)
 
 
@@ -173,11 +163,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}").astype("<u4")
-                ends = block_of(row).all()
-                firsts = np.concatenate([[0], ends[:-1]])
+                bounds = block_of(row)
+                ends = [bounds.select(place) for place in range(bounds.n)]
+                firsts = [0, *ends[:-1]]
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(firsts, ends, strict=True)]
+                starts_here = [row["start"] + first for first in firsts]
+                sizes_here = [after - first for first, after in zip(firsts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(firsts + row["start"], pa.int64()), pa.array(ends - firsts, pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.array(row["doc_ids"], pa.int64()), *(pa.array(x, pa.int64()) for x in (starts_here, sizes_here, sums))],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -28,18 +28,19 @@ PART_PIECES = 100_000
 EXCHANGED = 16
 ROUNDS = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, bound double"
 
 
-def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = 0, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, end_id: int = 0, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = True) -> DataFrame:
     """The ids of each text and ``end_id``, cut into pieces if they are more than ``length``; the first piece may be shorter.
 
-    A null text is empty and still has its end id. ``ids`` holds little-endian uint32 (null without ``with_ids``). No shuffle; rows that
+    A null text is empty and still has its end id; special tokens that stand in a text are ordinary text, or (``special_as_text`` off) what the
+    library makes of them; a ``doc_id`` that is no integer is cast to one. ``ids`` holds little-endian uint32 (null without ``with_ids``). No shuffle; rows that
     share an id are cut one by one; an empty table gives no pieces; only the two columns are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special_as_text)
         end = np.array([end_id], "<u4")
         for batch in batches:
             done = 0
@@ -102,22 +103,31 @@ def _pack_part(length: int):
         table, row, size = table.take(pa.array(order)), row[order], size[order]
         bins, places = best_fit_decreasing(size, length)
         fill = np.bincount(bins, size).astype(np.int64)
-        gap = len(fill) - lower_bound(*np.unique(size, return_counts=True), length)
+        bound = lower_bound(*np.unique(size, return_counts=True), length)
+        gap = len(fill) - bound
         emptiest = np.argsort(fill, kind="stable")[: EXCHANGED * max(1, math.ceil(gap))]
         is_open = np.zeros(len(fill), bool)
         is_open[emptiest[fill[emptiest] < length]] = True
         _, firsts = np.unique(bins, return_index=True)
         columns = {name: table[name] for name in ("row", "doc_id", "piece", "start", "length", "ids_crc32")}
-        return pa.table(columns | {"sequence_id": row[firsts][bins], "offset": places, "open": is_open[bins]})
+        return pa.table(columns | {"sequence_id": row[firsts][bins], "offset": places, "open": is_open[bins], "bound": np.full(len(bins), bound)})
 
     return run
 
 
 def pack(cut: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -> DataFrame:
+    """The pieces with their sequences; see ``pack_certified``."""
+    return pack_certified(cut, length, part_pieces)[0]
+
+
+def pack_certified(cut: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -> tuple[DataFrame, DataFrame]:
     """Give each piece a sequence (named by the row number of its first piece) and its place in it, without gaps from 0.
 
     Takes the columns of ``pieces`` and adds ``row``, ``sequence_id`` and ``offset``; ``ids`` are left out (see ``sequences``).
     Pieces are numbered and written first, so a repeated task packs the same pieces. Sizes of parts are bounded whatever ids repeat.
+
+    The second table certifies the packing: per round and part the sequences it made, the lower bound of their number, and how many it gave
+    up for exchange; and in a row without a round all sequences against the bound over all pieces. It is empty if there are no pieces.
     """
     spark = cut.sparkSession
     if "row" not in cut.columns:
@@ -128,16 +138,18 @@ def pack(cut: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -
     left = sum(r["count"] for r in sizes if r["length"] < length)
     bound = math.ceil(lower_bound(np.array([r["length"] for r in sizes]), np.array([r["count"] for r in sizes]), length) - 1e-6) if sizes else 0
     bound -= sum(r["count"] for r in sizes if r["length"] == length)
-    todo, done, closed = cut.where(F.col("length") < length), [full], 0
-    for _ in range(ROUNDS if left else 0):
+    todo, done, closed, bounds = cut.where(F.col("length") < length), [full], 0, []
+    for turn in range(ROUNDS if left else 0):
         parts = math.ceil(left / part_pieces)
-        dealt = todo.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-        packed = written(dealt.groupBy("part").applyInArrow(_pack_part(length), PACKED), "packed")
+        part = F.pmod(F.xxhash64("row"), F.lit(parts))
+        packed = written(todo.withColumn("part", part).groupBy("part").applyInArrow(_pack_part(length), PACKED), "packed")
+        firsts = packed.where("offset = 0").groupBy(F.lit(turn).alias("round"), part.alias("part"))
+        bounds.append(firsts.agg(F.count("*").alias("sequences"), F.max("bound").alias("bound"), F.count_if("open").alias("given_up")))
         count, closed_now, left_now = packed.agg(
             F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & ~F.col("open")), F.count_if("open")
         ).first()
         shown = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-        if parts == 1 or closed + count <= bound or _ == ROUNDS - 1:
+        if parts == 1 or closed + count <= bound or turn == ROUNDS - 1:
             done.append(packed.select(shown))
             break
         done.append(packed.where(~F.col("open")).select(shown))
@@ -147,7 +159,12 @@ def pack(cut: DataFrame, length: int = LENGTH, part_pieces: int = PART_PIECES) -
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    whole = sum(r["count"] for r in sizes if r["length"] == length) + bound
+    total = out.agg(F.count_if(F.col("offset") == 0).alias("sequences")).where("sequences > 0")
+    total = total.select(F.lit(None).cast("int").alias("round"), F.lit(None).cast("long").alias("part"), "sequences", F.lit(float(whole)).alias("bound"), F.lit(0).cast("long").alias("given_up"))
+    for table in bounds:
+        total = total.unionByName(table)
+    return out, total
 
 
 def sequences(cut: DataFrame, packed: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 @query("op4_token_files")
 def token_files(spark: SparkSession, directory: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
-    packed_files.write_token_files(read_table(spark, directory, "documents"), path)
+    packed_files.write_token_files(read_table(spark, directory, "documents"), path, special_as_text=False)
     return packed_files.read_documents(spark, path)
 
 
@@ -72,7 +72,7 @@ def near_duplicate_groups(spark: SparkSession, directory: str) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
-    cut = packing.pieces(read_table(spark, directory, "documents"), with_ids=False)
+    cut = packing.pieces(read_table(spark, directory, "documents"), with_ids=False, special_as_text=False)
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
