@@ -22,8 +22,7 @@ _SINGLE = r"\x{2e80}-\x{2fdf}\x{3040}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3fff
 WORD = rf"[{_SINGLE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_SINGLE}]]+"
 #: Words in a window; of a quote that has fewer, all.
 WINDOW = 5
-#: Messages of a conversation that may have said a passage for all of them to be compared. Of more, the latest earlier one is, with all that
-#: the message's other passages bring.
+#: Messages of a conversation up to which all that said a passage are compared one by one; more are compared by kind, with the same result.
 SAYERS = 8
 #: Turn numbers that are searched in one piece for the latest one that said such a passage.
 PIECE_TURNS = 1 << 16
@@ -119,26 +118,44 @@ def _parents(messages: DataFrame) -> DataFrame:
     asked = written(passages(known.where("quoting").drop("quoting"), quoted=True).distinct(), "quoted")
     # Only conversations in which somebody quotes are searched; joining their ids first keeps the others' passages out of the shuffle.
     sizes = asked.groupBy("conv").agg(F.collect_set("size").alias("sizes"))
-    said = passages(known.drop("quoting").join(sizes, "conv"), quoted=False).select("key", "turn")
+    said = passages(known.drop("quoting").join(sizes, "conv"), quoted=False).select("conv", "turn", "key")
     said = written(said.join(asked.select("key").distinct(), "key", "left_semi").distinct(), "said")
-    hot = written(said.groupBy("key").count().where(F.col("count") > SAYERS).select("key"), "repeated")
+    sayers = written(said.groupBy("key").agg(F.count("*").alias("n"), F.min("turn").alias("first")), "sayers")
     asked = asked.select("conv", "turn", "key", "chars", (F.col("level") == 0).alias("own"))
-    sayers = said.withColumnRenamed("turn", "parent")
-    linked = asked.join(sayers.join(hot, "key", "left_anti"), "key").where("parent < turn").select("conv", "turn", "parent", "key", "chars", "own")
+    own = F.sum(F.when(F.col("own"), F.col("chars")).otherwise(0)).alias("own")
+    deeper = F.sum(F.when(F.col("own"), 0).otherwise(F.col("chars"))).alias("deeper")
+    hot = sayers.where(F.col("n") > SAYERS).select("key")
+    few = asked.join(said.select("key", F.col("turn").alias("parent")).join(hot, "key", "left_anti"), "key").where("parent < turn")
+    votes = few.groupBy("conv", "turn", "parent").agg(own, deeper)
     if not hot.isEmpty():
-        asked_hot, said_hot = asked.join(hot, "key", "left_semi"), said.join(hot, "key", "left_semi")
-        latest = asked_hot.join(_latest(asked_hot, said_hot), ["key", "turn"])
-        candidates = linked.select("conv", "turn", "parent").unionByName(latest.select("conv", "turn", "parent")).distinct()
-        more = asked_hot.join(candidates, ["conv", "turn"]).join(said_hot.withColumnRenamed("turn", "parent"), ["key", "parent"])
-        linked = linked.unionByName(more.select("conv", "turn", "parent", "key", "chars", "own"))
-    linked = written(linked, "links")
-    chars = lambda own: F.sum(F.when(F.col("own") == own, F.col("chars")).otherwise(0))
-    votes = linked.groupBy("conv", "turn", "parent").agg(chars(True).alias("own"), chars(False).alias("deeper"))
+        votes = _with_hot(asked.join(hot, "key", "left_semi"), said.join(hot, "key", "left_semi"), votes, own, deeper)
     best = votes.groupBy("conv", "turn").agg(F.max(F.struct("own", "deeper", "parent")).alias("best"))
-    n_linked = linked.select("conv", "turn", "key").distinct().groupBy("conv", "turn").agg(F.count("*").alias("n_linked"))
+    found = asked.join(sayers, "key").where(F.col("first") < F.col("turn"))
+    n_linked = found.groupBy("conv", "turn").agg(F.count_distinct("key").alias("n_linked"))
     return best.join(n_linked, ["conv", "turn"]).select("conv", "turn", F.col("best.parent").alias("parent"), "n_linked")
 
 
+def _with_hot(asked: DataFrame, said: DataFrame, votes: DataFrame, own: Column, deeper: Column) -> DataFrame:
+    """The votes of all who may be replied to, with the passages that many messages said.
+
+    Messages that said the same of these passages are alike, but for what else they said and their turn. So a quote is compared with each
+    such kind of message once. The latest earlier message of a kind stands for it, and the messages found by rarer passages get the
+    vote of their kind as well.
+    """
+    kinds = said.groupBy("conv", "turn").agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_set("key")).cast("array<string>"))).alias("kind"))
+    kinds = written(kinds, "kinds")
+    says = said.join(kinds, ["conv", "turn"]).select("conv", "kind", "key").distinct()
+    by_kind = written(asked.join(says, ["conv", "key"]).groupBy("conv", "turn", "kind").agg(own, deeper), "votes")
+    as_key = F.struct("conv", "kind").alias("key")
+    latest = _latest(by_kind.select(as_key, "turn"), kinds.select(as_key, "turn"))
+    latest = latest.select(F.col("key.conv").alias("conv"), "turn", F.col("key.kind").alias("kind"), "parent")
+    of_kinds = by_kind.join(latest, ["conv", "turn", "kind"]).select("conv", "turn", "parent", "own", "deeper")
+    more = by_kind.select("conv", "turn", "kind", F.col("own").alias("hot_own"), F.col("deeper").alias("hot_deeper"))
+    rarer = votes.join(kinds.select("conv", F.col("turn").alias("parent"), "kind"), ["conv", "parent"], "left").join(more, ["conv", "turn", "kind"], "left")
+    rarer = rarer.select("conv", "turn", "parent", (F.col("own") + F.coalesce("hot_own", F.lit(0))).alias("own"), (F.col("deeper") + F.coalesce("hot_deeper", F.lit(0))).alias("deeper"))
+    return of_kinds.unionByName(rarer)
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """(conv, turn, parent, n_linked, root, depth), by pointer jumping: every round doubles the way that is covered. A parent comes before its
     reply, so there are no circles."""
