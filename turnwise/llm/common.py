@@ -18,16 +18,26 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
-    found = spark.conf.get(CHECKPOINT_SETTING, None)
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, the context's checkpoint folder; a local session
+    without one gets a new folder, while a cluster, whose executors could not see that, raises RuntimeError."""
+    context = spark.sparkContext
+    found = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="turnwise-")
-        spark.conf.set(CHECKPOINT_SETTING, found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="turnwise-"))
+        found = context.getCheckpointDir()
     return found
 
 
+def fresh_name(taken: Iterable[str], name: str) -> str:
+    """``name``, or it with as many underscores as make it differ from the names that are taken."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
