@@ -80,12 +80,25 @@ def merged(runs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[DataFrame]:
-    """The items that have a text, in blocks of about ``limit`` bytes."""
+    """The items that have a text, each once, in blocks of about ``limit`` bytes: of at most twice as many, or one item."""
     items = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").cast("binary").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(size / limit))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(count))
-    return [items.where(block == k) for k in range(count)]
+    items = items.distinct()
+    if items.isEmpty():
+        return [items]
+    items = written(items, "items")
+    cost = F.octet_length("text") + F.octet_length("item") + F.lit(16)
+    done, todo = [], [(items, 0)]
+    while todo:
+        part, seed = todo.pop()
+        size = part.agg(F.sum(cost)).first()[0]
+        block = F.pmod(F.xxhash64("item", "text", F.lit(seed)), F.lit(math.ceil(size / limit)))
+        for row in part.groupBy(block.alias("block")).agg(F.sum(cost).alias("size"), F.count("*").alias("n")).orderBy("block").collect():
+            members = part.where(block == row["block"])
+            if row["size"] <= 2 * limit or row["n"] == 1:
+                done.append(members)
+            else:
+                todo.append((members, seed + 1))
+    return done
 
 
 def _shared(block: DataFrame):
@@ -138,7 +151,8 @@ def find_items(
 
 
 def with_passages(found: DataFrame) -> DataFrame:
-    """Add the places of the hit runs in the original text: code points, end exclusive."""
+    """Add the places of the hit runs in the original text: code points, end exclusive. Takes the table of ``find_items`` with its text; a null or
+    empty text has none, repeated rows each have theirs, an empty table gives an empty one, and columns inside ``row`` pass as they are."""
 
     def make():
         def work(texts, runs):
@@ -159,7 +173,8 @@ def with_passages(found: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in which no item occurs, with their columns."""
+    """The documents in which no item occurs, with their columns, whatever these are called. Null and empty texts hold no item and stay, as do
+    repeated clean rows; items without a text are skipped; without items all documents stay, and an empty table gives an empty one."""
     for block in _blocks(benchmark, "item_id", "text", block_bytes):
         shared = _shared(block)
 
