@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import map_rows, written
+from turnwise.llm.common import fresh_name, map_rows, written
 from turnwise.llm.components import components
+from turnwise.operators.positions import SortKey
+from turnwise.operators.shape import number_rows
 
 SHINGLE = 5
 #: Percent of the union that the intersection must reach.
@@ -269,16 +271,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their group, with their columns; of rows that share an id, the one with the smallest hash of its
-    text stays."""
-    found = written(near_duplicates(docs), "near-duplicates")
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__repeated"))
-    kept = docs.join(_small(dropped), docs["doc_id"] == F.col("__dropped"), "left_anti")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(_small(repeated), kept["doc_id"] == F.col("__repeated"), "left_anti")
-    several = kept.join(_small(repeated), kept["doc_id"] == F.col("__repeated"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = several.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("__row")).select("__row.*")
-    return single.unionByName(one)
+    """The documents with the smallest id of their group, with their columns, whatever these are called.
+
+    Rows are judged by their texts: where ids repeat, rows are numbered by id and a hash of their text first, so of rows that share an id those
+    with unlike texts stay, and of equal or similar texts the first. Null and empty texts are like nothing and stay, and so do rows without
+    an id; an empty table gives an empty one.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    if own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _kept(docs, "doc_id")
+    number, print_, place = (fresh_name(docs.columns, name) for name in ("row_number", "text_hash", "any_order"))
+    # Written before it is used, so that equal rows keep the order they were given.
+    placed = written(docs.withColumns({print_: F.xxhash64("text"), place: F.monotonically_increasing_id()}), "placed")
+    known = number_rows(placed.where("doc_id IS NOT NULL"), [SortKey(c) for c in ("doc_id", print_, place)], number)
+    numbered = known.unionByName(placed.where("doc_id IS NULL").withColumn(number, F.lit(None).cast("bigint")))
+    return _kept(written(numbered.drop(print_, place), "numbered"), number).drop(number)
+
+
+def _kept(docs: DataFrame, key: str) -> DataFrame:
+    """The rows whose key, unique but for nulls, is the smallest of its group."""
+    found = written(near_duplicates(docs, doc_id=key), "near-duplicates")
+    gone = fresh_name(docs.columns, "dropped")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone))
+    return docs.join(_small(dropped), F.col(f"`{key}`") == F.col(f"`{gone}`"), "left_anti")
