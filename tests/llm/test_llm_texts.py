@@ -1,9 +1,13 @@
 """Operators on single texts against brute force: quality rules, URLs, decontamination, personal data, licenses, pages, quotes."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -387,6 +391,65 @@ def test_who_said_all_of_a_quote_wins(spark):
     assert parents(spark, talk)[0][-1] == 0
 
 
+@pytest.mark.parametrize("n", [3, 12])
+def test_number_of_sayers_does_not_decide(spark, n):
+    a, b = "The first point is here.", "The other point is there."
+    talk = ["Hello.", f"{a}\n\n{b}", *[a] * n, *[b] * n, f"> {a}\n\n> {b}\nBoth."]
+    assert parents(spark, talk)[0][-1] == 1
+
+
+def brute_passages(text, level_of, sizes=None):
+    """{(level, passage, whole): characters} of a text: paragraphs, lines, sentences and windows of words."""
+    found, run, at = {}, [], None
+    for line in [*text.split("\n"), "> " * 9]:
+        marks = re.match(r"(?:[ \t]*>)*", line).group()
+        level, body = marks.count(">"), re.sub(r"^(?:[ \t]*>)+ ?", "", line)
+        if (level != at or not body.strip()) and run:
+            for unit in {" ".join(" ".join(x).lower().split()) for x in ([*run], *[[y] for y in run])}:
+                words = re.findall(r"\w+", unit)
+                if level_of(at) >= 0:
+                    found |= {(level_of(at), p, True): len(p) for p in [unit, *re.split(r"(?<=[.!?]) ", unit)]}
+                    for size in sizes or {min(5, len(words))}:
+                        windows = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] if size else []
+                        found |= {(level_of(at), w, False): len(w) for w in windows}
+            run = []
+        if body.strip():
+            run.append(body)
+        at = level
+    return found
+
+
+def brute_parents(talk):
+    out = []
+    asked = [brute_passages(t, lambda level: level - 1) for t in talk]
+    sizes = {len(p.split()) for found in asked for _, p, whole in found if not whole}
+    said = [brute_passages(t, lambda level: level, sizes) if sizes else {} for t in talk]
+    for turn, wanted in enumerate(asked):
+        best = None
+        for earlier in range(turn):
+            shared = [k for k in wanted if k in said[earlier]]
+            if shared:
+                votes = [sum(wanted[k] for k in shared if (k[0] == 0) == own) for own in (True, False)]
+                best = max(best or (), (*votes, earlier))
+        out.append(best and best[-1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parents_equal_comparing_all_messages(spark, seed):
+    rng = random.Random(seed)
+    talks = []
+    for n in (5, 30, 220):
+        pool = [" ".join(rng.choices("red green blue big small round flat old new far".split(), k=rng.randint(1, 7))) + rng.choice(".!?") for _ in range(rng.randint(3, 9))]
+        talk = []
+        for _ in range(n):
+            lines = rng.choices(pool, k=rng.randint(1, 3))
+            quoted = rng.choice(talk).split("\n") if talk and rng.random() < 0.4 else []
+            talk.append("\n".join([*(f"> {q}" for q in rng.sample(quoted, min(len(quoted), rng.randint(1, 3)))), *lines]))
+        talks.append(talk)
+    assert parents(spark, *talks) == [brute_parents(talk) for talk in talks]
+
+
 def test_parts_and_short_quotes(spark):
     talks = [
         ["One thing is. Another is this. The third too.", "No.", "> Another is this.\nYes."],
@@ -401,6 +464,38 @@ def test_parts_and_short_quotes(spark):
     assert [found[-1] for found in parents(spark, *talks)] == [0, 0, 0, 0, 0, 0, 0, 0]
 
 
+def test_blocks_of_items_are_bounded(spark):
+    items = spark.createDataFrame([("a", "same words here")] * 500 + [(f"i{k}", f"other words {k} " * (k % 9)) for k in range(300)] + [("big", "long item " * 400), ("none", None)], "item_id string, text string")
+    blocks = [[(r[0], len(r[1])) for r in block.collect()] for block in contamination._blocks(items, "item_id", "text", 1000)]
+    assert sorted(i for block in blocks for i, _ in block) == sorted(["a", "big", *(f"i{k}" for k in range(300))])
+    assert all(len(block) == 1 or sum(n for _, n in block) <= 2000 for block in blocks)
+
+
+NO_SETTING = """
+from pyspark.sql import SparkSession
+from turnwise.llm import common
+spark = SparkSession.builder.master("local[1]").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+first = common.shared_dir(spark)
+assert first == common.shared_dir(spark) and common.written(spark.range(3), "t").count() == 3
+class Cluster:
+    master, getCheckpointDir = "spark://host:7077", lambda self: None
+class Session:
+    sparkContext, conf = Cluster(), spark.conf
+try:
+    common.shared_dir(Session())
+except RuntimeError as error:
+    print("refused:", error)
+"""
+
+
+def test_shared_folder_without_the_setting(tmp_path):
+    """A session whose defaults set no folder: a local one makes its own, a cluster is told to set one."""
+    environment = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+    done = subprocess.run([sys.executable, "-c", NO_SETTING], env=environment, capture_output=True, text=True, timeout=300)
+    assert "refused: set spark.checkpoint.dir" in done.stdout, done.stderr[-2000:]
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(personal_data.span_text(F.array().cast(f"array<{personal_data.SPAN}>")), 256)).collect()[0][0]
