@@ -32,7 +32,7 @@ def personal_data_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, with their sequences and places."""
-    packed = packing.pack(packing.pieces(docs, with_ids=False))
+    packed = packing.pack(packing.pieces(docs, with_ids=False, special_as_text=False))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
