@@ -1,17 +1,16 @@
 """Approximate nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards by ranges of their norm. In each shard a graph is built: a greedy search for each vector proposes its
+Distinct vectors are dealt to shards, each of norms of one power of two. In each shard a graph is built: a greedy search for each vector proposes its
 neighbours, and relaxed distance pruning keeps a diverse few of them, with edges both ways. A beam search from the middle of the shard
 answers queries; every query goes through every shard, the shards' answers are scored in double precision and merged.
 
 Inside a shard vectors are scaled by the largest norm and get one more component that makes their length 1. Distances between such vectors
-order them as inner products do, so pruning by distance is sound; as norms of a shard are alike, that component stays small.
+order them as inner products do, so pruning by distance is sound; as norms of a shard are alike, that component stays moderate.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -262,20 +261,14 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _index_shard(rules: GraphRules):
-    """From a task's rows (vector as an array, ids) to one row of the index per number of components."""
+    """From the rows of a shard (vector as an array, ids) to one row of the index per number of components."""
     made = pa.schema(
         [("shard", pa.int32()), ("dim", pa.int32()), ("wide", pa.bool_()), ("start", pa.int32()), ("vectors", pa.binary()), ("neighbours", pa.binary()), ("degree", pa.int32())]
         + [("ids", pa.list_(pa.int64())), ("id_ends", pa.list_(pa.int32()))]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        given = [b for b in batches if b.num_rows]
-        if not given:
-            return
-        table = pa.Table.from_batches(given)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        shard, found = key[0].as_py(), []
         lengths = np.diff(table["vector"].combine_chunks().offsets.to_numpy())
         for dim in np.unique(lengths):
             part = table.filter(pa.array(lengths == dim))
@@ -284,7 +277,8 @@ def _index_shard(rules: GraphRules):
             edges, start = build_graph(unit_points(vectors), rules)
             ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py())[1:]
             values = (shard, int(dim), vectors.dtype == np.float64, start, vectors.tobytes(), edges.tobytes(), edges.shape[1], ids.flatten().to_numpy(), ends)
-            yield pa.RecordBatch.from_pylist([dict(zip(made.names, values, strict=True))], schema=made)
+            found.append(dict(zip(made.names, values, strict=True)))
+        return pa.Table.from_pylist(found, schema=made)
 
     return run
 
@@ -302,10 +296,20 @@ def build_index(vectors: DataFrame, nearest: int, rules: GraphRules = GraphRules
     # The smallest ids of each vector are picked before the shuffle and after it, so a vector that half of the rows share is no hot spot.
     first = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id")) <= nearest + 1
     nodes = given.withColumn("first", first).where("first").groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    shards = max(1, math.ceil(given.count() / shard_vectors))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
-    dealt = nodes.repartitionByRange(shards, F.size("vector"), norm, F.xxhash64("vector"))
-    return written(dealt.select("vector", "ids").mapInArrow(_index_shard(rules), INDEX), "index")
+    norm = F.least(F.greatest(norm, F.lit(5e-324)), F.lit(1e308))  # squares may be too small or too large for doubles
+    nodes = nodes.withColumn("size", F.round(F.log2(norm)).cast("int"))
+    given = given.select(F.round(F.log2(norm)).cast("int").alias("size"))
+    first, shards = 0, []
+    for r in given.groupBy("size").count().orderBy("size").collect():  # as many rows as there are powers of two
+        count = math.ceil(r["count"] / shard_vectors)
+        shards.append((r["size"], F.struct(F.lit(first).alias("first"), F.lit(count).alias("count"))))
+        first += count
+    if not shards:
+        return written(nodes.sparkSession.createDataFrame([], INDEX), "index")
+    own = F.element_at(F.create_map(*[x for size, shard in shards for x in (F.lit(size), shard)]), F.col("size"))
+    shard = (own["first"] + F.pmod(F.xxhash64("vector"), own["count"])).cast("int").alias("shard")
+    return written(nodes.select(shard, "vector", "ids").groupBy("shard").applyInArrow(_index_shard(rules), INDEX), "index")
 
 
 def _search_shard(nearest: int, beam: int):
