@@ -1,5 +1,7 @@
 """Trajectory aggregation on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,45 +45,44 @@ def test_empty_input_gives_no_trajectories(spark):
     assert trajectory_warnings(empty, cfg()).count() == 0
 
 
-def test_single_group_is_sorted(spark):
-    df = rows_of(
-        spark,
-        [("row-2", "s1", "assistant", "second", 2, 0), ("row-1", "s1", "user", "first", 1, 1)],
-    )
-    nested = nest(messages(df, cfg(order_by="created_at"), "seq")).collect()
-    assert len(nested) == 1
-    row = nested[0]
-    assert (row.group_key, row.message_count, row.segment) == ("s1", 2, 0)
-    assert [m.row_identity for m in row.messages] == ["row-1", "row-2"]
-    assert "_row_identity" not in row.messages[0].raw.asDict()
-    assert row.messages[0].raw.content == "first"
-    assert trajectory_warnings(df, cfg(order_by="created_at")).count() == 0
-
-
-def test_groups_come_in_first_seen_order(spark):
-    df = rows_of(
-        spark,
-        [
-            ("a", "s2", "user", "one", None, 0),
-            ("b", "s1", "user", "two", None, 1),
-            ("c", "s2", "assistant", "three", None, 2),
-        ],
-    )
-    found = first_seen(df.repartition(3), cfg(), "seq").orderBy("first_seq").collect()
-    assert [(r.group_key, r.message_count) for r in found] == [("s2", 2), ("s1", 1)]
-
-
-def test_null_group_stays_apart_from_its_label(spark):
-    df = rows_of(
-        spark,
-        [("null", None, "user", "x", None, 0), ("literal", "__null__", "assistant", "y", None, 1)],
-    )
-    found = nest(messages(df, cfg(), "seq")).collect()
-    assert [r.group_key for r in found] == ["__null__", "__null__"]
-    assert {(r.group_is_null, r.messages[0].row_identity) for r in found} == {
-        (True, "null"),
-        (False, "literal"),
-    }
+def generated(seed):
+    """Rows of groups of many sizes and keys, NULL and its label among them, with ties and missing order values."""
+    rng = random.Random(seed)
+    keys = [None, "__null__", "", "p", " p", "P", "pé"][: rng.randint(1, 7)]
+    members = [key for key in keys for _ in range(rng.choice([1, 2, 3, 8, 30]))]
+    rng.shuffle(members)
+    places = rng.sample(range(10_000), len(members))
+    return [(f"i{n}", key, rng.choice(["user", "tool"]), f"c{n}", rng.choice([None, 1, 2, 2, 3]), place) for n, (key, place) in enumerate(zip(members, places, strict=True))]
+
+
+def brute_groups(rows, ascending=None):
+    """{group: rows in order}, the groups by their first row."""
+    groups = {}
+    for row in sorted(rows, key=lambda r: r[5]):
+        groups.setdefault(row[1], []).append(row)
+    if ascending is None:
+        return groups
+    sign = 1 if ascending else -1
+    return {k: sorted(g, key=lambda r: ((r[4] is None) == ascending, sign * (r[4] or 0), r[5])) for k, g in groups.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("direction", [None, "asc", "desc"])
+def test_groups_equal_brute_force(spark, seed, direction):
+    rows = generated(seed)
+    wanted = brute_groups(rows, None if direction is None else direction == "asc")
+    config = cfg() if direction is None else cfg(order_by="created_at", order_direction=direction)
+    placed = messages(rows_of(spark, rows).repartition(3), config, "seq", max_group_rows=[None, 5][seed % 2])
+    found = {(r.group_key, r.group_is_null): r for r in nest(placed).collect()}
+    assert set(found) == {("__null__" if k is None else k, k is None) for k in wanted}
+    for key, group in wanted.items():
+        row = found["__null__" if key is None else key, key is None]
+        assert row.message_count == len(group) and [m.row_identity for m in row.messages] == [g[0] for g in group]
+        assert [m.raw.content for m in row.messages] == [g[3] for g in group] and "_row_identity" not in row.messages[0].raw.asDict()
+    if direction is None:
+        seen = first_seen(rows_of(spark, rows).repartition(3), config, "seq").orderBy("first_seq").collect()
+        assert [(r.group_is_null, r.group_key, r.message_count, r.first_seq) for r in seen] == [(k is None, "__null__" if k is None else k, len(g), g[0][5]) for k, g in wanted.items()]
+    assert trajectory_warnings(rows_of(spark, rows), config).count() == 0
 
 
 def test_number_and_text_keys_of_json_groups_stay_apart(spark):

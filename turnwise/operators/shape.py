@@ -77,27 +77,31 @@ def column_catalog(
 ) -> DataFrame:
     """One row per column: table, position, name, source type, inferred type.
 
-    A text column that holds any JSON object or array counts as ``json``. All columns are
-    decided by one aggregate over one scan; where ``json_columns`` is given, nothing is read.
+    A text column that holds any JSON object or array counts as ``json``. All columns are decided by one aggregate over one scan, which is
+    left out where the types are not asked for; where ``json_columns`` is given, nothing is read.
     """
-    rows = []
-    for number, field in enumerate(df.schema.fields, 1):
-        kind = F.lit(inferred_type(field.dataType))
-        if isinstance(field.dataType, TEXT_TYPES):
-            known = json_columns is not None
-            holds = F.lit(field.name in json_columns) if known else _holds_json(field.name)
-            kind = F.when(holds, "json").otherwise(kind)
-        rows.append(
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(number).alias("ordinal"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(field.dataType.simpleString()).alias("sql_type"),
-                kind.alias("inferred_type"),
-            )
+    rows = [
+        F.struct(
+            F.lit(table).alias("table_name"),
+            F.lit(number).alias("ordinal"),
+            F.lit(field.name).alias("column_name"),
+            F.lit(field.dataType.simpleString()).alias("sql_type"),
+            F.lit(inferred_type(field.dataType)).alias("inferred_type"),
         )
-    source = df if json_columns is None else df.sparkSession.range(1)
-    return source.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        for number, field in enumerate(df.schema.fields, 1)
+    ]
+    catalog = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+    texts = _string_columns(df)
+    if json_columns is not None:
+        texts = [name for name in texts if name in json_columns]
+        holding = F.array(*map(F.lit, texts)) if texts else None
+    else:
+        flags = [F.when(_holds_json(name), F.lit(name)) for name in texts]
+        holding = df.agg(F.array_compact(F.array(*flags)).alias("names")).scalar() if texts else None
+    if holding is None:
+        return catalog
+    kind = F.when(F.array_contains(holding, F.col("column_name")), "json").otherwise(F.col("inferred_type"))
+    return catalog.withColumn("inferred_type", kind)
 
 
 def json_promotion(df: DataFrame, table: str) -> DataFrame:

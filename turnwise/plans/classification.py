@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turnwise.operators.classify import Rule, classify_columns, matching_rules, rule_problems
 from turnwise.plans.registry import Tables, query
-from turnwise.plans.shaping import all_catalogs, catalog_sql
+from turnwise.plans.shaping import all_catalogs, catalog_sql, names_sql
 
 RULES = (
     Rule(1, "text", "exact", '{"type":"markdown"}', 10),
@@ -47,14 +47,13 @@ _TABLE_RULES = """
 @query(
     "column_classes_from_table",
     f"""
-    WITH cat AS ({catalog_sql()}), r AS ({_TABLE_RULES}),
-    hit AS (SELECT c.table_name, c.column_name, arg_min(r.id, (10 - r.priority) * 1000 + r.id) AS id
-      FROM cat c JOIN r ON CASE r.match_type WHEN 'exact' THEN c.column_name = r.pattern
+    SELECT c.table_name, c.column_name, 'code' AS class,
+      '{{"language":"l' || arg_min(r.id, (10 - r.priority) * 1000 + r.id) || '"}}' AS params
+    FROM ({names_sql()}) c JOIN ({_TABLE_RULES}) r ON CASE r.match_type WHEN 'exact' THEN c.column_name = r.pattern
         WHEN 'prefix' THEN starts_with(c.column_name, r.pattern)
         WHEN 'suffix' THEN ends_with(c.column_name, r.pattern)
-        ELSE regexp_full_match(c.column_name, r.pattern) END GROUP BY ALL)
-    SELECT c.table_name, c.column_name, 'code' AS class, '{{"language":"l' || h.id || '"}}' AS params
-    FROM cat c JOIN hit h USING (table_name, column_name)
+        ELSE regexp_full_match(c.column_name, r.pattern) END
+    GROUP BY c.table_name, c.column_name
     """,
 )
 def column_classes_from_table(t: Tables):
@@ -83,24 +82,24 @@ def column_classes_from_table(t: Tables):
 @query(
     "column_classes",
     f"""
-    WITH cat AS ({catalog_sql()}), hit AS ({_MATCHES}),
-    best AS (SELECT table_name, column_name, arg_min(rule_id, -priority * 100 + rule_id) AS rule_id
-             FROM hit WHERE rule_id <> 5 GROUP BY ALL),
-    picked AS (SELECT c.*, CASE b.rule_id WHEN 1 THEN 'markdown' WHEN 2 THEN 'tag' WHEN 3 THEN 'code'
-        WHEN 4 THEN 'text' WHEN 8 THEN 'year' ELSE CASE
-        WHEN inferred_type IN ('json', 'timestamp') THEN inferred_type
-        WHEN inferred_type = 'text' AND (lower(c.column_name) IN ('timestamp', 'time', 'date', 'datetime')
-          OR regexp_matches(lower(c.column_name), '_(at|time|timestamp|date|datetime)$')) THEN 'timestamp'
-        WHEN inferred_type = 'text' AND (lower(c.column_name) IN ('content', 'markdown', 'md')
-          OR regexp_matches(lower(c.column_name), '_(content|markdown|md)$')) THEN 'markdown'
-        ELSE 'text' END END AS k
-      FROM cat c LEFT JOIN best b ON b.table_name = c.table_name AND b.column_name = c.column_name)
     SELECT table_name, ordinal, column_name, sql_type, inferred_type,
       CASE WHEN k = 'year' THEN 'timestamp' ELSE k END AS class,
       CASE k WHEN 'json' THEN '{{"collapsed":true}}' WHEN 'code' THEN '{{"language":"sql"}}'
         WHEN 'timestamp' THEN '{{"format":"YYYY-MM-DD HH:mm:ss"}}' WHEN 'year' THEN '{{"format":"YYYY"}}'
         ELSE '{{}}' END AS params
-    FROM picked
+    FROM (SELECT *, CASE
+        WHEN starts_with(column_name, 'o_') THEN 'tag'
+        WHEN column_name = 'text' THEN 'markdown'
+        WHEN ends_with(column_name, 'name') THEN 'code'
+        WHEN regexp_full_match(column_name, '[cs]_.*key') THEN 'text'
+        WHEN column_name = 'c_name' THEN 'year'
+        WHEN inferred_type IN ('json', 'timestamp') THEN inferred_type
+        WHEN inferred_type = 'text' AND (lower(column_name) IN ('timestamp', 'time', 'date', 'datetime')
+          OR regexp_matches(lower(column_name), '_(at|time|timestamp|date|datetime)$')) THEN 'timestamp'
+        WHEN inferred_type = 'text' AND (lower(column_name) IN ('content', 'markdown', 'md')
+          OR regexp_matches(lower(column_name), '_(content|markdown|md)$')) THEN 'markdown'
+        ELSE 'text' END AS k
+      FROM ({catalog_sql()}) cat) picked
     """,
 )
 def column_classes(t: Tables):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from turnwise.functions.text import LISTED_SQL_PREVIEW, RECENT_SQL_PREVIEW
-from turnwise.operators.audit import audit, audit_summary
+from turnwise.operators.audit import DANGEROUS_FUNCTIONS, LOCKING_CLAUSES, STATEMENT_TYPES, audit, audit_summary
 from turnwise.operators.querylog import (
     QueryLog,
     expiry,
@@ -251,28 +252,39 @@ def inventory_counts_query(t: Tables):
     return inventory_counts(t.customer, t.orders, F.col("o_orderstatus") == "F")
 
 
-# A statement for every order; its priority and status decide what kind of statement it is.
-STATEMENTS = r"""CASE concat(o_orderpriority, o_orderstatus)
-  WHEN '1-URGENTF' THEN concat('SELECT * FROM t WHERE id = ', o_orderkey)
-  WHEN '1-URGENTO' THEN concat('select ', chr(39), 'a FOR UPDATE ; ', o_orderkey, chr(39), ' AS x -- SLEEP(1)')
-  WHEN '1-URGENTP' THEN concat('DELETE FROM t WHERE id = ', o_orderkey)
-  WHEN '2-HIGHF' THEN concat('SELECT sleep/* now */ (', o_orderkey, ')')
-  WHEN '2-HIGHO' THEN concat('SELECT * FROM t WHERE id = ', o_orderkey, ' for  update')
-  WHEN '2-HIGHP' THEN concat('SELECT ', o_orderkey, '; SELECT 2')
-  WHEN '3-MEDIUMF' THEN concat('/* ', o_orderkey, ' */ ;')
-  WHEN '3-MEDIUMO' THEN concat('WITH x AS (SELECT ', o_orderkey, ' AS a) SELECT * FROM x;')
-  WHEN '3-MEDIUMP' THEN concat('WITH x AS (SELECT ', o_orderkey, ' AS a) UPDATE t SET a = (SELECT 1)')
-  WHEN '4-NOT SPECIFIEDF' THEN concat('SELECT a INTO @v FROM t WHERE id = ', o_orderkey)
-  WHEN '4-NOT SPECIFIEDO' THEN concat('SELECT t.into, a AS into FROM t WHERE id = ', o_orderkey)
-  WHEN '4-NOT SPECIFIEDP' THEN concat('SELECT @x := ', o_orderkey)
-  WHEN '5-LOWF' THEN concat('SELECT /*!50000 SLEEP(1) */ ', o_orderkey)
-  WHEN '5-LOWO' THEN concat('DROP TABLE t', o_orderkey)
-  ELSE concat('SHOW TABLES LIKE ', chr(39), 't', o_orderkey, '%', chr(39)) END"""
-
-_FUNCTIONS = (
-    "BENCHMARK|GET_LOCK|LOAD_FILE|MASTER_POS_WAIT|RELEASE_ALL_LOCKS|RELEASE_LOCK|SLEEP|"
-    "SOURCE_POS_WAIT|WAIT_FOR_EXECUTED_GTID_SET|WAIT_UNTIL_SQL_THREAD_AFTER_GTIDS"
+# What does not count inside a text or a comment.
+_HIDDEN = ("sleep ({k})", "p into q", "for share", "; drop table p", "@p := {k}")
+
+
+def _statements() -> Iterator[str]:
+    """Statements of every kind, made from the rules; ``{k}`` stands for the order's key and ``~`` for a quote."""
+    for inner in _HIDDEN:
+        yield f"select ~{inner}~ as q from p"
+        yield f"select {{k}} as q -- {inner}\n from p"
+        yield f"/* {inner} */ select {{k}}"
+    for kind in STATEMENT_TYPES:
+        yield f"{kind.lower()} p{{k}}"
+    for kind in ("select", "insert", "update", "delete"):
+        yield f"with q as (select {{k}} as r) {kind} p"
+    for name in DANGEROUS_FUNCTIONS:
+        yield f"select {{k}} + {name.lower()} /* now */ (p)"
+        yield f"select {name.lower()}, {{k}} from p"
+    for clause in LOCKING_CLAUSES:
+        yield f"select {{k}} from p {clause.lower()}"
+    yield from ("show p{k}", "select {k} into q from p", "select p.into, {k} as into from p", "select @p := {k}", "/* {k} */ ;", "select {k} ;", "select {k} ; select 3", "select /*! {k} */ 4")
+
+
+_CASES = list(_statements())
+# A statement for every order; its key decides which.
+STATEMENTS = (
+    f"replace(replace(CASE o_orderkey % {len(_CASES)} "
+    + " ".join(f"WHEN {number} THEN '{text}'" for number, text in enumerate(_CASES))
+    + " END, '~', chr(39)), '{k}', concat('', o_orderkey))"
 )
+
+_FUNCTIONS = "|".join(DANGEROUS_FUNCTIONS)
+_TYPES = "|".join(STATEMENT_TYPES)
+_FORBIDDEN = ", ".join(f"'{kind}'" for kind in (*STATEMENT_TYPES, "EMPTY", "MULTI_STATEMENT", "UNKNOWN"))
 _AUDIT_SQL = rf"""
   WITH log AS (SELECT o_orderkey AS id, {STATEMENTS} AS sql_text FROM orders),
   marked AS (SELECT id, regexp_replace(sql_text,
@@ -285,13 +297,13 @@ _AUDIT_SQL = rf"""
       1) AS hit FROM code),
   typed AS (SELECT *, regexp_replace(regexp_replace(hit, '\s*\($', ''), '\s+', ' ', 'g') AS word,
     regexp_extract(regexp_replace(regexp_replace(stmts[1], '\([^()]*\)', '', 'g'), '^\s*WITH\b', ''),
-      '\b(SELECT|INSERT|UPDATE|DELETE|UPSERT|REPLACE|MERGE|CREATE|ALTER|DROP|SHOW)\b', 1) AS kind FROM parts),
+      '\b({_TYPES})\b', 1) AS kind FROM parts),
   judged AS (SELECT id, CASE WHEN regexp_matches(m, '/\*[!+]') THEN 'EXECUTABLE_COMMENT'
     WHEN word = ':=' THEN 'ASSIGNMENT' WHEN word <> '' THEN word WHEN len(stmts) = 0 THEN 'EMPTY'
-    WHEN len(stmts) > 1 THEN 'MULTI_STATEMENT' WHEN kind = 'SHOW' THEN 'UNKNOWN' ELSE kind END AS detail
+    WHEN len(stmts) > 1 THEN 'MULTI_STATEMENT' WHEN kind = '' THEN 'UNKNOWN' ELSE kind END AS detail
     FROM typed)
   SELECT id, CASE WHEN detail = 'SELECT' THEN 'ok'
-    WHEN detail IN ('EMPTY', 'MULTI_STATEMENT', 'UPDATE', 'DELETE', 'DROP', 'UNKNOWN')
+    WHEN detail IN ({_FORBIDDEN})
     THEN 'SQL_FORBIDDEN_STATEMENT' ELSE 'SQL_DANGEROUS_FUNCTION' END AS verdict, detail FROM judged"""
 
 

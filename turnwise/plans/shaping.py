@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -67,24 +68,39 @@ def _holds_json_sql(table: str, column: str) -> str:
     return f"(SELECT coalesce(bool_or({_IS_JSON.format(c=column)}), false) FROM {table})"
 
 
-def catalog_sql(names: tuple[str, ...] = TABLES) -> str:
-    rows = []
+def _specs(names: tuple[str, ...]):
     for table in names:
         for number, spec in enumerate(SCHEMAS[table].split(", "), 1):
-            column, sql_type, kind = spec.split(" ")
-            kind_sql = f"'{kind}'"
-            if kind == "text":
-                kind_sql = f"CASE WHEN {_holds_json_sql(table, column)} THEN 'json' ELSE 'text' END"
-            rows.append(
-                f"SELECT '{table}' AS table_name, {number} AS ordinal, '{column}' AS column_name, "
-                f"'{sql_type}' AS sql_type, {kind_sql} AS inferred_type"
-            )
-    return "\nUNION ALL ".join(rows)
+            yield table, number, *spec.split(" ")
+
+
+def names_sql(names: tuple[str, ...] = TABLES) -> str:
+    """The columns of tables by name; no data is read."""
+    values = ", ".join(f"('{table}', '{column}')" for table, _, column, _, _ in _specs(names))
+    return f"SELECT * FROM (VALUES {values}) named(table_name, column_name)"
+
+
+def catalog_sql(names: tuple[str, ...] = TABLES) -> str:
+    """The catalog: known names and types, and one scan per table for which texts hold JSON."""
+    values = ", ".join(f"('{table}', {number}, '{column}', '{sql_type}', '{kind}')" for table, number, column, sql_type, kind in _specs(names))
+    scans = []
+    for table in names:
+        texts = [column for own, _, column, _, kind in _specs(names) if own == table and kind == "text"]
+        flags = ", ".join(f"CASE WHEN bool_or({_IS_JSON.format(c=column)}) THEN '{column}' END" for column in texts)
+        if texts:
+            scans.append(f"SELECT '{table}' AS table_name, unnest([{flags}]) AS column_name FROM {table}")
+    return (
+        "SELECT c.table_name, c.ordinal, c.column_name, c.sql_type, CASE WHEN j.column_name IS NOT NULL THEN 'json' ELSE c.kind END AS inferred_type "
+        f"FROM (VALUES {values}) c(table_name, ordinal, column_name, sql_type, kind) "
+        f"LEFT JOIN ({' UNION ALL '.join(scans)}) j ON j.table_name = c.table_name AND j.column_name = c.column_name"
+    )
 
 
 def all_catalogs(t: Tables) -> DataFrame:
-    """Catalog of every table, with JSON found by reading the data."""
-    return reduce(DataFrame.unionByName, [column_catalog(getattr(t, n), n) for n in TABLES])
+    """Catalog of every table, with JSON found by reading the data; the tables' schemas are read at the same time."""
+    with ThreadPoolExecutor(len(TABLES)) as pool:
+        catalogs = list(pool.map(lambda n: column_catalog(getattr(t, n), n), TABLES))
+    return reduce(DataFrame.unionByName, catalogs)
 
 
 @query(
