@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,7 +182,7 @@ def test_deep_pages_are_in_order_without_adaptive_execution(spark, monkeypatch):
     assert found == wanted
 
 
-def test_rows_without_parent_stay_out_of_the_join_and_times_reach_the_scan(spark, tmp_path):
+def test_history_is_scanned_once_and_times_reach_the_scan(spark, tmp_path):
     rows = [(i, None if i % 3 else i, datetime(2024, 1, 1 + i % 20)) for i in range(60)]
     spark.createDataFrame(rows, "id int, query_id int, executed_at timestamp").write.parquet(str(tmp_path / "h"))
     spark.createDataFrame([(i, datetime(2024, 1, 1 + i % 9)) for i in range(0, 60, 3)], "id int, expires_at timestamp").write.parquet(str(tmp_path / "q"))
@@ -188,5 +190,70 @@ def test_rows_without_parent_stay_out_of_the_join_and_times_reach_the_scan(spark
     empty = spark.createDataFrame([], "query_id int")
     kept = querylog.retention_survivors(QueryLog(queries, history, empty, empty), datetime(2024, 2, 8)).history
     text = kept._jdf.queryExecution().executedPlan().toString()
-    assert text.count("GreaterThanOrEqual(executed_at") >= 2 and "IsNull(query_id)" in text
-    assert kept.count() == sum(1 for r in rows if r[2] >= datetime(2024, 1, 9))
+    assert text.count("FileScan parquet") == 2 and text.count("GreaterThanOrEqual(executed_at") == 1
+    expired = {i for i in range(0, 60, 3) if datetime(2024, 1, 1 + i % 9) < datetime(2024, 2, 8)}
+    wanted = sorted((i, p if p is not None and p not in expired else None) for i, p, t in rows if t >= datetime(2024, 1, 9))
+    assert sorted((r.id, r.query_id) for r in kept.collect()) == sorted(wanted, key=lambda r: (r[0], r[1] or 0))
+
+
+def test_rows_without_parent_are_dealt_by_their_other_columns(spark):
+    df = spark.range(2000).select("id", F.lit(None).cast("int").alias("query_id"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    dealt = df.select(querylog._dealt(df, "query_id").alias("d")).groupBy("d").count().collect()
+    assert len(dealt) > 1000 and all(r.d > 0 for r in dealt)
+    assert spark.range(3).select(F.lit(None).cast("int").alias("query_id")).transform(lambda t: t.select(querylog._dealt(t, "query_id").alias("d"))).distinct().count() == 1
+
+
+def days_log(spark, seed):
+    """A log of 90 days, most parents of which never expire."""
+    rng = random.Random(seed)
+    start = datetime(2024, 1, 1)
+    queries = [(i, None if i % 3 else start + timedelta(days=rng.randint(0, 200))) for i in range(40)]
+    history = [(i, rng.choice([None, rng.randrange(40)]), rng.choice([None, *[start + timedelta(hours=rng.randint(0, 90 * 24))] * 30])) for i in range(600)]
+    # Days on which all parents live for ever.
+    history = [(i, p if t is None or t.day % 4 else (1 if p is not None else None), t) for i, p, t in history]
+    labels = [(i, rng.choice([None, rng.randrange(40)])) for i in range(80)]
+    make = spark.createDataFrame
+    return QueryLog(
+        make(queries, "id int, expires_at timestamp"), make(history, "id int, query_id int, executed_at timestamp"),
+        make(labels, "id int, query_id int"), make(labels[:30], "id int, query_id int"),
+    )
+
+
+def rows_of(df, *names):
+    return sorted(map(tuple, df.select(*names).collect()), key=str)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_retention_by_days_equals_the_whole_recomputation(spark, tmp_path, seed):
+    log = days_log(spark, seed)
+    save_log(log, str(tmp_path / "0"))
+    whole, places = log, [str(tmp_path / "0")]
+    for step, now in enumerate((datetime(2024, 2, 20, 12), datetime(2024, 3, 3), datetime(2024, 3, 3), datetime(2024, 9, 1)), 1):
+        places.append(str(tmp_path / str(step)))
+        before = querylog.read_log(spark, places[-2])
+        written = querylog.retain_saved(spark, places[-2], places[-1], now)
+        whole = retention_survivors(whole, now)
+        found = querylog.read_log(spark, places[-1])
+        assert rows_of(found.history, "id", "query_id", "executed_at") == rows_of(whole.history, "id", "query_id", "executed_at")
+        for field in ("queries", "labels", "analyses"):
+            assert rows_of(getattr(found, field), "id") == rows_of(getattr(whole, field), "id")
+        # Only days at the edge or with an expired parent are in the new place, and nothing else was read for them.
+        expired = {r.id for r in before.queries.where(F.col("expires_at") < F.lit(now)).collect()}
+        cutoff = now - timedelta(days=30)
+        days = {r[querylog.DAY] for r in before.history.collect() if r.query_id in expired and (r.executed_at is None or r.executed_at.date() >= cutoff.date())}
+        edge = {r[querylog.DAY] for r in before.history.collect()} & {cutoff.date()}
+        assert set(written) == days | edge
+        kept_days = {r[querylog.DAY] for r in found.history.collect()}
+        assert step == 4 or len(set(written)) < len(kept_days)
+    assert len(querylog._folders(spark, places[3])) >= len({r[querylog.DAY] for r in querylog.read_log(spark, places[3]).history.collect()})
+
+
+def test_only_the_asked_days_are_opened(spark, tmp_path):
+    save_log(days_log(spark, 5), str(tmp_path / "0"))
+    written = querylog.retain_saved(spark, str(tmp_path / "0"), str(tmp_path / "1"), datetime(2024, 3, 3))
+    part = querylog.read_log(spark, str(tmp_path / "0"), written).history
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [executed_on" in scan.replace("PartitionFilters: [(executed_on", "PartitionFilters: [executed_on")
+    opened = {f for f in part.inputFiles()}
+    assert {f.split("executed_on=")[1][:10] for f in part.select(F.input_file_name().alias("f")).distinct().toPandas().f} <= {str(d) for d in written} | {"__HIVE_DEF"}
+    assert len(opened) >= 1 and querylog.read_log(spark, str(tmp_path / "1"), []).history.count() == 0

@@ -187,7 +187,7 @@ def _same_keys(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{_HOT + k}`")) for k in keys])
 
 
-def _hash(df: DataFrame, names: Sequence[str]) -> Column:
+def hash_of(df: DataFrame, names: Sequence[str]) -> Column:
     """Hash of several columns; texts by their bytes, whatever their collation."""
     texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     return F.xxhash64(
@@ -204,7 +204,7 @@ def _cut_points(
     """
     per_range = max(_MIN_SAMPLES, min(_SAMPLES_PER_RANGE, _SAMPLE_ROWS * target // largest))
     every = max(1, target // per_range)
-    sampled = narrow.where(F.pmod(_hash(narrow, [*keys, *[k.column for k in order]]), F.lit(every)) == 0)
+    sampled = narrow.where(F.pmod(hash_of(narrow, [*keys, *[k.column for k in order]]), F.lit(every)) == 0)
     # Without a group, all rows belong together; the oversized groups join the sample only.
     sample = sampled if keys == [_ALL] else sampled.join(hot, _same_keys(keys), "left_semi")
     ranks = Window.partitionBy(*_columns(keys)).orderBy(*[k.expression() for k in order])

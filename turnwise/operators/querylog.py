@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.errors import AnalyticsError
 from turnwise.functions.text import one_line
-from turnwise.operators.positions import SortKey, with_positions
+from turnwise.operators.positions import SortKey, hash_of, orderable, with_positions
 
 # Page sizes, lifetimes and retention.
 DEFAULT_PAGE_SIZE = 50
@@ -22,6 +22,9 @@ NAMED_DAYS = 90
 HISTORY_DAYS = 30
 RECENT_ROWS = 10
 
+# Numbers over which rows without a parent are dealt in a join by parent.
+_DEALT = 4096
+
 # Up to this many rows a page is cut from a top-k; deeper pages go by row position.
 SHALLOW_ROWS = 10_000
 
@@ -167,26 +170,33 @@ def retention_report(log: QueryLog, now: datetime) -> DataFrame:
     )
 
 
+def _dealt(df: DataFrame, parent: str) -> Column:
+    """0 for rows with a parent; for the others, which meet nothing, a number that spreads them."""
+    others = [f.name for f in df.schema.fields if f.name != parent and orderable(f.dataType)]
+    return F.when(F.col(parent).isNull(), F.pmod(hash_of(df, others), F.lit(_DEALT)) + 1 if others else F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+
 def retention_survivors(log: QueryLog, now: datetime) -> QueryLog:
     """The tables after retention; write them to a new place, never over their source.
 
     Expired queries go and take their labels and analyses along. History keeps its rows with
-    the query key emptied, then loses what is older than the retention time. The joins carry no
-    hint: adaptive execution broadcasts the expired keys only when they are measured to be small
-    and splits skewed parents otherwise. Rows without a parent, of which retention makes ever more,
-    stay out of the joins. The conditions on times are in a form that reaches the scan.
+    the query key emptied, then loses what is older than the retention time. Every table is scanned
+    once. The joins carry no hint: adaptive execution broadcasts the expired keys only when they are
+    measured to be small and splits skewed parents otherwise. Rows without a parent, of which
+    retention makes ever more, are dealt by their other columns. The conditions on times are in a
+    form that reaches the scan.
     """
-    expired = _expired(log, now)
-    parent, executed, expires = F.col(log.parent), F.col(log.executed), F.col(log.expires)
+    expired = _expired(log, now).withColumn("__tw_dealt", F.lit(0).cast("bigint"))
+    executed, expires = F.col(log.executed), F.col(log.expires)
+    same = lambda df: (F.col(log.parent) == F.col("__tw_expired")) & (_dealt(df, log.parent) == F.col("__tw_dealt"))
 
     def without(df: DataFrame) -> DataFrame:
-        own = df.where(parent.isNotNull()).join(expired, parent == F.col("__tw_expired"), "left_anti")
-        return own.unionByName(df.where(parent.isNull()))
+        return df.join(expired, same(df), "left_anti")
 
     kept = log.history.where(executed.isNull() | (executed >= _cutoff(now)))
-    linked = kept.where(parent.isNotNull()).join(expired, parent == F.col("__tw_expired"), "left")
-    linked = linked.withColumn(log.parent, F.when(F.col("__tw_expired").isNull(), parent))
-    history = linked.select(kept.columns).unionByName(kept.where(parent.isNull()))
+    linked = kept.join(expired, same(kept), "left")
+    linked = linked.withColumn(log.parent, F.when(F.col("__tw_expired").isNull(), F.col(log.parent)))
+    history = linked.select(kept.columns)
     queries = log.queries.where(expires.isNull() | (expires >= F.lit(now)))
     return QueryLog(
         queries, history, without(log.labels), without(log.analyses),
@@ -194,21 +204,85 @@ def retention_survivors(log: QueryLog, now: datetime) -> QueryLog:
     )
 
 
+# Column of the day in saved history, and the tables of a saved log.
+DAY = "executed_on"
+_HISTORY, _DAYS, _SCHEMA = "query_history", "history_days", "history_schema"
+_TABLES = {"queries": "named_queries", "labels": "label_records", "analyses": "analyses"}
+
+
 def save_log(log: QueryLog, directory: str) -> None:
     """Write the tables to a place that does not exist yet; history is partitioned by day.
 
     Rebalancing by day keeps a day's rows together and lets adaptive execution split a day that
-    is too large for one task.
+    is too large for one task. A small table says for each day in which folder it lies.
     """
-    days = log.history.withColumn("executed_on", F.to_date(log.executed))
-    days = days.hint("rebalance", "executed_on")
-    days.write.mode("errorifexists").partitionBy("executed_on").parquet(f"{directory}/query_history")
-    for name, df in (
-        ("named_queries", log.queries),
-        ("label_records", log.labels),
-        ("analyses", log.analyses),
-    ):
-        df.write.mode("errorifexists").parquet(f"{directory}/{name}")
+    _save_days(log.history.withColumn(DAY, F.to_date(log.executed)), directory)
+    days = log.history.sparkSession.read.schema(f"{DAY} date").parquet(f"{directory}/{_HISTORY}").distinct()
+    days.select(DAY, F.lit(directory).alias("folder")).coalesce(1).write.mode("errorifexists").parquet(f"{directory}/{_DAYS}")
+    _save_others(log, directory)
+
+
+def _save_days(history: DataFrame, directory: str) -> None:
+    history.hint("rebalance", DAY).write.mode("errorifexists").partitionBy(DAY).parquet(f"{directory}/{_HISTORY}")
+    history.limit(0).write.mode("errorifexists").parquet(f"{directory}/{_SCHEMA}")
+
+
+def _save_others(log: QueryLog, directory: str) -> None:
+    for field, name in _TABLES.items():
+        getattr(log, field).write.mode("errorifexists").parquet(f"{directory}/{name}")
+
+
+def _in_days(days: Sequence[date | None]) -> Column:
+    """A filter that reaches the partitions; NULL is the day of rows that have no time."""
+    known = F.col(DAY).isin([day for day in days if day is not None])
+    return known | F.col(DAY).isNull() if None in days else known
+
+
+def read_log(spark: SparkSession, directory: str, days: Sequence[date | None] | None = None, **columns: str) -> QueryLog:
+    """A saved log, its history with the day column, of some days only where these are given.
+
+    Each folder that still holds days is read with a filter on its days, so no other partition is
+    opened. ``columns`` names the columns as in :class:`QueryLog`.
+    """
+    tables = {field: spark.read.parquet(f"{directory}/{name}") for field, name in _TABLES.items()}
+    folders: dict[str, list[date | None]] = {}
+    for day, folder in _folders(spark, directory).items():
+        if days is None or day in days:
+            folders.setdefault(folder, []).append(day)
+    schema = spark.read.parquet(f"{directory}/{_SCHEMA}").schema
+    parts = [spark.read.schema(schema).parquet(f"{folder}/{_HISTORY}").where(_in_days(own)) for folder, own in sorted(folders.items())]
+    parts = parts or [spark.createDataFrame([], schema)]
+    return QueryLog(tables["queries"], reduce(DataFrame.unionByName, parts), tables["labels"], tables["analyses"], **columns)
+
+
+def _folders(spark: SparkSession, directory: str) -> dict[date | None, str]:
+    """Where each day lies: a row per day of the log, which is as many as the retention time has, and future days."""
+    return {r[DAY]: r["folder"] for r in spark.read.parquet(f"{directory}/{_DAYS}").collect()}
+
+
+def retain_saved(spark: SparkSession, directory: str, new_directory: str, now: datetime, **columns: str) -> list[date | None]:
+    """Apply retention to a saved log; the result is a saved log in a new place. Returns the days that were written there.
+
+    Days before the retention time are left out unread. The day at its edge, and the days in which a row has an expired parent, are
+    read whole and written anew; these are found by one scan of the parent column. All other days stay where they are, and the new
+    log's table of days points there, so the old place must be kept as long as any of its days is in use.
+    """
+    log = read_log(spark, directory, **columns)
+    cutoff = now - timedelta(days=HISTORY_DAYS)
+    folders = {day: folder for day, folder in _folders(spark, directory).items() if day is None or day >= cutoff.date()}
+    kept = read_log(spark, directory, list(folders), **columns)
+    expired = _expired(log, now)
+    parents = kept.history.select(DAY, log.parent).where(F.col(log.parent).isNotNull())
+    hit = parents.groupBy(DAY, log.parent).agg(F.lit(1)).join(expired, F.col(log.parent) == F.col("__tw_expired"), "left_semi")
+    touched = {r[DAY] for r in hit.select(DAY).distinct().collect()} | ({cutoff.date()} & folders.keys())
+    part = read_log(spark, directory, sorted(touched, key=str), **columns)
+    survivors = retention_survivors(part, now)
+    _save_days(survivors.history, new_directory)
+    rows = [(day, new_directory if day in touched else folder) for day, folder in folders.items()]
+    days = spark.createDataFrame(rows, f"{DAY} date, folder string")
+    days.coalesce(1).write.mode("errorifexists").parquet(f"{new_directory}/{_DAYS}")
+    _save_others(survivors, new_directory)
+    return sorted(touched, key=str)
 
 
 def recent_activity(
