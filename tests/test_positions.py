@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from turnwise.errors import AnalyticsError
 from turnwise.operators import positions
@@ -126,7 +127,7 @@ def test_ranges_stay_small_whatever_the_last_column_holds(spark, values):
     )
     order = [SortKey("a"), SortKey("b")]
     hot = spark.createDataFrame([("hot",)], "__tw_hot_k string")
-    points = positions._cut_points(df, hot, ["k"], order, target, n)
+    points = positions._cut_points(df, hot, ["k"], order, F.lit(1.0 / target), n / target)
     ranged = positions._with_ranges(df, points, ["k"], order, (2 * n // target).bit_length(), "inner")
     sizes = [r["count"] for r in ranged.groupBy("__tw_range").count().collect()]
     assert sum(sizes) == n and max(sizes) <= 4 * target and len(sizes) <= 4 * n // target
@@ -140,3 +141,59 @@ def test_offsets_may_be_too_many_to_broadcast(skewed, monkeypatch):
     monkeypatch.setattr(positions, "_BROADCAST_RANGES", 0)
     split = with_positions(skewed, ["k"], order, total="n", max_rows=100)
     assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+
+
+def widths(kind, n):
+    """Bytes per row: from 10 to a million, by themselves, in runs, or one row in many."""
+    i = F.col("seq")
+    return {
+        "mixed": F.pow(F.lit(10.0), 1 + 5 * F.pmod(F.xxhash64(i), F.lit(1000)) / 1000),
+        "runs": F.when(F.floor(i / 500) % 4 == 0, 100_000).otherwise(10),
+        "rare": F.when(i % 997 == 0, 1_000_000).otherwise(10),
+        "even": F.lit(1000),
+    }[kind].cast("bigint")
+
+
+@pytest.mark.parametrize("kind", ["mixed", "runs", "rare", "even"])
+def test_ranges_are_bounded_in_bytes_and_rows(spark, kind):
+    n, target, rows = 20_000, 2_000_000, 4000
+    df = spark.range(n).select(F.lit("hot").alias("k"), F.col("id").alias("seq")).withColumn(positions._BYTES, widths(kind, n))
+    share = F.greatest(F.lit(1.0 / rows), F.col(positions._BYTES) / F.lit(float(target)))
+    full = df.agg(F.sum(share)).first()[0]
+    hot = spark.createDataFrame([("hot",)], "__tw_hot_k string")
+    order = [SortKey("seq")]
+    points = positions._cut_points(df, hot, ["k"], order, share, full)
+    ranged = positions._with_ranges(df, points, ["k"], order, int(2 * full + 1).bit_length(), "inner")
+    found = ranged.groupBy("__tw_range").agg(F.sum(positions._BYTES).alias("bytes"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in found) == n and len(found) <= 4 * full + 1
+    assert max(r.bytes for r in found) <= 4 * target and max(r.n for r in found) <= 4 * rows
+
+
+@pytest.mark.parametrize("max_bytes", [None, 300, 10_000_000])
+@pytest.mark.parametrize("max_rows", [7, 1000])
+def test_running_sums_are_exact(spark, skewed, max_bytes, max_rows):
+    df = skewed.repartition(3).withColumn("text", F.repeat(F.lit("é"), (F.col("seq") % 23).cast("int")))
+    order = [SortKey("v"), SortKey("seq")]
+    weight = F.when(F.col("seq") % 5 > 0, F.octet_length("text")).cast("bigint")
+    weight = F.coalesce(weight, F.lit(0))
+    found = with_positions(df, ["k"], order, total="n", max_rows=max_rows, max_bytes=max_bytes, weight=weight, running="before")
+    assert found.columns == [*df.columns, "position", "n", "before"]
+    window = Window.partitionBy("k").orderBy(*[k.expression() for k in order])
+    before = F.coalesce(F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = df.withColumns({"position": F.row_number().over(window).cast("bigint"), "n": F.count("*").over(Window.partitionBy("k")), "before": before})
+    assert found.exceptAll(wanted).count() == 0 and found.count() == df.count()
+
+
+def test_row_bytes(spark):
+    df = spark.createDataFrame([("é", bytearray(b"abc"), 5, [1, 2], None)], "a string, b binary, c int, d array<int>, e string")
+    assert df.select(positions.row_bytes(df).alias("n")).first().n == 2 + 3 + 8 + 5
+    assert df.select(positions.row_bytes(df, ["a", "c"]).alias("n")).first().n == 10
+
+
+def test_sizes_come_from_the_cheaper_frame(spark):
+    """The frame given for counting sizes is the one that is read for them."""
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("seq"))
+    costly = df.withColumn("seq", F.when(F.raise_error("read").isNull(), F.col("seq")))
+    placed = with_positions(costly, ["k"], [SortKey("seq")], sized=df)
+    with pytest.raises(Exception, match="read"):
+        placed.collect()

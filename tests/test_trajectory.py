@@ -228,6 +228,25 @@ def test_segments_hold_every_message_once(spark):
         assert order == sorted(range(95), key=lambda i: (i % 7, i))
 
 
+@pytest.mark.parametrize("limits", [(None, None), (10, None), (1000, 500)])
+def test_segments_close_at_messages_or_bytes(spark, limits):
+    """Messages of up to five segments' size; the largest are alone, all others together within the limit."""
+    rng = random.Random(8)
+    sizes = [rng.choice([0, 1, 40, 300, 480, 501, 700, 999, 1001, 5000]) for _ in range(300)]
+    df = rows_of(spark, [(str(i), "s1" if i % 3 else "s2", "user", "x" * n, i, i) for i, n in enumerate(sizes)])
+    placed = messages(df, cfg(order_by="created_at"), "seq", max_group_rows=limits[0], max_bytes=limits[1], segment_bytes=1000)
+    segments = nest(placed, segment_rows=12).orderBy("group_key", "segment").collect()
+    fixed = len("s1") + len("user") + 16
+    for key in ("s1", "s2"):
+        own = [s for s in segments if s.group_key == key]
+        assert [m.position for s in own for m in s.messages] == list(range(1, 1 + own[0].message_count))
+        for s in own:
+            total = sum(len(m.content) + fixed for m in s.messages)
+            assert len(s.messages) <= 12 and (total <= 1000 or len(s.messages) == 1)
+        # No more segments than needed twice over: neighbours would not fit into one.
+        assert len(own) <= 4 * sum(n + fixed for i, n in enumerate(sizes) if (i % 3 > 0) == (key == "s1")) / 1000 + own[0].message_count / 12 + 1
+
+
 def test_chain_reports_collision_duplicates_and_roles(spark):
     df = spark.createDataFrame(
         [("mine", "s", "user", "same", 1, 0), ("mine", "s", None, "same", 2, 1)], SCHEMA

@@ -12,7 +12,9 @@ group), it is cut into ranges of the sort order first:
 5. ``row_number()`` runs per (group, range) and the offset is added.
 
 The cut points only decide how rows are spread; positions are exact whatever they are. A range has
-about ``max_group_rows`` rows however large the table is; there is one cut point (a few bytes) per
+about ``max_group_rows`` rows however large the table is, and where ``max_bytes`` is given also about
+so many bytes at most: a row enters the sample with a chance that grows with its size, and stands
+there for what it and its unsampled neighbours weigh; there is one cut point (a few bytes) per
 range, and the offsets of the ranges are broadcast only where they are known to be few.
 """
 
@@ -31,6 +33,7 @@ from turnwise.errors import AnalyticsError
 
 MAX_GROUP_ROWS = 200_000
 MAX_GROUP_ROWS_SETTING = "turnwise.maxGroupRows"
+MAX_GROUP_BYTES_SETTING = "turnwise.maxGroupBytes"
 # Sampled rows per range, fewer where the sample of a group would be larger than this.
 _SAMPLES_PER_RANGE, _MIN_SAMPLES, _SAMPLE_ROWS = 32, 4, 2_000_000
 # Ranges whose offsets are broadcast; beyond that they are joined like any table.
@@ -44,6 +47,8 @@ _OFFSET = "__tw_offset"
 _END = "__tw_end"
 _LOCAL = "__tw_local"
 _HOT = "__tw_hot_"
+_BYTES = "__tw_bytes"
+_RUNNING = "__tw_running"
 
 
 @dataclass(frozen=True)
@@ -73,6 +78,26 @@ def max_group_rows(df: DataFrame, given: int | None) -> int:
     return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_SETTING, str(MAX_GROUP_ROWS)))
 
 
+def max_group_bytes(df: DataFrame, given: int | None) -> int | None:
+    found = given if given is not None else df.sparkSession.conf.get(MAX_GROUP_BYTES_SETTING, None)
+    return None if found is None else int(found)
+
+
+def row_bytes(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """About the bytes of a row: those of texts and binaries, of nested values those of their JSON text, 8 for any other column."""
+
+    def size(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        if isinstance(field.dataType, (T.VariantType, T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(column))
+        return F.lit(8)
+
+    sizes = [F.coalesce(size(f), F.lit(0)).cast("bigint") for f in df.schema.fields if columns is None or f.name in columns]
+    return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("bigint"))
+
+
 def with_positions(
     df: DataFrame,
     group: Sequence[str],
@@ -82,65 +107,91 @@ def with_positions(
     total: str | None = None,
     max_rows: int | None = None,
     between: tuple[int, int] | None = None,
+    max_bytes: int | None = None,
+    weight: Column | None = None,
+    running: str | None = None,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
     """Add 1-based positions per group; ``order`` must end in columns that make it a total order.
 
     ``total`` also adds the number of rows of the group. An empty ``group`` numbers the table;
     then ``between`` keeps the rows of some positions only, and of a large table nothing else is
-    shuffled.
+    shuffled. ``max_bytes`` bounds the ranges of large groups by ``weight`` as well (``row_bytes`` if
+    that is not given; counting them reads all columns). ``running`` adds the sum of the weights of
+    all earlier rows of the group. ``sized`` is a cheaper frame with the same groups (and rows), from
+    which sizes are counted.
     """
     if between and group:
         raise AnalyticsError("POSITIONS_INVALID", "positions can be picked of a whole table only")
     target = max_group_rows(df, max_rows)
     keys = list(group)
+    names = df.columns
+    weight = row_bytes(df) if weight is None else weight
+    if max_bytes is not None or running:
+        df = df.withColumn(_BYTES, weight.cast("bigint"))
+    sized = df if sized is None else sized if max_bytes is None else sized.withColumn(_BYTES, weight.cast("bigint"))
     if not keys:
-        df = df.withColumn(_ALL, F.lit(0))
-        keys = [_ALL]
-    sizes = df.groupBy(*_columns(keys)).agg(F.count("*").alias(_ROWS))
+        df, sized, keys = df.withColumn(_ALL, F.lit(0)), sized.withColumn(_ALL, F.lit(0)), [_ALL]
+    # What a row takes of a range that is full at 1.
+    share = F.lit(1.0 / target)
+    if max_bytes is not None:
+        share = F.greatest(share, F.col(_BYTES) / F.lit(float(max_bytes)))
+    sizes = sized.groupBy(*_columns(keys)).agg(F.sum(share).alias(_ROWS))
     summary = sizes.agg(F.sum(_ROWS).alias("n"), F.max(_ROWS).alias("m")).head()
-    rows, largest = (summary["n"] or 0), (summary["m"] or 0)
-    if largest <= target:
-        result = _small_groups(df, keys, order, position, total)
+    full, largest = (summary["n"] or 0), (summary["m"] or 0)
+    if largest <= 1 + 1e-9:
+        result = _small_groups(df, keys, order, position, total, running)
     else:
-        result = _split_groups(df, keys, order, position, total, sizes, target, rows, largest, between)
+        result = _split_groups(df, keys, order, position, total, running, sizes, share, full, largest, between)
     if between:
         result = result.where(F.col(f"`{position}`").between(*between))
-    return result.drop(_ALL)
+    return result.select(*_columns([*names, position, *([total] if total else []), *([running] if running else [])]))
 
 
 def _small_groups(
-    df: DataFrame, keys: list[str], order: Sequence[SortKey], position: str, total: str | None
+    df: DataFrame, keys: list[str], order: Sequence[SortKey], position: str, total: str | None, running: str | None
 ) -> DataFrame:
     window = Window.partitionBy(*_columns(keys))
+    if running:
+        df = df.withColumn(running, _before(window.orderBy(*[k.expression() for k in order])))
     numbered = df.withColumn(
         position, F.row_number().over(window.orderBy(*[k.expression() for k in order])).cast("bigint")
     )
     return numbered.withColumn(total, F.count("*").over(window)) if total else numbered
 
 
+def _before(window) -> Column:
+    """The sum of the weights of all earlier rows."""
+    return F.coalesce(F.sum(_BYTES).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+
+
 def _split_groups(
     df: DataFrame,
     keys: list[str],
     order: Sequence[SortKey],
     position: str,
     total: str | None,
+    running: str | None,
     sizes: DataFrame,
-    target: int,
-    rows: int,
-    largest: int,
+    share: Column,
+    full: float,
+    largest: float,
     between: tuple[int, int] | None,
 ) -> DataFrame:
     # Twice the expected number of cut points; the search may stop short of further ones.
-    steps = (2 * largest // target).bit_length()
-    few = 4 * rows // target <= _BROADCAST_RANGES
-    names = dict.fromkeys([*keys, *[k.column for k in order]])
+    steps = int(2 * largest + 1).bit_length()
+    few = 4 * full <= _BROADCAST_RANGES
+    names = dict.fromkeys([*keys, *[k.column for k in order], *([_BYTES] if _BYTES in df.columns else [])])
     narrow = df.select(*_columns(list(names)))
-    hot = _rename_keys(sizes.where(F.col(_ROWS) > target), keys)
-    points = _cut_points(narrow, hot, keys, order, target, largest)
+    hot = _rename_keys(sizes.where(F.col(_ROWS) > 1 + 1e-9), keys)
+    points = _cut_points(narrow, hot, keys, order, share, largest)
 
     ranged_keys = _with_ranges(narrow, points, keys, order, steps, "inner")
     per_group = Window.partitionBy(*_columns(keys))
-    offsets = ranged_keys.groupBy(*_columns(keys), _RANGE).agg(F.count("*").alias(_ROWS))
+    weights = [F.sum(_BYTES).alias(_BYTES)] if running else []
+    offsets = ranged_keys.groupBy(*_columns(keys), _RANGE).agg(F.count("*").alias(_ROWS), *weights)
+    if running:
+        offsets = offsets.withColumn(_RUNNING, _before(per_group.orderBy(_RANGE)))
     offsets = offsets.select(
         *[F.col(f"`{k}`").alias(_HOT + k) for k in keys],
         F.col(_RANGE).alias(_HOT + _RANGE),
@@ -154,6 +205,7 @@ def _split_groups(
             per_group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, 0)
         ).alias(_END),
         F.sum(_ROWS).over(per_group).alias(_ROWS),
+        *([_RUNNING] if running else []),
     )
 
     ranged = _with_ranges(df, points, keys, order, steps, "left")
@@ -171,8 +223,10 @@ def _split_groups(
     ranged = ranged.withColumn(position, local + F.coalesce(F.col(_OFFSET), F.lit(0)))
     if total:
         ranged = ranged.withColumn(total, F.coalesce(F.col(_ROWS), F.count("*").over(window)))
-    names = [*df.columns, position, *([total] if total else [])]
-    return ranged.select(*_columns(names))
+    if running:
+        local_before = _before(window.orderBy(*[k.expression() for k in order]))
+        ranged = ranged.withColumn(running, local_before + F.coalesce(F.col(_RUNNING), F.lit(0)))
+    return ranged
 
 
 def _columns(names: Sequence[str]) -> list[Column]:
@@ -196,21 +250,25 @@ def hash_of(df: DataFrame, names: Sequence[str]) -> Column:
 
 
 def _cut_points(
-    narrow: DataFrame, hot: DataFrame, keys: list[str], order: Sequence[SortKey], target: int, largest: int
+    narrow: DataFrame, hot: DataFrame, keys: list[str], order: Sequence[SortKey], share: Column, largest: float
 ) -> DataFrame:
     """One row per oversized group: its cut points in sort order.
 
-    Only all order columns together tell rows apart, so the sample goes by the hash of all of them.
+    Only all order columns together tell rows apart, so the sample goes by the hash of all of them. A row is drawn with the chance of its
+    share times the samples per range, so a row that fills as much as such a sample is always there.
     """
-    per_range = max(_MIN_SAMPLES, min(_SAMPLES_PER_RANGE, _SAMPLE_ROWS * target // largest))
-    every = max(1, target // per_range)
-    sampled = narrow.where(F.pmod(hash_of(narrow, [*keys, *[k.column for k in order]]), F.lit(every)) == 0)
+    per_range = max(_MIN_SAMPLES, min(_SAMPLES_PER_RANGE, int(_SAMPLE_ROWS / largest)))
+    drawn = F.pmod(hash_of(narrow, [*keys, *[k.column for k in order]]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sampled = narrow.withColumn(_ROWS, share).where(drawn < F.col(_ROWS) * per_range)
+    sampled = sampled.withColumn(_ROWS, F.greatest(F.col(_ROWS), F.lit(1.0 / per_range)))
     # Without a group, all rows belong together; the oversized groups join the sample only.
     sample = sampled if keys == [_ALL] else sampled.join(hot, _same_keys(keys), "left_semi")
     ranks = Window.partitionBy(*_columns(keys)).orderBy(*[k.expression() for k in order])
-    cuts = sample.withColumn(_LOCAL, F.row_number().over(ranks)).where(
-        F.col(_LOCAL) % max(1, min(per_range, target)) == 0
-    )
+    # A cut stands before the first row with which another range begins; sums of shares may err in their last digits, the same each time.
+    stood = F.coalesce(F.sum(_ROWS).over(ranks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    earlier = stood - F.lag(_ROWS, 1, 0.0).over(ranks)
+    numbered = sample.withColumns({_LOCAL: F.row_number().over(ranks), _RANGE: F.floor(stood + 1e-9), _END: F.floor(earlier + 1e-9)})
+    cuts = numbered.where(F.col(_RANGE) > F.col(_END))
     point = F.struct(*[F.col(f"`{k.column}`").alias(f"k{i}") for i, k in enumerate(order)])
     return cuts.groupBy(*[F.col(f"`{k}`").alias(_HOT + k) for k in keys]).agg(
         F.transform(

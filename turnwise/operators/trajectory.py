@@ -17,7 +17,7 @@ from turnwise.errors import AnalyticsError
 from turnwise.functions.jsons import TEXT_TYPES, canonical_text, decode_or_keep, nullify
 from turnwise.functions.roles import normalise_role, role_missing
 from turnwise.operators.identity import IDENTITY
-from turnwise.operators.positions import SortKey, orderable, with_positions
+from turnwise.operators.positions import SortKey, max_group_bytes, orderable, row_bytes, with_positions
 
 NULL_GROUP = "__null__"
 SEGMENT_ROWS = 1000
@@ -26,6 +26,7 @@ SEGMENT_ROWS = 1000
 _GROUP = "__tw_group"
 _POSITION = "__tw_position"
 _TOTAL = "__tw_total"
+_BEFORE = "__tw_before"
 _BAD = "__tw_bad"
 _NULL_RANK = "__tw_order_null"
 _ORDER = "__tw_order_"
@@ -184,12 +185,17 @@ def messages(
     seq: str | Sequence[str],
     identity: str = IDENTITY,
     max_group_rows: int | None = None,
+    max_bytes: int | None = None,
+    segment_bytes: int | None = None,
 ) -> DataFrame:
     """Long form: one row per message.
 
     ``seq`` names the column(s) that give the input order and are unique within a group: Spark
     tables have no order of their own. Ties of the order column keep this order. Roles, tool
     calls and ``raw`` are derived after the shuffle, so each value is moved once.
+
+    With ``max_bytes`` (or the setting ``turnwise.maxGroupBytes``) the parts into which large groups are cut are bounded in bytes too, which
+    takes a scan of all columns. With ``segment_bytes`` a column ``byte_cell`` is added, by which ``nest`` closes segments.
     """
     check_columns(df, cfg)
     if identity not in df.columns:
@@ -197,10 +203,20 @@ def messages(
             "TRAJECTORY_ROW_IDENTITY_MISSING", f"column '{identity}' is missing", {"column": identity}
         )
     raw = [c for c in df.columns if c != identity]
-    located, order = _with_order(_located(df, cfg), cfg, _names(seq))
+    grouped = _located(df, cfg)
+    located, order = _with_order(grouped, cfg, _names(seq))
+    size, cell = row_bytes(df, raw), []
+    half = max(1, (segment_bytes or 0) // 2)
+    # A message of more than half a segment gets half of one before and behind it, so it shares its cell with none.
+    large = size > half
     placed = with_positions(
-        located, [_GROUP], order, position=_POSITION, total=_TOTAL, max_rows=max_group_rows
-    )
+        located, [_GROUP], order, position=_POSITION, total=_TOTAL, max_rows=max_group_rows,
+        max_bytes=max_group_bytes(df, max_bytes), weight=size + F.when(large, 2 * half).otherwise(0) if segment_bytes else size,
+        running=_BEFORE if segment_bytes else None, sized=grouped,
+    )
+    if segment_bytes:
+        start = F.col(_BEFORE) + F.when(large, half).otherwise(0)
+        cell = [F.floor(start / F.lit(half)).cast("bigint").alias("byte_cell")]
     return placed.select(
         F.col(_GROUP).alias("group_value"),
         _group_label(df, cfg).alias("group_key"),
@@ -212,6 +228,7 @@ def messages(
         F.col(f"`{cfg.content_column}`").alias("content"),
         decode_tool_calls(df, cfg.tool_calls_column).alias("tool_calls"),
         F.struct(*[F.col(f"`{c}`") for c in raw]).alias("raw"),
+        *cell,
     )
 
 
@@ -243,8 +260,15 @@ def nest(long_form: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
 
     Trajectories of up to ``segment_rows`` messages are one row (segment 0); longer ones go on
     in segments 1, 2 ... The grouping reuses the partitioning of the long form.
+
+    If the long form was made with ``segment_bytes``, the messages of a segment have no more bytes than that, but for a message that is larger
+    and then alone. Numbers of segments rise, and may leave gaps.
     """
-    segment = F.expr(f"(position - 1) div {int(segment_rows)}").cast("int")
+    segment = F.expr(f"(position - 1) div {int(segment_rows)}")
+    if "byte_cell" in long_form.columns:
+        # Neither number ever falls, so their sum rises exactly where one of them does.
+        segment = segment + F.col("byte_cell")
+    segment = segment.cast("bigint" if "byte_cell" in long_form.columns else "int")
     # Sorted by position alone; the other fields may be of types that have no order.
     by_position = F.array_sort(
         F.collect_list(F.struct("position", "row_identity", "role", "content", "tool_calls", "raw")),

@@ -45,6 +45,8 @@ def build_trajectories(
     segment_rows: int = SEGMENT_ROWS,
     max_group_rows: int | None = None,
     json_columns: Sequence[str] | None = None,
+    max_bytes: int | None = None,
+    segment_bytes: int | None = None,
 ) -> TrajectoryResult:
     """Shape a result, give every row an identity, and assemble trajectories.
 
@@ -54,7 +56,7 @@ def build_trajectories(
     check_columns(shaped, cfg)
     name = identity_name(shaped.columns)
     rows = with_row_identity(shaped, identity_column, name)
-    long_form = messages(rows, cfg, seq, name, max_group_rows)
+    long_form = messages(rows, cfg, seq, name, max_group_rows, max_bytes, segment_bytes)
     warnings = (
         identity_report(rows, identity_column, name)
         .unionByName(collision_warning(shaped, name))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.jsons import canonical_text, decode_or_keep
 from turnwise.functions.roles import normalise_role, role_kind, role_missing
 from turnwise.operators.conversation import filter_roles, meta_line, role_filter_counts, role_list
-from turnwise.operators.identity import with_row_identity
+from turnwise.operators.identity import IDENTITY, with_row_identity
 from turnwise.operators.trajectory import (
     TrajectoryConfig,
     first_seen,
@@ -149,6 +149,34 @@ def trajectories_nested_segments(t: Tables):
     return _flat(nest(session_messages(t), segment_rows=25), "row_identity")
 
 
+@query(
+    "trajectories_nested_bytes",
+    """
+    WITH sized AS (
+      SELECT *, row_number() OVER w AS p, strlen(role) + strlen(text) + 16 AS size FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    placed AS (
+      SELECT *, coalesce(sum(size + CASE WHEN size > 400 THEN 800 ELSE 0 END) OVER (
+          PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN size > 400 THEN 400 ELSE 0 END AS start
+      FROM sized)
+    SELECT CAST(conv_id AS VARCHAR) AS group_key, CAST((p - 1) // 1000 + start // 400 AS BIGINT) AS segment,
+      count(*) AS n, CAST(sum(size) AS BIGINT) AS n_bytes, string_agg(p || ':' || role, ' ' ORDER BY p) AS messages
+    FROM placed GROUP BY ALL
+    """,
+)
+def trajectories_nested_bytes(t: Tables):
+    """Segments of at most 800 bytes; a larger message is one by itself. Groups are cut into parts of 4 000 bytes first."""
+    rows = t.conversations.withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    cfg = TrajectoryConfig("conv_id", "role", "text", order_by="turn")
+    placed = messages(rows.withColumnRenamed("id", IDENTITY), cfg, "turn", max_bytes=4000, segment_bytes=800)
+    return nest(placed).select(
+        "group_key",
+        "segment",
+        F.size("messages").cast("bigint").alias("n"),
+        F.aggregate("messages", F.lit(0).cast("bigint"), lambda total, m: total + F.octet_length(m["raw"]["role"]) + F.octet_length(m["raw"]["text"]) + 16).alias("n_bytes"),
+        F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["position"], m["role"])), " ").alias("messages"),
+    )
+
+
 @query(
     "trajectories_null_group",
     """
