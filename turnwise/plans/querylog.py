@@ -22,7 +22,9 @@ from turnwise.operators.querylog import (
     retention_survivors,
     search,
 )
+from turnwise.operators.searchindex import save_search_index, search_index
 from turnwise.plans.registry import Tables, query
+from turnwise.sources.shared import fresh_path
 
 NOW = datetime(2000, 1, 1)
 _NOW = "TIMESTAMP '2000-01-01 00:00:00'"
@@ -106,6 +108,20 @@ def text_search_active(t: Tables):
     return found.select("o_orderkey", "o_orderpriority")
 
 
+@query(
+    "text_search_indexed",
+    """
+    SELECT doc_id, lang, source FROM documents
+    WHERE text ILIKE '%the%and%' OR lang ILIKE '%the%and%' OR source ILIKE '%the%and%'
+    """,
+)
+def text_search_indexed(t: Tables):
+    """Postings of all documents, then one search in them."""
+    place, columns = fresh_path(t.spark, "search-index"), ["text", "lang", "source"]
+    save_search_index(t.documents, columns, "doc_id", place)
+    return search_index(t.spark, place, columns, "doc_id", "The%and").select("doc_id", "lang", "source")
+
+
 @query(
     "expiry_assignment",
     """
