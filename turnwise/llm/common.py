@@ -3,32 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, the context's checkpoint folder; a local session
-    without one gets a new folder, while a cluster, whose executors could not see that, raises RuntimeError."""
-    context = spark.sparkContext
-    found = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="turnwise-"))
-        found = context.getCheckpointDir()
-    return found
-
+from turnwise.sources.shared import fresh_path, shared_dir  # noqa: F401  (shared_dir is for callers of this module)
 
 def fresh_name(taken: Iterable[str], name: str) -> str:
     """``name``, or it with as many underscores as make it differ from the names that are taken."""
@@ -38,11 +22,6 @@ def fresh_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
