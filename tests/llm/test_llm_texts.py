@@ -335,6 +335,54 @@ def test_holders_of_noise_and_forms():
     assert text("<article><p>The story.</p><form><p>Your name</p></form></article>") == "The story."
 
 
+def test_names_alone_never_lose_an_article():
+    text = lambda body: html_text.extract(f"<body><nav>menu</nav>{body}<footer>foot</footer></body>", None)[0]
+    story = "<p>The story.</p><p>" + "It goes on. " * 20 + "</p>"
+    wanted = ("The story. " + "It goes on. " * 20).strip()
+    for around in ("<div id=main class='post comments-open'>", "<div class=widget>", "<div class='docs login'>", "<div class=notice>", "<div class='ad-hoc'>"):
+        assert text(f"{around}{story}</div>") == wanted, around
+        assert text(f"<article><h1>Title</h1>{around}{story}</div></article>") == f"Title {wanted}", around
+        assert text(f"{around}<article>{story}</article></div>") == wanted, around
+    assert text(f"<section class='notice-of-motion'>{story}</section>") == wanted
+    for name in ("share-price", "notice-period", "ad-hoc", "advert-free", "comments-open", "related-to-this"):
+        assert text(f"<article>{story}<div class={name}>Inside.</div></article>") == f"{wanted} Inside.", name
+    for name in ("share-buttons", "ad", "cookie-notice", "newsletter-signup", "related-posts", "adSlot", "discussion", "feedback", "comment-thread"):
+        assert text(f"<article>{story}<div class={name}>Inside.</div></article>") == wanted, name
+    assert text(f"<article><h1>T</h1><p>Short.</p><div class=comments>{story * 9}</div></article>") == "T Short."
+    assert text(f"<article><header><h1>T</h1><p>The lead.</p><nav><p>menu</p></nav><div class=share><p>share</p></div></header>{story}</article>") == f"T The lead. {wanted}"
+    assert text(f"<h1>T</h1><main>{story}<h2>Part</h2>{story}</main>") == f"T {wanted} Part {wanted}"
+    assert text(f"<h1>Site</h1><main><h2>T</h2>{story}</main>") == f"T {wanted}"
+    assert text(f"<article>{story}<div style='color:red; display: none'>unseen</div><p style='display:block'>Seen.</p></article>") == f"{wanted} Seen."
+    stub = f"<body><div class=teaser-text>stub</div><div class=box><p>stub of a page</p></div><article>{story}</article></body>"
+    assert html_text.extract(stub, "html>body>div.box") == (wanted, "html>body>article")
+
+
+def test_made_pages(spark):
+    """Articles among noise, under neutral and misleading names: nearly all words of the article and nearly none of the noise."""
+    rng = random.Random(11)
+    plain, misleading = ["post", "content", "c-12", "entry-body", "text"], ["comments-open", "notice-of-motion", "share-price", "docs login", "widget"]
+    noise = ["<div class={}>{}</div>", "<div id={}><p>{}</p></div>", "<section class={}><div><p>{}</p></div></section>"]
+    names, tags = ["sidebar", "cookie-notice", "ad", "comments", "related-posts", "newsletter-signup"], ["nav", "aside", "footer", "form"]
+    rows = []
+    for k in range(300):
+        words = lambda mark, n: " ".join(f"{mark}{rng.randrange(999)}" for _ in range(n))
+        parts = [f"<p>{words('w', rng.randint(20, 60))}</p>" for _ in range(rng.randint(3, 6))]
+        junk = [rng.choice(noise).format(rng.choice(names), words("x", rng.randint(3, 12))) for _ in range(3)]
+        junk += [f"<{t}>{words('x', 5)}</{t}>" for t in rng.sample(tags, 2)]
+        if rng.random() < 0.5:
+            parts.insert(1, f"<div class={rng.choice(misleading).split()[0]}>{words('w', 9)}</div>" if k % 3 == 0 else junk.pop())
+        tag = rng.choice(["article", "main", "div", "section"])
+        body = f"<{tag} class='{rng.choice(plain + misleading if k % 2 else plain)}'><h1>{words('w', 4)}</h1>{''.join(parts)}</{tag}>"
+        at = rng.randint(0, len(junk))
+        rows.append((k, f"http://h{k}.org/", f"<html><body>{''.join(junk[:at])}{body}{''.join(junk[at:])}</body></html>"))
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    kept = right = whole = 0
+    for r in found:
+        wanted, given = re.findall(r"\bw[0-9]+", r.row.html), r.text.split()
+        whole, kept, right = whole + len(wanted), kept + len(given), right + sum(w[0] == "w" for w in given)
+    assert right / whole >= 0.98 and right / kept >= 0.98, (right / whole, right / kept)
+
+
 # ---- quotes ----
 
 

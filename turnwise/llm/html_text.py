@@ -37,7 +37,8 @@ _MARK = re.compile(
     r"""|<[a-z/!?][^>]*+\Z""",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(?P<name>class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?(?=[\s/>]|\Z)""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""(?P<name>class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?(?=[\s/>]|\Z)""", re.IGNORECASE)
+_UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 _HOST = re.compile(r"://([^/?#]*)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,12 +52,20 @@ NOISE_TAGS = frozenset("aside audio button canvas datalist dialog footer head he
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification notifications pager pagination paywall "
+    "discussion feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification notifications pager pagination paywall "
     "popup promo promoted promotion recommended recommendations related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription teaser toolbar widget".split()
 )
-#: In a class or id beside a noise word: the element may hold more than the noise, which what it encloses decides.
+#: In a class or id beside a noise word: the element may hold more than the noise.
 HOLDER_WORDS = frozenset("container layout page wrap wrapper".split())
+#: What readers say is noise however long it is.
+READER_WORDS = frozenset("comment comments discussion disqus feedback replies respond".split())
+#: After a noise word in one name: still that noise (``share-buttons``). Any other word after it makes a name of its own (``share-price``).
+PART_WORDS = frozenset(
+    "area bar block blocks body bottom box btn button buttons card cards center column content count entries entry feed form grid group head "
+    "heading icon icons inline inner item items left link links list listing main message middle outer overlay panel post posts right row "
+    "section slot stories story strip text thread title top unit".split()
+) | HOLDER_WORDS
 #: Before a noise word: the element only says whether there is such a thing elsewhere.
 TELLING_WORDS = frozenset("has no with without".split())
 LISTED = frozenset("dd dt figcaption li".split())
@@ -80,6 +89,7 @@ class Node:
     in_header: bool = False
     in_link: bool = False
     doubtful: bool = False
+    said: bool = False
     labelled: bool = False
     after: int = -1
     score: float = 0.0
@@ -110,28 +120,35 @@ def _words(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if w]
 
 
-def _label(attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether the classes and the id name noise, and whether a word for a holder stands beside that."""
-    found = holder = False
+def _label(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Whether a name among the classes and the id is one of noise, whether a noise word stands in one of them at all, and whether that is
+    about readers' comments."""
+    named = found = said = False
     for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
         words = _words(name)
-        holder = holder or not HOLDER_WORDS.isdisjoint(words)
-        found = found or any(w in NOISE_WORDS and not (k and words[k - 1] in TELLING_WORDS) for k, w in enumerate(words))
-    return found, found and holder
+        at = [k for k, w in enumerate(words) if w in NOISE_WORDS and not (k and words[k - 1] in TELLING_WORDS)]
+        found = found or bool(at)
+        if at and all(w in PART_WORDS for w in words[at[-1] + 1 :]):
+            named = True
+            said = said or words[at[-1]] in READER_WORDS
+    return named, found, said
 
 
-def _noise(tag: str, attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether an element is noise, and whether it may be (what it encloses decides)."""
-    if tag in NOISE_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True, False
+def _noise(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is noise by what it is, whether it may be (what it encloses decides), and whether it is about readers' comments.
+
+    A name is never enough to make noise of what holds the page's article, its title or nearly all of its text. Within an article only
+    names that end in a noise word are asked about.
+    """
+    if tag in NOISE_TAGS or "hidden" in attributes or attributes.get("aria-hidden") == "true" or _UNSEEN.search(attributes.get("style", "")):
+        return True, False, False
     if tag in NEVER_NOISE:
-        return False, False
+        return False, False, False
     role = attributes.get("role", "").lower()
     if role in NOISE_ROLES and role != "form":
-        return True, False
-    found, holder = _label(attributes)
-    form = tag == "form" or role == "form"
-    return found and not holder and not form, holder or form
+        return True, False, False
+    named, found, said = _label(attributes)
+    return False, named or tag == "form" or role == "form" or (found and not in_article), said
 
 
 def _step(tag: str, classes: str) -> str:
@@ -199,11 +216,12 @@ def parse(source: str) -> Page:
         raw = m["attributes"] or m["attributes2"] or ""
         attributes = {a["name"].lower(): a["a"] or a["b"] or a["c"] or "" for a in _ATTRIBUTE.finditer(raw)} if "=" in raw or "hidden" in raw.lower() else {}
         parent = nodes[stack[-1]]
-        own_noise, doubtful = _noise(tag, attributes)
+        own_noise, doubtful, said = _noise(tag, attributes, parent.in_article)
         noise = parent.noise or own_noise
-        header = parent.in_header or (parent.in_article and not parent.noise and (tag == "header" or "header" in _words(attributes.get("class", ""))))
-        if header and tag in HEADINGS and not own_noise:
-            noise = False  # the title of an article may stand in its own header
+        opens = tag == "header" and parent.in_article and not parent.noise
+        header = opens or (parent.in_header and not own_noise and not doubtful)
+        if header and (tag in HEADINGS or tag == "p"):
+            noise = False  # the title and the lead of an article may stand in its own header
         in_article = parent.in_article or tag in ("article", "main")
         self_closed = raw.rstrip().endswith("/") and tag not in BLOCK
         own = tag in CONTAINERS
@@ -212,7 +230,7 @@ def parse(source: str) -> Page:
                 tag, stack[-1], parent.depth + 1, _step(tag, attributes.get("class", "")), noise, len(runs),
                 container=len(nodes) if own else parent.container, listed=not own and (parent.listed or tag in LISTED),
                 in_article=in_article, in_header=header, in_link=parent.in_link or tag == "a",
-                doubtful=doubtful and not noise, labelled=tag in ("article", "main") and _label(attributes)[0],
+                doubtful=doubtful and not noise, said=said, labelled=tag in ("article", "main") and _label(attributes)[0],
             )
         )
         if self_closed:
@@ -228,23 +246,38 @@ def parse(source: str) -> Page:
 
 
 def _settle(page: Page) -> None:
-    """Forms, and elements named after noise and as its holder, are noise unless they enclose the page's articles (or main); on pages without
-    such, unless they enclose the titles and ``COVERS`` percent of the text outside links. The smallest are judged first."""
+    """What becomes of forms and of elements named after noise.
+
+    They are noise unless they enclose the page's articles (or main); on pages without such, unless they enclose the titles and ``COVERS``
+    percent of the text outside links; and within an article, unless nothing but titles would be left of it. An element about readers'
+    comments is no exception within an article. The smallest are judged first.
+    """
     nodes = page.nodes
     doubtful = [k for k, node in enumerate(nodes) if node.doubtful]
     if not doubtful:
         return
-    last, plain = list(range(len(nodes))), [node.text - node.linked for node in nodes]
+    last, plain, heads = list(range(len(nodes))), [node.text - node.linked for node in nodes], [0] * len(nodes)
     for k in range(len(nodes) - 1, 0, -1):
+        if nodes[k].tag in HEADINGS:
+            heads[k] = plain[k]
         above = nodes[k].parent
         last[above] = max(last[above], last[k])
         plain[above] += plain[k]
+        heads[above] += heads[k]
     articles = [k for k, node in enumerate(nodes) if node.tag in ("article", "main") and not node.noise and not node.labelled]
     titles = [k for k, node in enumerate(nodes) if node.tag == "h1" and not node.noise]
+    around = {}
+    for k in doubtful:
+        above = nodes[k].parent
+        while above >= 0 and nodes[above].tag not in ("article", "main"):
+            above = nodes[above].parent
+        around[k] = above
     cut: set[int] = set()
     for k in sorted(doubtful, key=lambda k: (plain[k], -k)):
         within = [slice(bisect_left(places, k), bisect_right(places, last[k])) for places in (articles, titles)]
-        if articles:
+        if around[k] >= 0:
+            holds = not nodes[k].said and nodes[k].tag != "form" and 0 < plain[k] - heads[k] == plain[around[k]] - heads[around[k]]
+        elif articles:
             holds = within[0].stop - within[0].start == len(articles)
         else:
             holds = within[1].stop - within[1].start == len(titles) and 0 < COVERS * plain[0] <= 100 * plain[k]
@@ -252,9 +285,10 @@ def _settle(page: Page) -> None:
             continue
         cut.add(k)
         del articles[within[0]], titles[within[1]]
-        gone, above = plain[k], nodes[k].parent
-        while gone and above >= 0:
+        gone, title, above = plain[k], heads[k], nodes[k].parent
+        while (gone or title) and above >= 0:
             plain[above] -= gone
+            heads[above] -= title
             above = nodes[above].parent
     upto = -1
     for k in sorted(cut):
@@ -324,16 +358,37 @@ def votes(source: str) -> list[tuple[str, float]]:
     return list(best.items())
 
 
+def _title_before(page: Page, node: Node) -> str:
+    """The text of an ``h1`` beside the container and before it, where the container has no title of its own (an ``h1``, or a heading
+    before all its other text)."""
+    nodes = page.nodes
+    heads = [n for n in nodes if n.tag in HEADINGS and not n.noise and n.text]
+    inside = [n for n in heads if node.first <= n.first and n.after <= node.after]
+    if any(n.tag == "h1" or not "".join(page.runs[node.first : n.first]).strip() for n in inside):
+        return ""
+    before = [n for n in heads if n.tag == "h1" and n.parent == node.parent and n.after <= node.first]
+    return " ".join(page.text(n) for n in before[-1:])
+
+
 def extract(source: str, path: str | None) -> tuple[str, str | None]:
     """The text of all containers on ``path`` that hold text outside links, in page order, or of the page's best container, and the path of
-    these."""
+    these. Where the best container is an article or main, a path that gives less than half of its text does not count. A title that
+    stands before an article or main, and not in it, comes first."""
     page = parse(source)
     last = path.rpartition(">")[2] if path else None
-    chosen = [n for n in page.nodes if n.step == last and not n.noise and n.text > n.linked and page.path(n) == path]
-    if not chosen:
-        chosen = [n for n in [_best(page)] if n is not None]
-        chosen = [n for n in page.nodes if chosen and n.step == chosen[0].step and not n.noise and n.text > n.linked and page.path(n) == page.path(chosen[0])]
-    return (" ".join(filter(None, map(page.text, chosen))), page.path(chosen[0])) if chosen else ("", None)
+
+    def on(step: str | None, path: str | None) -> list[Node]:
+        return [n for n in page.nodes if n.step == step and not n.noise and n.text > n.linked and page.path(n) == path]
+
+    best = _best(page)
+    if best is None:
+        return "", None
+    chosen = on(last, path)
+    covered = sum(n.text - n.linked for n in chosen)
+    if not chosen or (best.tag in ("article", "main") and 2 * covered < best.text - best.linked):
+        chosen = on(best.step, page.path(best))
+    title = _title_before(page, chosen[0]) if chosen and chosen[0].tag in ("article", "main") else ""
+    return (" ".join(filter(None, [title, *map(page.text, chosen)])), page.path(chosen[0])) if chosen else ("", None)
 
 
 def host_of(url: bytes | None) -> str:
