@@ -218,6 +218,30 @@ def test_forms_that_the_generator_does_not_make(spark):
     assert {rows[k][1]: s for k, s in spans.items()} == {value: [(kind, value)] if kind else [] for kind, value in rows}
 
 
+def test_numbers_and_prose(spark, data):
+    trees = personal_data.train(spark)
+    personal = {
+        "1-800-555-0199": "1-800-555-0199", "my number is 555.123.4567": "555.123.4567", "tel 030 901820": "030 901820", "call 1 (800) 555-0199": "1 (800) 555-0199",
+        "call 555-0199 now": "555-0199", "(030) 901820": "(030) 901820", "write to bob at uni.de": "bob at uni.de",
+    }
+    prose = ["inhe at and. At", "haly th at thhablewh. Es", "meet at noon dot com", "look at it. Me too", "pages 1200-1300", "in 1914-1918", "order 1234 5678 9012", "version 1.800.555.0199", "at home. De"]
+    rows = [(k, f"Yesterday we saw {value} in the text.") for k, value in enumerate([*personal, *prose])]
+    found = personal_data.find_spans(spark.createDataFrame(rows, "row long, text string"), trees).collect()
+    spans = {r.row.row: [r.text[s["start"] : s["end"]] for s in r.spans] for r in found}
+    assert [spans[k] for k, _ in rows] == [[v] for v in personal.values()] + [[]] * len(prose)
+    # The given documents hold base forms only: whatever else is accepted there would be prose.
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert personal_data.find_spans(docs, trees).where(F.size("spans") > F.size("base")).count() == 0
+
+
+def test_candidates_hide_nothing_from_each_other(spark):
+    trees = personal_data.Trees(((1.0, personal_data.Leaf(1.0)),), 0.0)  # accepts all
+    text = "joe at foo (at) bar.com, 1 800 555 1234"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = {text[s["start"] : s["end"]] for r in personal_data.find_spans(docs, trees).collect() for s in r.spans}
+    assert {"foo (at) bar.com", "1 800 555 1234"} <= spans and "800 555 1234" not in spans
+
+
 # ---- licenses ----
 
 

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import once
+
 #: Fixed patterns of the base kinds, written without backtracking over long runs: a match can only begin where a run of its
 #: first character class does, or where the last match ended (\G), and nothing after a possessive part could use what it took.
 BASE = {
@@ -30,15 +32,20 @@ NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9])
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _POINT = r"(?:\.|\x20?(?:\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)|\x20dot\x20)\x20?)"
 _GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})"
-#: The wider generators.
-WIDE = {
-    "email": r"(?i)[A-Za-z0-9][A-Za-z0-9._-]{0,63}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}",
-    "ip": rf"(?i)(?<![0-9A-Za-z.:]){_OCTET}(?:{_POINT}{_OCTET}){{3}}(?![0-9A-Za-z])"
-    rf"|(?<![0-9A-Za-z.:])(?=[0-9a-f]{{0,4}}(?::[0-9a-f]{{0,4}}){{2,8}}(?![0-9A-Za-z:]))(?:{_GROUPS}{{7}}|{_GROUPS}{{0,6}}::(?:{_GROUPS}{{0,6}})?|::{_GROUPS}{{0,6}})(?![0-9A-Za-z:])",
-    "phone": r"(?<![0-9A-Za-z.,+-])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z.,-])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])",
-}
-WIDE_NEEDED = {"email": r"(?i)[\x20(\[]at[\x20)\]]", "ip": r"(?i)::|[0-9a-f]:[0-9a-f]{1,4}:|[0-9]\x20?(?:[\[({]\.|[\[(\x20]dot)", "phone": r"[0-9][\x20.)-]", "card": r"[0-9]{4}[./_][0-9]{4}"}
+_NOT_IN_NUMBER = r"(?<![0-9A-Za-z.,+-])"
+_END = r"(?![0-9A-Za-z-])"
+#: The wider generators: a kind, what a text must hold to be searched, and the pattern. Matches of one pattern do not overlap, those of
+#: several may, so what one proposes in vain hides nothing from another.
+WIDE = (
+    ("email", r"(?i)[(\[]at[)\]]", r"(?i)[A-Za-z0-9][A-Za-z0-9._-]{0,63}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}"),
+    ("email", r"(?i)\x20at\x20", r"(?i)[A-Za-z0-9][A-Za-z0-9._-]{0,63}\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}"),
+    ("ip", r"(?i)[0-9]\x20?(?:[\[({]\.|[\[(\x20]dot)", rf"(?i)(?<![0-9A-Za-z.:]){_OCTET}(?:{_POINT}{_OCTET}){{3}}(?![0-9A-Za-z])"),
+    ("ip", r"(?i)::|[0-9a-f]:[0-9a-f]{1,4}:", rf"(?i)(?<![0-9A-Za-z.:])(?=[0-9a-f]{{0,4}}(?::[0-9a-f]{{0,4}}){{2,8}}(?![0-9A-Za-z:]))(?:{_GROUPS}{{7}}|{_GROUPS}{{0,6}}::(?:{_GROUPS}{{0,6}})?|::{_GROUPS}{{0,6}})(?![0-9A-Za-z:])"),
+    ("phone", r"[0-9][\x20.)-]", rf"{_NOT_IN_NUMBER}(?:\([0-9]{{2,5}}\)[\x20-]?|[0-9]{{2,5}}[\x20.-])[0-9]{{2,4}}(?:[\x20.-][0-9]{{2,4}}){{1,3}}{_END}"),
+    ("phone", r"[01][\x20.-]\(?[0-9]{3}", rf"{_NOT_IN_NUMBER}[01][\x20.-](?:\([0-9]{{3}}\)[\x20.-]?|[0-9]{{3}}[\x20.-])[0-9]{{3}}[\x20.-][0-9]{{4}}{_END}"),
+    ("phone", r"[0-9]\)?[\x20/-][0-9]{4}", rf"{_NOT_IN_NUMBER}(?:\([0-9]{{2,5}}\)\x20?|[0-9]{{3,5}}[\x20/-])[0-9]{{4,9}}{_END}"),
+    ("card", r"[0-9]{4}[./_][0-9]{4}", r"(?<![0-9A-Za-z.,-])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])"),
+)
 KINDS = ("email", "ip", "card", "phone")
 #: Code points of context on either side.
 CONTEXT = 40
@@ -46,13 +53,20 @@ CONTEXT = 40
 CUES = {
     "email": r"mail|contact|write to|reach",
     "ip": r"\bipv?[46]?\b|address|host|server|ping|dns|gateway|client|logged in|connect",
-    "phone": r"phone|tel|call|mobile|cell|fax|dial|ring|sms|whatsapp",
+    "phone": r"phone|\btel\b|\bcall|mobile|\bcell|\bfax|\bdial|\bring\b|\bsms|whatsapp|(?:my|our|the) number|hotline",
     "card": r"card|visa|mastercard|amex|credit|debit|payment|paid",
-    "other": r"isbn|issn|version|date|page|chapter|figure|table|room|year|total|price|score|order|invoice|[$€£%=/:]",
+    "other": r"isbn|issn|version|release|build|date|page|chapter|figure|table|room|year|total|price|score|order|invoice|[$€£%=/:]",
 }
+#: Words that stand before or after a plain "at" in prose, and are no name and no host.
+STOP_WORDS = (
+    "a all an any arrive arrived arrives be begin begins both came come dawn dusk each end ends every first five four gather gathered held her "
+    "here his home it its last least look looked looking looks meet meeting meets met midnight most my night noon nothing now once one open "
+    "opens our play school see start started starts stay stop stopped ten that the their them there these they this those three times two us "
+    "was were what which will work your"
+).split()
 #: Ends of common host names.
 TOP_DOMAINS = r"\b(?:com|org|net|edu|gov|info|biz|io|co|dev|app|ai|me|eu|de|fr|uk|es|it|nl|ch|at|pl|se|ru|cn|jp|br|ca|au)"
-FEATURES = ("kind_email", "kind_ip", "kind_phone", "kind_card", "n_digits", "n_chars", "n_groups", "parens", "dots", "dashes", "spaces", "brackets", "own_cue", "other_cue", "next_to_mark", "luhn", "colons", "dot_words", "top_domain", "octets")
+FEATURES = ("kind_email", "kind_ip", "kind_phone", "kind_card", "n_digits", "n_chars", "n_groups", "parens", "dots", "dashes", "spaces", "brackets", "own_cue", "other_cue", "next_to_mark", "luhn", "colons", "dot_words", "top_domain", "octets", "stop_word", "ends_sentence", "trunk", "last_digits")
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
@@ -169,6 +183,10 @@ def _features(text: Column, span: Column, kind: str) -> Column:
         "colons": count(":"),
         "dot_words": count(r"(?i)\x20dot\x20"),
         "octets": flag(F.lit(kind == "ip") & ~value.contains(":")),
+        "stop_word": flag(value.rlike(rf"(?i)^(?:{'|'.join(STOP_WORDS)})\x20at\x20|\x20at\x20(?:{'|'.join(STOP_WORDS)})(?![A-Za-z0-9-])")),
+        "ends_sentence": flag(value.rlike(r"\.\x20")),
+        "trunk": flag(value.rlike(r"^(?:[(]|0|1[\x20.-])")),
+        "last_digits": F.length(F.regexp_extract(value, "[0-9]*$", 0)).cast("double") if kind == "phone" else F.lit(0.0),
         "top_domain": flag(value.rlike(rf"(?i)(?:{TOP_DOMAINS})$")),
     }
     return F.struct(*[named[name].alias(name) for name in FEATURES])
@@ -181,7 +199,7 @@ def _described(text: Column, kind: str):
 
 def candidates(text: Column) -> Column:
     """array<struct<kind, value, start, end, features>> of the wide generators."""
-    return F.concat(*[F.transform(_matches(text, pattern, WIDE_NEEDED[kind]), _described(text, kind)) for kind, pattern in WIDE.items()])
+    return F.concat(*[F.transform(_matches(text, pattern, needed), _described(text, kind)) for kind, needed, pattern in WIDE])
 
 
 def _span(kind: str):
@@ -200,7 +218,7 @@ def base_spans(text: Column) -> Column:
 # ---- training ----
 
 #: Rows of the generated sample; four fifths train, one fifth sets the threshold.
-TRAINING_ROWS = 1_500
+TRAINING_ROWS = 3_000
 PRECISION = 0.98
 
 
@@ -219,37 +237,55 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[int, str,
         return " ".join(letters() for _ in range(rng.randint(2, 8)))
 
     def positive() -> str:
-        what = rng.randrange(6)
+        what = rng.randrange(9)
+        if what == 6:
+            s = rng.choice("-. ")
+            return rng.choice(["phone ", "call ", "hotline ", "our number is ", "", ""]) + rng.choice([f"1{s}{digits(3)}{s}{digits(3)}{s}{digits(4)}", f"1{s}({digits(3)}) {digits(3)}-{digits(4)}"])
+        if what == 7:
+            return rng.choice(["tel ", "tel. ", "phone: ", "call ", "fax ", "my number is "]) + rng.choice([f"0{digits(2)} {digits(6)}", f"0{digits(3)}/{digits(6)}", f"(0{digits(2)}) {digits(7)}", f"0{digits(4)}-{digits(5)}", f"{digits(3)}-{digits(4)}"])
         if what == 4:
             at, dot = rng.choice([(" at ", " dot "), (" AT ", " DOT ")])
             name = letters() + rng.choice(["", "", f".{letters()}", f"_{letters()}", digits(2)])
             host = letters() + rng.choice(["", "", dot + letters()])
+            if rng.random() < 0.15:
+                dot = "."
             found = f"{name}{at}{host}{dot}{rng.choice(['com', 'org', 'net', 'de', 'edu', 'io', 'co'])}"
             return rng.choice(["mail ", "contact ", "write to ", "", "", ""]) + (found.upper() if rng.random() < 0.3 else found)
-        if what == 5:
+        if what in (5, 8):
             cue = rng.choice(["ip ", "host ", "server ", "from ", "", ""])
-            if rng.random() < 0.4:
-                dot = rng.choice(["[.]", "(.)", "[dot]", " dot ", "{.}", " [.] "])
+            if rng.random() < 0.6:
+                dot = rng.choice(["[.]", "(.)", "[dot]", " dot ", " dot ", "{.}", " [.] "])
                 most = rng.choice([9, 99, 255])
                 parts = [str(rng.randint(0, most)) for _ in range(4)]
                 return cue + (".".join(parts[:3]) + dot + parts[3] if "." in dot and rng.random() < 0.5 else dot.join(parts))
-            group = lambda: f"{rng.randint(0, 0xFFFF):x}"
+            group = lambda: f"{rng.randint(0, rng.choice([0, 0xF, 0xFFF, 0xFFFF, 0xFFFF])):x}"
             if rng.random() < 0.5:
                 return cue + ":".join(rng.choice([group(), group().zfill(4)]) for _ in range(8))
-            return cue + rng.choice(["2001:", "2a02:", "fe80:", "fd00:"]) + "".join(group() + ":" for _ in range(rng.randint(0, 3))) + ":" + ":".join(group() for _ in range(rng.randint(1, 3)))
+            return cue + rng.choice(["2001:", "2a02:", "fe80:", "fd00:"]) + "".join(group() + ":" for _ in range(rng.randint(0, 3))) + ":" + ":".join(group() for _ in range(rng.randint(1, 5)))
         if what == 0:
             at, dot = rng.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), (" [at] ", " [dot] ")])
-            return rng.choice(["mail ", "contact ", "write to ", ""]) + f"{letters()}.{letters()}{at}{letters()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
+            found = f"{letters()}{rng.choice(['', f'.{letters()}'])}{at}{letters()}{dot}{rng.choice(['com', 'org', 'net', 'de'])}"
+            return rng.choice(["mail ", "contact ", "write to ", "", "", ""]) + (found.upper() if rng.random() < 0.2 else found)
         if what == 1:
             s = rng.choice("-. ")
-            return rng.choice(["phone ", "tel. ", "call ", "call me at ", "fax ", "mobile: "]) + f"{digits(3)}{s}{digits(3)}{s}{digits(4)}"
+            return rng.choice(["phone ", "tel. ", "call ", "call me at ", "fax ", "mobile: ", "my number is ", "reach us by phone: "]) + f"{digits(3)}{s}{digits(3)}{s}{digits(4)}"
         if what == 2:
             return rng.choice(["phone ", "tel: ", "call ", "", ""]) + f"({digits(3)}) {digits(3)}-{digits(4)}"
         card, s = luhn_card(), rng.choice("._/")
         return rng.choice(["card ", "visa ", "credit card: ", ""]) + s.join(card[k : k + 4] for k in range(0, 16, 4))
 
     def negative() -> str:
-        what = rng.randrange(8)
+        what = rng.randrange(12)
+        if what == 8:
+            end = rng.choice(["At", "Es", "De", "It", "Me", "Fr", "Is", "The", "No", "com", letters().title()])
+            return f"{letters()} at {letters()}. {end} {letters()}"
+        if what == 9:
+            stop = rng.choice(STOP_WORDS)
+            return rng.choice([f"{stop} at {letters()}", f"{letters()} at {stop}", f"{stop} at {rng.choice(STOP_WORDS)}"]) + rng.choice([" dot ", " dot ", "."]) + rng.choice(["com", "org", "net", "de", "it", letters()])
+        if what == 10:
+            return rng.choice(["in ", "", "from ", "years ", "lines ", "pages "]) + rng.choice([f"{rng.randint(1800, 2030)}-{rng.randint(1800, 2030)}", f"{digits(4)} {digits(4)}", f"{digits(5)}-{digits(4)}", f"{digits(3)}/{digits(4)}", f"{digits(3)} {digits(5)}"])
+        if what == 11:
+            return rng.choice(["version ", "release ", "build ", "= "]) + f"1.{digits(3)}.{digits(3)}.{digits(4)}"
         if what == 6:
             return f"{letters()} at {rng.choice(['the', 'a', 'that', 'every', letters()])} dot {rng.choice(['on', 'of', 'and', 'near', 'above', 'product', letters()])}"
         if what == 7:
@@ -285,7 +321,7 @@ def train(spark: SparkSession, n: int = TRAINING_ROWS, precision: float = PRECIS
     found = rows.select("row", "label", F.explode(candidates(F.col("text"))).alias("c")).select("row", F.col("label").cast("double").alias("label"), "c.features.*")
     found = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found).select("row", "label", *FEATURES, "features").cache()
     try:
-        model = GBTClassifier(maxIter=8, maxDepth=3, maxBins=16, stepSize=0.4, seed=seed).fit(found.where("row % 5 <> 4").select("label", "features"))
+        model = GBTClassifier(maxIter=20, maxDepth=3, maxBins=32, stepSize=0.4, seed=seed).fit(found.where("row % 5 <> 4").select("label", "features"))
         roots = [(float(w), _tree(t)) for w, t in zip(model.treeWeights, model._java_obj.trees(), strict=True)]
         trees = Trees(tuple(roots), 0.0)
         one = F.struct(*FEATURES)
@@ -318,18 +354,26 @@ def _overlaps(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
 
+def _holds(larger: Column, c: Column) -> Column:
+    """Whether a span is larger than another of its kind and holds it."""
+    return (larger["kind"] == c["kind"]) & (larger["start"] <= c["start"]) & (c["end"] <= larger["end"]) & (larger["end"] - larger["start"] > c["end"] - c["start"])
+
+
 def find_spans(docs: DataFrame, trees: Trees, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """``row`` (the input's columns, or those in ``keep``), ``text``, ``base`` and ``spans``: arrays of (kind, start, end) in code points,
     end exclusive, by kind, then start.
 
-    ``spans`` holds the base spans and the candidates that the trees accept and that overlap no base span. A null text is empty and
+    ``spans`` holds the base spans and the candidates that the trees accept, that overlap no base span and that lie in no larger accepted
+    one of their kind. A null text is empty and
     has no spans. Rows are judged one by one, an empty table gives an empty result, columns of any name may come along.
     """
     columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     found = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = found.select("row", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("wide"))
     accepted = F.filter("wide", lambda c: (trees.score(c["features"]) >= trees.threshold) & ~_overlaps(F.col("base"), c))
-    added = F.transform(accepted, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    alone = F.array_distinct(F.transform(accepted, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
+    found = once(found, added=alone)
+    added = F.filter("added", lambda c: ~F.exists("added", lambda o: _holds(o, c)))
     ordered = F.transform(
         F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
