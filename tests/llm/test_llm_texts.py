@@ -265,6 +265,24 @@ def test_licenses(spark):
     assert licenses.scan(docs, none).count() == 0
 
 
+def test_relatives_of_licenses(spark):
+    """Notices at every offset within the stride of the windows, and with words around them."""
+    notice = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, version 3."
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    lists = (
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    )
+    names = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cases = [
+        (notice.format("program", ""), {"GPL"}), (notice.format("program", "Affero "), {"AGPL"}), (notice.format("library", "Lesser "), {"LGPL"}), (notice.format("program", "Lesser "), {"LGPL"}),
+        (opening + lists, {"BSD"}), (opening + lists + "3. " + names, {"BSD", "BSD-3-Clause"}), ("Distributed under the Boost Software License, Version 1.0.", {"BSL-1.0"}),
+    ]
+    rows = [(len(cases) * k + c, f"{'word ' * k}{text} {' '.join(WORDS)}") for k in range(13) for c, (text, _) in enumerate(cases)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.collect_set("license").alias("names")).collect()
+    assert {r.doc_id: set(r.names) for r in found} == {k: cases[k % len(cases)][1] for k, _ in rows}
+
+
 def test_license_windows_without_list_of_shingles(spark, monkeypatch):
     values = [f"{' '.join(WORDS * 3)} {text} {' '.join(WORDS)}" for _, text in licenses.TEMPLATES[:9]]
     docs = docs_of(spark, values)
