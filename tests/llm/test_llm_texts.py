@@ -247,7 +247,7 @@ def test_candidates_hide_nothing_from_each_other(spark):
 
 def test_licenses(spark):
     filler = lambda n, seed: " ".join(random.Random(seed).choices([f"v{i}" for i in range(400)], k=n))
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and 200 < len(t) < 500)
     words = mit.split()
     edited = " ".join(words[:30] + ["inserted"] + words[30:])
     values = [
@@ -261,8 +261,12 @@ def test_licenses(spark):
     assert found[5][0] == "MIT" and 0.75 <= found[5][1] < 1 and found[7] == ("GPL-3.0", 1, 0)
     assert set(found) == {3, 4, 5, 7, 13, 14, 15, 17}
     assert licenses.scan(docs.limit(0)).count() == 0
-    none = spark.createDataFrame([(None, None), ("a", "four words are few")], "license string, text string")
-    assert licenses.scan(docs, none).count() == 0
+    none = spark.createDataFrame([(None, None), ("a", "four words are few"), ("b", "  ")], "license string, text string")
+    assert licenses.scan(docs, none).count() == 0 and licenses.scan(docs, none.where("license = 'b'")).count() == 0
+    short = spark.createDataFrame([("a", "public domain"), ("b", "Domain"), ("c", mit)], "license string, text string")
+    texts = ["in the PUBLIC, domain and a domain", "publicdomain domains", f"a domain {mit}"]
+    found = licenses.scan(docs_of(spark, texts), short).orderBy("doc_id", "license").collect()
+    assert [(r.doc_id, r.license, r.n_matched, r.first_word) for r in found] == [(0, "a", 1, 2), (0, "b", 1, 3), (2, "b", 1, 1), (2, "c", found[-1].n_shingles, 2)]
 
 
 def test_relatives_of_licenses(spark):
@@ -274,9 +278,16 @@ def test_relatives_of_licenses(spark):
         "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
     )
     names = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    later = notice.replace(", version 3.", ", either version {} of the License, or (at your option) any later version.")
+    whole = {n: t for n, t in licenses.TEMPLATES if n in ("MIT", "MIT-0", "X11", "BSD-4-Clause") and len(t) > 500} | {"BSD-4-Clause": next(t for n, t in licenses.TEMPLATES if n == "BSD-4-Clause")}
     cases = [
-        (notice.format("program", ""), {"GPL"}), (notice.format("program", "Affero "), {"AGPL"}), (notice.format("library", "Lesser "), {"LGPL"}), (notice.format("program", "Lesser "), {"LGPL"}),
-        (opening + lists, {"BSD"}), (opening + lists + "3. " + names, {"BSD", "BSD-3-Clause"}), ("Distributed under the Boost Software License, Version 1.0.", {"BSL-1.0"}),
+        (notice.format("program", "").replace(", version 3", ""), {"GPL"}), (notice.format("program", "Affero ").replace(", version 3", ""), {"AGPL"}),
+        (notice.format("library", "Lesser ").replace(", version 3", ""), {"LGPL"}), (notice.format("program", "Lesser ").replace(", version 3", ""), {"LGPL"}),
+        (later.format("program", "", 3), {"GPL-3.0-or-later"}), (later.format("program", "", 2), {"GPL-2.0-or-later"}), (later.format("program", "Affero ", 3), {"AGPL-3.0-or-later"}),
+        (later.format("library", "Lesser ", "2.1"), {"LGPL-2.1-or-later"}), (notice.format("program", "").replace("version 3", "version 2 of the License"), {"GPL-2.0-only"}),
+        (opening, {"BSD"}), (opening + lists, {"BSD-2-Clause"}), (opening + lists + "3. " + names, {"BSD-3-Clause"}), ("Distributed under the Boost Software License, Version 1.0.", {"BSL-1.0"}),
+        *[(text, {name}) for name, text in whole.items()], (whole["MIT"].replace("OR OTHER DEALINGS", "OR ANY OTHER DEALING"), {"MIT"}), (whole["MIT-0"].replace("OR OTHER DEALINGS", "OR ANY OTHER DEALING"), {"MIT-0"}),
+        (f"{whole['MIT-0']} and then {names}", {"MIT-0", "BSD-3-Clause"}),
     ]
     rows = [(len(cases) * k + c, f"{'word ' * k}{text} {' '.join(WORDS)}") for k in range(13) for c, (text, _) in enumerate(cases)]
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.collect_set("license").alias("names")).collect()
