@@ -187,7 +187,7 @@ def _short_matches(given: DataFrame, listed: list) -> DataFrame | None:
         wanted = [F.array(*map(F.lit, r["words"])) for r in listed if len(r["words"]) == length]
         last = F.size("words") - length
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        per_length.append(F.filter(F.transform(places, _run_of(length)), lambda run, wanted=wanted: run["found"].isin(wanted)))
+        per_length.append(F.filter(F.transform(places, _run_of(length)), _one_of(wanted)))
     hits = given.select("doc_id", F.explode(F.concat(*per_length)).alias("h")).select("doc_id", "h.*")
     table = given.sparkSession.range(1).select(F.inline(rows))
     one = F.lit(1).cast("long")
@@ -197,6 +197,10 @@ def _short_matches(given: DataFrame, listed: list) -> DataFrame | None:
     )
 
 
+def _one_of(wanted: list[Column]):
+    return lambda run: reduce(or_, [run["found"] == one for one in wanted])
+
+
 def _run_of(length: int):
     return lambda k: F.struct(k.alias("place"), F.slice("words", k + 1, F.lit(length)).alias("found"))
 
