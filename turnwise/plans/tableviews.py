@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 from turnwise.functions.jsons import container_summary
 from turnwise.functions.text import block_preview, first_line_preview
 from turnwise.functions.times import format_timestamp
+from turnwise.operators.numbering import append_numbered, read_numbered
 from turnwise.operators.positions import SortKey, with_positions
 from turnwise.operators.shape import number_rows
 from turnwise.operators.tableview import natural_positions
 from turnwise.plans.registry import Tables, query
+from turnwise.sources.shared import fresh_path
 
 
 def _labelled_parts(t: Tables):
@@ -94,6 +96,24 @@ def row_numbers_split(t: Tables):
     )
 
 
+@query(
+    "row_numbers_appended",
+    """
+    SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_type IN ('click', 'view'),
+      value DESC NULLS LAST, event_id) AS row_no
+    FROM events
+    """,
+)
+def row_numbers_appended(t: Tables):
+    """All events in two appends: clicks and views come later than the others."""
+    order = [SortKey("value", ascending=False, nulls_first=False), SortKey("event_id")]
+    later, place = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False)), fresh_path(t.spark, "numbered")
+    events = t.events.select("event_id", "event_type", "value")
+    for part in (events.where(~later), events.where(later)):
+        append_numbered(part, order, place)
+    return read_numbered(t.spark, place)
+
+
 @query(
     "text_preview",
     r"""
