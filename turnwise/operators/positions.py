@@ -7,10 +7,13 @@ group), it is cut into ranges of the sort order first:
 
 1. group sizes, from the key columns only;
 2. for oversized groups, cut points of the sort order, taken from a hash sample of the keys;
-3. every row gets the number of its range by binary search over the cut points;
+3. every row gets the number of its range by a search tree of the cut points, node by node;
 4. rows per range are counted, which gives each range its offset;
 5. ``row_number()`` runs per (group, range) and the offset is added.
 
+Where rows are only numbered (no bytes bound the ranges, no sums run on, no page is picked), 2 to 5 are one sort over Spark's range partitions:
+the sorted rows are saved in the shared folder, rows per group and range counted there, and no row is searched for.
+
 The cut points only decide how rows are spread; positions are exact whatever they are. A range has
 about ``max_group_rows`` rows however large the table is, and where ``max_bytes`` is given also about
 so many bytes at most: a row enters the sample with a chance that grows with its size, and stands
@@ -23,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from turnwise.errors import AnalyticsError
+from turnwise.sources.shared import fresh_path
 
 MAX_GROUP_ROWS = 200_000
 MAX_GROUP_ROWS_SETTING = "turnwise.maxGroupRows"
@@ -38,10 +43,14 @@ MAX_GROUP_BYTES_SETTING = "turnwise.maxGroupBytes"
 _SAMPLES_PER_RANGE, _MIN_SAMPLES, _SAMPLE_ROWS = 32, 4, 2_000_000
 # Ranges whose offsets are broadcast; beyond that they are joined like any table.
 _BROADCAST_RANGES = 100_000
+# Binary digits of a range that one node of the tree of cut points decides, at most.
+_NODE_BITS = 6
 
 _ALL = "__tw_all"
 _ROWS = "__tw_rows"
 _POINTS = "__tw_points"
+_NODE = "__tw_node"
+_FIRST = "__tw_first"
 _RANGE = "__tw_range"
 _OFFSET = "__tw_offset"
 _END = "__tw_end"
@@ -137,10 +146,13 @@ def with_positions(
     if max_bytes is not None:
         share = F.greatest(share, F.col(_BYTES) / F.lit(float(max_bytes)))
     sizes = sized.groupBy(*_columns(keys)).agg(F.sum(share).alias(_ROWS))
-    summary = sizes.agg(F.sum(_ROWS).alias("n"), F.max(_ROWS).alias("m")).head()
+    cut = F.col(_ROWS) > 1 + 1e-9
+    summary = sizes.agg(F.sum(_ROWS).alias("n"), F.max(_ROWS).alias("m"), F.sum(F.when(cut, F.col(_ROWS))).alias("cut"), F.count_if(cut).alias("groups")).head()
     full, largest = (summary["n"] or 0), (summary["m"] or 0)
     if largest <= 1 + 1e-9:
         result = _small_groups(df, keys, order, position, total, running)
+    elif max_bytes is None and not running and not between and _can_be_saved(df):
+        result = _sorted_ranges(df, keys, order, position, total, sizes.where(cut), summary["groups"], summary["cut"] * target, target)
     else:
         result = _split_groups(df, keys, order, position, total, running, sizes, share, full, largest, between)
     if between:
@@ -160,6 +172,64 @@ def _small_groups(
     return numbered.withColumn(total, F.count("*").over(window)) if total else numbered
 
 
+def _can_be_saved(df: DataFrame) -> bool:
+    """Whether Parquet holds all columns."""
+    return not any(word in f.dataType.simpleString() for f in df.schema.fields for word in ("void", "interval"))
+
+
+def _sorted_ranges(
+    df: DataFrame,
+    keys: list[str],
+    order: Sequence[SortKey],
+    position: str,
+    total: str | None,
+    sizes: DataFrame,
+    groups: int,
+    rows: float,
+    target: int,
+) -> DataFrame:
+    """Positions by one sort of the large groups (``sizes``: these), range by range; the others are sorted whole, each in a task.
+
+    Sorted rows are saved with a number that goes on within a range, so a position is that number less the first one of its group there, plus
+    the group's rows in earlier ranges. No row is compared with cut points outside Spark's own range partitioning. A range has ``target`` rows,
+    or more where that makes more ranges than shuffle partitions, but no more than ``MAX_GROUP_ROWS`` then.
+    """
+    spark = df.sparkSession
+    ranges = max(min(ceil(rows / target), int(spark.conf.get("spark.sql.shuffle.partitions"))), ceil(rows / max(target, MAX_GROUP_ROWS)))
+    hot, large, small = _rename_keys(sizes, keys), df, None
+    if keys != [_ALL]:
+        hot = F.broadcast(hot) if groups <= _BROADCAST_RANGES else hot
+        large, small = df.join(hot, _same_keys(keys), "left_semi"), df.join(hot, _same_keys(keys), "left_anti")
+    by = [*([] if keys == [_ALL] else [c.asc_nulls_first() for c in _columns(keys)]), *[k.expression() for k in order]]
+    placed = large.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    placed = placed.withColumns({_RANGE: F.spark_partition_id(), _LOCAL: F.monotonically_increasing_id()})
+    path = fresh_path(spark, "positions")
+    placed.write.parquet(path)
+    saved = spark.read.schema(placed.schema).parquet(path)
+
+    earlier = Window.partitionBy(*_columns(keys)).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    parts = saved.groupBy(*_columns(keys), _RANGE).agg(F.count("*").alias(_ROWS), F.min(_LOCAL).alias(_FIRST))
+    offsets = parts.select(
+        *[F.col(f"`{k}`").alias(_HOT + k) for k in keys],
+        F.col(_RANGE).alias(_HOT + _RANGE),
+        (F.coalesce(F.sum(_ROWS).over(earlier), F.lit(0)) - F.col(_FIRST) + 1).alias(_OFFSET),
+        F.sum(_ROWS).over(Window.partitionBy(*_columns(keys))).alias(_ROWS),
+    )
+    same_range = F.col(_RANGE) == F.col(_HOT + _RANGE)
+    if keys != [_ALL]:
+        same_range = _same_keys(keys) & same_range
+    # A group has a row here for each range that it reaches into.
+    found = saved.join(F.broadcast(offsets) if ranges + groups <= _BROADCAST_RANGES else offsets, same_range)
+    found = found.withColumn(position, F.col(_LOCAL) + F.col(_OFFSET))
+    if total:
+        found = found.withColumn(total, F.col(_ROWS))
+    names = [*df.columns, position, *([total] if total else [])]
+    found = found.select(*_columns(names))
+    if small is None:
+        return found
+    return found.unionByName(_small_groups(small, keys, order, position, total, None).select(*_columns(names)))
+
+
 def _before(window) -> Column:
     """The sum of the weights of all earlier rows."""
     return F.coalesce(F.sum(_BYTES).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
@@ -278,6 +348,35 @@ def _cut_points(
     )
 
 
+def _tree(points: DataFrame, keys: list[str], levels: int, bits: int) -> DataFrame:
+    """The cut points of each group as nodes of a search tree, each with fewer than ``2 ** bits`` of them, whatever their number.
+
+    The digits of a row's range, to the base ``2 ** bits``, are found from the highest on. The node for a digit is named by its level and by the
+    digits before it, and holds every ``2 ** (bits * level)``-th cut point among those that are left.
+    """
+    cuts, fan = F.col(_POINTS), 1 << bits
+
+    def nodes(level: int) -> Column:
+        width = 1 << (bits * level)
+        found = (F.size(cuts) / F.lit(width)).cast("int")  # cut points of this level
+
+        def node(prefix: Column) -> Column:
+            held = F.slice(F.sequence(F.lit(0), F.lit(fan - 1)), F.lit(2), F.least(F.lit(fan - 1), found - prefix * fan))
+            taken = F.transform(held, lambda digit: F.get(cuts, (prefix * fan + digit) * width - 1))
+            return F.struct(_node(level, prefix).alias(_NODE), taken.alias(_POINTS))
+
+        return F.transform(F.sequence(F.lit(0), (found / F.lit(fan)).cast("int")), node)
+
+    every = F.concat(*[nodes(level) for level in range(levels)])
+    return points.select(*[F.col(f"`{_HOT + k}`") for k in keys], F.explode(every).alias(_NODE)).select(
+        *[F.col(f"`{_HOT + k}`") for k in keys], F.col(f"{_NODE}.{_NODE}").alias(_NODE), F.col(f"{_NODE}.{_POINTS}").alias(_POINTS)
+    )
+
+
+def _node(level: int, prefix: Column) -> Column:
+    return F.lit(level << 40) + prefix.cast("bigint")
+
+
 def _with_ranges(
     df: DataFrame,
     points: DataFrame,
@@ -286,7 +385,14 @@ def _with_ranges(
     steps: int,
     how: str,
 ) -> DataFrame:
-    """Number of cut points at or before each row, 0 for groups that are not cut."""
+    """Number of cut points at or before each row, 0 for groups that are not cut.
+
+    A row meets one small node of the search tree at a time: an array of all cut points beside each row would be copied with it, which
+    takes time by rows times cut points.
+    """
+    levels = -(-steps // _NODE_BITS)
+    bits = -(-steps // levels)
+    tree = _tree(points, keys, levels, bits)
 
     def reached(point: Column, index: int = 0) -> Column:
         key = order[index]
@@ -301,16 +407,23 @@ def _with_ranges(
             (candidate <= F.size(_POINTS)) & reached(F.get(F.col(_POINTS), candidate - 1)), candidate
         ).otherwise(found)
 
-    halvings = F.array(*[F.lit(1 << bit) for bit in range(steps - 1, -1, -1)])
-    search = F.aggregate(halvings, F.lit(0), step)
+    halvings = F.array(*[F.lit(1 << bit) for bit in range(bits - 1, -1, -1)])
+    digit = F.when(F.col(_POINTS).isNull(), F.lit(0)).otherwise(F.aggregate(halvings, F.lit(0), step))
+    hot = [_HOT + k for k in keys]
+    root = tree.where(F.col(_NODE) == F.lit((levels - 1) << 40)).drop(_NODE)
     if keys == [_ALL]:
-        joined = df.withColumn(_POINTS, points.select(_POINTS).scalar())
+        df = df.withColumn(_POINTS, root.select(_POINTS).scalar())
     else:
-        # One row per oversized group, of which there are fewer than rows by rows per range.
-        joined = df.join(F.broadcast(points), _same_keys(keys), how)
-    return joined.withColumn(
-        _RANGE, F.when(F.col(_POINTS).isNull(), F.lit(0)).otherwise(search)
-    ).drop(_POINTS, *[_HOT + k for k in keys])
+        # Cut points in all are fewer than rows by rows per range.
+        df = df.join(F.broadcast(root), _same_keys(keys), how).drop(*hot)
+    df = df.withColumn(_RANGE, digit).drop(_POINTS)
+    for level in range(levels - 2, -1, -1):
+        same_node = _node(level, F.col(_RANGE)) == F.col(_NODE)
+        if keys != [_ALL]:
+            same_node = _same_keys(keys) & same_node
+        joined = df.join(F.broadcast(tree), same_node, "left")
+        df = joined.withColumn(_RANGE, F.col(_RANGE) * F.lit(1 << bits) + digit).drop(_POINTS, _NODE, *hot)
+    return df
 
 
 def orderable(data_type: T.DataType) -> bool:
