@@ -1,6 +1,6 @@
 """Search for text without reading every row: postings of three-letter pieces beside the saved rows.
 
-A row's pieces are those of its lower-cased columns. For each piece and block of ids the index holds the sorted ids, which Parquet packs as differences, so
+A row's pieces are those of its lower-cased columns, of letters that follow each other in one text. For each piece and block of ids the index holds the sorted ids, which Parquet packs as differences, so
 a posting list is cut into bounded rows however common its piece is. A search reads the lists of the pieces that its text must contain, intersects
 them block by block, opens only the blocks of rows that are left, and checks these rows as a plain search does.
 """
@@ -8,18 +8,28 @@ them block by block, opens only the blocks of rows that are left, and checks the
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.errors import AnalyticsError
 from turnwise.operators.querylog import search
 
+# Workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 GRAM = 3
 #: Ids in a block of rows and of postings.
 BLOCK_IDS = 1 << 16
+#: Bytes of text whose pieces are listed at a time.
+PIECE_BYTES = 1 << 22
 #: Pieces that are looked up; rows that hold these but not the whole text fall out in the check.
 LOOKED_UP = 16
 #: Blocks that are named in the filter on the rows; of more, all are opened that the join asks for.
@@ -27,14 +37,6 @@ NAMED_BLOCKS = 10_000
 
 _BLOCK, _GRAMS, _IDS, _ID = "__tw_block", "__tw_gram", "__tw_ids", "__tw_id"
 
-
-def pieces(text: Column) -> Column:
-    """The different three-letter pieces of a lower-cased text; none of NULL."""
-    # A look ahead takes time in proportion to the text, which cutting at each place would not.
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
-
-
 #: Letters whose lower case depends on what stands beside them, or differs between libraries.
 _UNSURE = set("\u03c3\u03c2\u0130\u0131\u0307")
 
@@ -57,15 +59,57 @@ def save_search_index(df: DataFrame, columns: Sequence[str], key: str, directory
         raise AnalyticsError("SEARCH_KEY_INVALID", "the key of a search index must be unique, not NULL and not negative", {"column": key})
     rows = df.withColumn(_BLOCK, _block(key)).hint("rebalance", _BLOCK)
     rows.write.mode("errorifexists").partitionBy(_BLOCK).parquet(f"{directory}/rows")
-    grams = F.array_distinct(F.concat(*[pieces(F.col(f"`{c}`")) for c in columns]))
-    own = df.select(_block(key).alias(_BLOCK), (F.col(f"`{key}`") % BLOCK_IDS).cast("int").alias(_ID), F.explode(grams).alias(_GRAMS))
-    lists = own.groupBy(_GRAMS, _BLOCK).agg(F.sort_array(F.collect_list(_ID)).alias(_IDS))
+    # From the saved rows, which lie block by block: a task meets many rows of few blocks, so it has few and long lists to shuffle.
+    saved = df.sparkSession.read.schema(rows.schema).parquet(f"{directory}/rows")
+    lowered = [F.lower(F.col(f"`{c}`").cast("string")).alias(f"text{k}") for k, c in enumerate(columns)]
+    own = saved.select(F.col(_BLOCK), (F.col(f"`{key}`") % BLOCK_IDS).cast("int").alias(_ID), *lowered)
+    short = own.mapInArrow(_short_lists, f"{_GRAMS} string, {_BLOCK} bigint, {_IDS} array<int>")
+    lists = short.groupBy(_GRAMS, _BLOCK).agg(F.sort_array(F.flatten(F.collect_list(_IDS))).alias(_IDS))
     # Sorted by piece, so a search skips the parts of a file that cannot hold its pieces.
     dealt = lists.repartitionByRange(F.col(_GRAMS), F.col(_BLOCK)).sortWithinPartitions(_GRAMS, _BLOCK)
     packed = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", f"parquet.enable.dictionary#{_IDS}.list.element": "false"}
     dealt.write.mode("errorifexists").options(**packed).parquet(f"{directory}/postings")
 
 
+def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of (block, id, lower-cased texts), each over rows with about ``PIECE_BYTES`` of text."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield from _lists_of(batch.slice(at, step))
+
+
+def _lists_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """One row for each three-letter piece and block, with the sorted ids of the rows that hold the piece in a text."""
+    rows = rows.take(pc.sort_indices(rows, [(_BLOCK, "ascending"), (_ID, "ascending")]))
+    blocks, ids = (rows.column(rows.schema.names.index(name)).to_numpy() for name in (_BLOCK, _ID))
+    texts = [text or "" for column in rows.columns[2:] for text in column.to_pylist()]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    place = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    known = np.zeros(sys.maxunicode + 1, bool)
+    known[codes] = True
+    letters = np.flatnonzero(known)
+    n, size = rows.num_rows, len(letters)
+    if n * size**3 >= 1 << 63:  # many rows and a large alphabet: a piece and its row would not fit into one number
+        yield from _lists_of(rows.slice(0, n // 2))
+        yield from _lists_of(rows.slice(n // 2))
+        return
+    if len(codes) < GRAM:
+        return
+    letter = (np.cumsum(known) - 1)[codes]
+    whole = place[: 1 - GRAM] == place[GRAM - 1 :]  # all letters from one text
+    held = ((letter[:-2] * size + letter[1:-1]) * size + letter[2:])[whole] * n + place[: 1 - GRAM][whole] % n
+    if not len(held):
+        return
+    held.sort()
+    grams, row = np.divmod(held[np.concatenate([[True], held[1:] != held[:-1]])], n)
+    first = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (blocks[row[1:]] != blocks[row[:-1]])]))
+    spelled = letters[np.stack([grams[first] // size**2, grams[first] // size % size, grams[first] % size], axis=1)].astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(ids[row], pa.int32()))
+    names = pa.array([spelled[at : at + GRAM] for at in range(0, len(spelled), GRAM)], pa.string())
+    yield pa.RecordBatch.from_arrays([names, pa.array(blocks[row[first]], pa.int64()), lists], names=[_GRAMS, _BLOCK, _IDS])
+
+
 def search_index(
     spark: SparkSession,
     directory: str,
