@@ -47,8 +47,12 @@ class Scanner:
                 patterns.setdefault(tuple(words[at : at + window]), set()).add(item)
         self.any = bool(patterns)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, found in patterns.items():
-            self.automaton.add_word(words, (len(words), frozenset(found)))
+        # Equal sets of items are one object, and patterns go as the automaton grows: a worker holds them once.
+        same: dict[frozenset[str], frozenset[str]] = {}
+        while patterns:
+            words, named = patterns.popitem()
+            found = frozenset(named)
+            self.automaton.add_word(words, (len(words), same.setdefault(found, found)))
         if self.any:
             self.automaton.make_automaton()
 

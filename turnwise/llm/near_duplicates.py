@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import fresh_name, map_rows, written
+from turnwise.llm.common import bounded, fresh_name, map_rows, written
 from turnwise.llm.components import components
 from turnwise.operators.positions import SortKey
 from turnwise.operators.shape import number_rows
@@ -124,7 +124,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _compare_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by star, centre first; only the centre's sets are kept in memory (several if rows share its id)."""
     star, centres = None, []
-    for batch in batches:
+    for batch in bounded(batches):
         out: dict[str, list] = {"centre": [], "node": [], "inter": [], "union": []}
         columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("centre", "salt", "member", "doc_id", "text")]
         for centre, salt, member, node, text in zip(*columns, strict=True):
