@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnwise.llm.common import let_go
 from turnwise.llm.tokens import VOCABULARY, encoder
 
 SAMPLE = 64
@@ -110,6 +111,7 @@ def _write_blocks(vocabulary: str, end_id: int, block_ids: int, special_as_text:
                 done += len(bounds) - 1
         if docs:
             yield block()
+        let_go()
 
     schema = pa.schema(
         [("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("id_bytes", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_docs", pa.int32()), ("n_ids", pa.int64())]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.common import written
+from turnwise.llm.common import let_go, written
 from turnwise.llm.tokens import VOCABULARY, encoder
 
 LENGTH = 2048
@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
                         rows.append((doc, k, a, b - a, zlib.crc32(part), part if with_ids else None))
                 done += len(bounds) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            let_go()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

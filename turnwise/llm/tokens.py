@@ -8,7 +8,6 @@ import re
 import string
 import struct
 from collections.abc import Iterator
-from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -18,10 +17,10 @@ import pyarrow.compute as pc
 from turnwise.llm.common import worker_cache
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words and stems kept per worker (each about 200 bytes); the older half goes when they are more.
-CACHED_WORDS = 400_000
-#: Text handled at a time.
-PIECE_BYTES = 8 << 20
+#: Words and stems kept per worker (each about 200 bytes); when they are more, the rare ones go.
+CACHED_WORDS = 200_000
+#: Text handled at a time; numpy and Arrow take some twenty times as much for it.
+PIECE_BYTES = 2 << 20
 # White space in the sense of any of the libraries involved: where two such characters meet, or a text starts with one, texts are not cut.
 _SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNCUT = rf"(?:^|{_SPACE}){_SPACE}"
@@ -133,10 +132,10 @@ class Encoder:
         split = pc.split_pattern(marked, " ")
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) > CACHED_WORDS:
-            self.words = dict(islice(self.words.items(), len(self.words) // 2, None))
+        if len(self.words) > CACHED_WORDS:  # frequent words stand in nearly every piece, so those of this one are the ones to keep
+            self.words = {word: self.words[word] for word in words if word in self.words}
         if len(self.stems) > CACHED_WORDS:
-            self.stems = dict(islice(self.stems.items(), len(self.stems) // 2, None))
+            self.stems = {}
         known = self.words
         for word in words:
             if word not in known:
